@@ -7,11 +7,12 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from curalake.schemas import AVAILABILITY_LABELS, FALLBACK_SOURCE, GRAPH_SOURCE, SOURCE_LABELS
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_unescape(values: pd.Series) -> pd.Series:
     """Character references have no built-in; Arrow batches keep the UDF vectorised."""
     return values.map(html.unescape, na_action="ignore")

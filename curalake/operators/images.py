@@ -116,7 +116,7 @@ def decode_audit(images: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def exif_orientation(content: pd.Series) -> pd.Series:
     """EXIF tag 274 from JPEG bytes; 1 when absent."""
     return content.map(_orientation)

@@ -12,10 +12,17 @@ from pyspark.sql import functions as F
 from curalake import schemas as S
 from curalake.functions.hashing import is_hex
 from curalake.functions.text import basename, folded, is_blank, parent_directory, safe_name
-from curalake.operators.violations import row_violations
+from curalake.operators.violations import GateError, missing_columns, row_violations
 from curalake.session import class_table, config_table
 
 
+def missing_columns_error(df: DataFrame, required: Sequence[str]) -> None:
+    """Schema check before a job: raises with the missing column names."""
+    missing = missing_columns(df, list(required))
+    if missing:
+        raise GateError(f"missing columns: {missing}")
+
+
 def union_splits(frames: Mapping[str, DataFrame], tag: str = "audit_split") -> DataFrame:
     """Concatenate split tables, each tagged with its name."""
     tagged = [df.withColumn(tag, F.lit(name)) for name, df in frames.items()]
@@ -45,7 +52,7 @@ def duplicate_keys(df: DataFrame, columns: Sequence[str], ignore_blank: bool = T
 
 def manifest_violations(manifest: DataFrame) -> DataFrame:
     """Rules a source manifest must meet before it is split."""
-    missing = sorted(set(S.REQUIRED_COLUMNS) - set(manifest.columns))
+    missing = missing_columns(manifest, S.REQUIRED_COLUMNS)
     if missing:
         return config_table(
             manifest.sparkSession, [("missing_column", c) for c in missing], "rule string, subject string"
@@ -64,7 +71,7 @@ def manifest_violations(manifest: DataFrame) -> DataFrame:
 
 def traceability_violations(manifest: DataFrame) -> DataFrame:
     """``(rule, violation_count)`` of the traceable-manifest rules."""
-    missing = sorted(set(S.TRACEABILITY_COLUMNS) - set(manifest.columns))
+    missing = missing_columns(manifest, S.TRACEABILITY_COLUMNS)
     if missing:
         return config_table(
             manifest.sparkSession, [(f"missing_column_{c}", 1) for c in missing], "rule string, violation_count bigint"
@@ -251,8 +258,3 @@ def acquisition_yield(new_rows: DataFrame, requested: int) -> DataFrame:
     return new_rows.agg(F.count(F.lit(1)).alias("new_rows")).select(
         "new_rows", F.lit(needed).cast("bigint").alias("needed_rows"), (F.col("new_rows") >= needed).alias("ok")
     )
-
-
-def stable_file_ids(df: DataFrame) -> DataFrame:
-    """Base name and directory of every path, next to the record's id."""
-    return df.select("image_id", basename(F.col("file_path")).alias("file_name"), parent_directory(F.col("file_path")).alias("directory"))
