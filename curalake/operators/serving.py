@@ -15,10 +15,10 @@ from curalake.operators.violations import first_broken
 def extension_matches(filename: Column, content_type: Column, media: Mapping[str, Sequence[str]] = S.MEDIA_EXTENSIONS) -> Column:
     """Does the lower-cased file extension belong to the content type?
 
-    A leading dot alone (``.png``) is a hidden file, not an extension.
+    A name that is only a dot and letters (``.png``) is a hidden file without extension.
     """
-    suffix = F.lower(F.regexp_extract(basename(filename), r"\A.*[^.].*?(\.[^.]+)\z", 1))
-    suffix = F.when(suffix == "", F.lower(F.regexp_extract(basename(filename), r"\A[^.]+(\.[^.]+)\z", 1))).otherwise(suffix)
+    visible = F.regexp_replace(basename(filename), r"\A\.+", "")
+    suffix = F.lower(F.regexp_extract(visible, r"(\.[^.]+)\z", 1))
     kind = F.lower(F.trim(content_type))
     result = F.lit(False)
     for name, extensions in media.items():
@@ -36,8 +36,8 @@ def upload_admitted(maximum_bytes: int = S.MAXIMUM_UPLOAD_BYTES) -> Column:
 
 
 def upload_status(maximum_bytes: int = S.MAXIMUM_UPLOAD_BYTES) -> Column:
-    """HTTP-style status; the first failing rule decides."""
-    kind = F.lower(F.trim(F.coalesce("content_type", F.lit(""))))
+    """HTTP-style status; the first failing rule decides. The type check does not trim."""
+    kind = F.lower(F.coalesce("content_type", F.lit("")))
     return first_broken({
         "503": ~F.coalesce("model_available", F.lit(False)),
         "415": ~kind.isin(list(S.MEDIA_EXTENSIONS)),
