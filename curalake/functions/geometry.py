@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from curalake.functions.hashing import let
 from curalake.schemas import MINIMUM_CROP
 
 
@@ -32,19 +33,28 @@ def covered_fraction(target: Column, other: Column) -> Column:
     zero = F.lit(0.0)
     across = F.greatest(zero, F.least(target["right"], other["right"]) - F.greatest(target["left"], other["left"]))
     down = F.greatest(zero, F.least(target["bottom"], other["bottom"]) - F.greatest(target["top"], other["top"]))
-    return F.when(area(target) <= 0, F.lit(1.0)).otherwise(across * down / area(target))
+    return let(area(target), lambda whole: F.when(whole <= 0, F.lit(1.0)).otherwise(across * down / whole))
 
 
 def square_crop(b: Column, width: Column, height: Column, margin: float = 0.20, minimum: int = MINIMUM_CROP) -> Column:
     """Square box with context around ``b``, clamped to the image; null when it ends up too small."""
     wide, high = width.cast("double"), height.cast("double")
     wanted = F.greatest(b["right"] - b["left"], b["bottom"] - b["top"]) * F.lit(1.0 + 2.0 * margin)
-    side = F.least(F.greatest(wanted, F.lit(float(minimum))), wide, high)
-    left = F.greatest(F.lit(0.0), F.least((b["left"] + b["right"]) / 2.0 - side / 2.0, wide - side))
-    top = F.greatest(F.lit(0.0), F.least((b["top"] + b["bottom"]) / 2.0 - side / 2.0, high - side))
-    crop = box(F.bround(left), F.bround(top), F.bround(left + side), F.bround(top + side), "int")
-    roomy = (crop["right"] - crop["left"] >= minimum) & (crop["bottom"] - crop["top"] >= minimum)
-    return F.when(roomy, crop)
+    limit = F.lit(float(minimum))
+
+    def place(side: Column) -> Column:
+        left = F.greatest(F.lit(0.0), F.least((b["left"] + b["right"]) / 2.0 - side / 2.0, wide - side))
+        top = F.greatest(F.lit(0.0), F.least((b["top"] + b["bottom"]) / 2.0 - side / 2.0, high - side))
+        return F.struct(left.alias("left"), top.alias("top"), side.alias("side"))
+
+    def rounded(p: Column) -> Column:
+        return box(F.bround(p["left"]), F.bround(p["top"]), F.bround(p["left"] + p["side"]), F.bround(p["top"] + p["side"]), "int")
+
+    def roomy(c: Column) -> Column:
+        return F.when((c["right"] - c["left"] >= minimum) & (c["bottom"] - c["top"] >= minimum), c)
+
+    side = F.least(F.greatest(wanted, limit), wide, high)
+    return let(let(let(side, place), rounded), roomy)
 
 
 def scaled_crop(b: Column, annotated_width: Column, annotated_height: Column, width: Column, height: Column) -> Column:

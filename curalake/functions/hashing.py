@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    An expression used inside a lambda is evaluated for every element; binding it
+    to the variable of a one-element ``transform`` keeps it outside the loop.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_hex(col: Column, width: int) -> Column:
     """True for exactly ``width`` hex digits; ``\\A..\\z`` also refuses a trailing newline."""
     return F.coalesce(col.rlike(rf"\A[0-9a-fA-F]{{{width}}}\z"), F.lit(False))
@@ -39,12 +50,10 @@ def hex_hamming(first: Column, second: Column) -> Column:
 
 def grid_difference_hash(grid: Column, size: int = 8) -> Column:
     """Difference hash of a row-major ``size x (size+1)`` grid, least significant bit first."""
-    bits = F.transform(
+    bits = let(grid, lambda g: F.transform(
         F.sequence(F.lit(size * size - 1), F.lit(0)),
-        lambda i: F.when(
-            F.get(grid, _cell(i, size) + 1) > F.get(grid, _cell(i, size)), F.lit("1")
-        ).otherwise(F.lit("0")),
-    )
+        lambda i: F.when(F.get(g, _cell(i, size) + 1) > F.get(g, _cell(i, size)), F.lit("1")).otherwise(F.lit("0")),
+    ))
     return F.lpad(F.lower(F.conv(F.array_join(bits, ""), 2, 16)), (size * size + 3) // 4, "0")
 
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from curalake.functions.hashing import let
+
 
 def softmax(logits: Column) -> Column:
     """Shifted by the maximum, so large logits do not overflow."""
     doubles = F.transform(logits, lambda x: x.cast("double"))
-    scaled = F.transform(doubles, lambda x: F.exp(x - F.array_max(doubles)))
-    total = F.aggregate(scaled, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(scaled, lambda x: x / total)
+    scaled = let(doubles, lambda z: let(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp(x - top))))
+    return let(scaled, lambda e: let(F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def argmax(values: Column) -> Column:

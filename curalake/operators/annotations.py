@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from curalake import schemas as S
 from curalake.functions.geometry import area, bounding_box, covered_fraction, square_crop
-from curalake.functions.text import image_path
+from curalake.functions.hashing import let
+from curalake.functions.text import image_path, is_blank
+from curalake.session import computed
 
 
 def usable_objects(objects: Column) -> Column:
@@ -20,13 +22,11 @@ def usable_objects(objects: Column) -> Column:
         return F.filter(points, lambda p: (F.size(p) >= 2) & F.get(p, F.lit(0)).isNotNull() & F.get(p, F.lit(1)).isNotNull())
 
     polygons = F.filter(
-        objects,
-        lambda o: (o["geometryType"] == "polygon") & (F.trim(F.coalesce(o["classTitle"], F.lit(""))) != "")
-        & (F.size(o["points"]["exterior"]) >= 3) & (F.size(numeric(o["points"]["exterior"])) >= 3),
+        objects, lambda o: (o["geometryType"] == "polygon") & (F.trim(F.coalesce(o["classTitle"], F.lit(""))) != "") & (F.size(o["points"]["exterior"]) >= 3)
     )
-    return F.transform(polygons, lambda o: F.struct(
-        F.trim(o["classTitle"]).alias("title"), F.lower(F.trim(o["classTitle"])).alias("label"),
-        bounding_box(numeric(o["points"]["exterior"])).alias("box"),
+    cleaned = F.transform(polygons, lambda o: F.struct(F.trim(o["classTitle"]).alias("title"), numeric(o["points"]["exterior"]).alias("points")))
+    return F.transform(F.filter(cleaned, lambda o: F.size(o["points"]) >= 3), lambda o: F.struct(
+        o["title"].alias("title"), F.lower(o["title"]).alias("label"), bounding_box(o["points"]).alias("box")
     ))
 
 
@@ -55,7 +55,7 @@ def worst_overlap(target: Column, objects: Column) -> Column:
 
 def with_objects(annotations: DataFrame) -> DataFrame:
     """Adds ``usable`` (normalised objects) and ``status``; keeps unusable rows."""
-    parsed = annotations.withColumn("usable", usable_objects(F.col("objects")))
+    parsed = computed(annotations, usable=usable_objects(F.col("objects")))
     return parsed.withColumn("status", admission(F.col("size.width"), F.col("size.height"), F.col("usable")))
 
 
@@ -68,7 +68,7 @@ def scored_objects(annotations: DataFrame) -> DataFrame:
         F.when(is_damage, worst_overlap(o, F.col("usable"))).otherwise(F.lit(0.0)).alias("overlap"),
         F.when(is_damage, mapped_class(o["label"])).when(o["label"].isin(S.PANEL_LABELS), "normal").alias("class_name"),
     ))
-    return rows.withColumn("scored", scored)
+    return computed(rows, scored=scored)
 
 
 def crop_candidates(annotations: DataFrame) -> DataFrame:
@@ -77,12 +77,12 @@ def crop_candidates(annotations: DataFrame) -> DataFrame:
     Columns in: ``annotation_path, source_kind, size, objects``.
     """
     eligible = F.filter("scored", lambda o: o["class_name"].isNotNull() & (o["overlap"] <= S.MAXIMUM_OVERLAP))
-    rows = scored_objects(annotations).withColumn("eligible", eligible)
-    largest = F.array_max(F.transform("eligible", lambda o: o["area"]))
-    chosen = rows.withColumn("chosen", F.get(F.filter("eligible", lambda o: o["area"] == largest), F.lit(0)))
-    cropped = chosen.filter("chosen IS NOT NULL").withColumn(
-        "crop_box", square_crop(F.col("chosen.box"), F.col("size.width"), F.col("size.height"))
-    )
+    rows = computed(scored_objects(annotations), eligible=eligible)
+    first = let(F.array_max(F.transform("eligible", lambda o: o["area"])), lambda top: F.get(
+        F.filter("eligible", lambda o: o["area"] == top), F.lit(0)
+    ))
+    chosen = computed(rows.filter(F.size("eligible") > 0), chosen=first)
+    cropped = computed(chosen, crop_box=square_crop(F.col("chosen.box"), F.col("size.width"), F.col("size.height")))
     path = image_path(F.col("annotation_path"))
     return cropped.filter("crop_box IS NOT NULL").select(
         F.col("chosen.class_name").alias("class_name"), F.col("chosen.title").alias("source_label"), "annotation_path",
@@ -98,8 +98,6 @@ def licensed_candidates(listing: DataFrame, excluded: DataFrame | None, limit: i
     ``listing``: ``page_id, title, licence, licence_url, ...``; one row per page is
     kept. The limit is the request size of an acquisition run.
     """
-    from curalake.functions.text import is_blank
-
     complete = listing.filter(~is_blank(F.col("licence")) & ~is_blank(F.col("licence_url")))
     rows = complete.withColumn("source_group", F.concat(F.lit("commons-"), F.col("page_id").cast("string")))
     if excluded is not None:

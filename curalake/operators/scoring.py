@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from curalake.functions.hashing import row_digest
 from curalake.functions.probability import argmax, softmax
-from curalake.session import class_table
+from curalake.session import class_table, computed
 
 Model = Callable[[np.ndarray], np.ndarray]
 
@@ -36,7 +36,7 @@ def batch_score(df: DataFrame, features: str, load_model: Callable[[], Model], c
 
 def softmax_predict(df: DataFrame, logits: str = "logits") -> DataFrame:
     """Adds ``pred_idx`` (first maximum) and ``confidence`` (largest probability)."""
-    return df.withColumn("_p", softmax(F.col(logits))).withColumns({
+    return computed(df, _p=softmax(F.col(logits))).withColumns({
         "pred_idx": argmax(F.col("_p")), "confidence": F.array_max("_p"),
     }).drop("_p")
 

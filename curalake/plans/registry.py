@@ -16,7 +16,7 @@ from curalake.operators import (
 )
 from curalake.operators.violations import count_by_rule
 from curalake.plans import views as V
-from curalake.session import scratch_path
+from curalake.session import scratch_path, spread
 from curalake.sources import tables
 from curalake.streaming import flows
 
@@ -557,7 +557,7 @@ def hamming_distance(spark, d):
 
 @query
 def html_plain_text(spark, d):
-    return V.table(spark, d, "pages").select("page_id", text.plain_text(F.col("html")).alias("plain"))
+    return spread(V.table(spark, d, "pages").select("page_id", "html")).select("page_id", text.plain_text(F.col("html")).alias("plain"))
 
 
 @query

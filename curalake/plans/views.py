@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curalake import schemas as S
-from curalake.functions.hashing import grid_difference_hash
+from curalake.functions.hashing import grid_difference_hash, let
 from curalake.operators.graph import Catalog
 from curalake.operators.sampling import stratified_split
+from curalake.session import computed, spread
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -29,14 +30,16 @@ def word_grid(text: Column) -> Column:
     words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
     cell = lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("bigint") % 72
     letters = F.array_join(F.transform(words, lambda w: F.char(cell(w) + 48)), "")
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(71)),
-        lambda i: F.length(letters) - F.length(F.replace(letters, F.char(i + 48), F.lit(""))),
-    )
+    return let(letters, lambda t: F.transform(
+        F.sequence(F.lit(0), F.lit(71)), lambda i: F.length(t) - F.length(F.replace(t, F.char(i + 48), F.lit(""))),
+    ))
 
 
 def manifest(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    return _manifest(table(spark, d, "documents"))
+
+
+def _manifest(docs: DataFrame) -> DataFrame:
     return docs.selectExpr(
         "doc_id", "concat('doc-', doc_id) AS image_id",
         "CASE lang WHEN 'en' THEN 'normal' WHEN 'fr' THEN 'scratch' WHEN 'de' THEN 'dent' ELSE 'rust' END AS class_name",
@@ -50,7 +53,8 @@ def manifest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hashed_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return manifest(spark, d).withColumn("perceptual_hash", grid_difference_hash(word_grid(F.col("text")))).drop("text")
+    docs = spread(table(spark, d, "documents"))
+    return computed(_manifest(docs), perceptual_hash=grid_difference_hash(word_grid(F.col("text")))).drop("text")
 
 
 def source_manifest(spark: SparkSession, d: str) -> DataFrame:
@@ -137,7 +141,7 @@ def history(spark: SparkSession, d: str) -> DataFrame:
 
 def annotation_documents(spark: SparkSession, d: str) -> DataFrame:
     """One JSON annotation per line item: two polygons, a third that is often malformed, odd sizes, broken text."""
-    rows = table(spark, d, "lineitem").selectExpr(
+    rows = spread(table(spark, d, "lineitem").drop("l_shipdate", "l_extendedprice", "l_discount")).selectExpr(
         "l_orderkey AS k", "l_partkey AS p",
         "concat('set/ann/', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '.jpg.json') AS annotation_path",
         "CASE WHEN l_orderkey % 10 = 0 THEN 'normal' ELSE 'damage' END AS source_kind",
@@ -256,7 +260,7 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
 
 def images(spark: SparkSession, d: str) -> DataFrame:
     """Documents as images: the whole text as BGR pixels of a 10 pixel wide picture, padded to full rows."""
-    return table(spark, d, "documents").selectExpr(
+    return spread(table(spark, d, "documents").select("doc_id", "text")).selectExpr(
         "doc_id", "cast(text AS binary) AS raw", "cast(ceil(octet_length(text) / 30) AS int) AS rows"
     ).selectExpr(
         "doc_id", "named_struct('origin', concat('doc-', doc_id), 'height', CASE WHEN doc_id % 13 = 0 THEN -1 ELSE rows END, "

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Configuration lists live in the driver's memory before they become a table,
@@ -34,6 +34,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated exactly once per row.
+
+    A plain ``withColumn`` is substituted into every later expression and pushed
+    filter that mentions it; for nested array expressions that multiplies the work.
+    The output of a generator is never substituted.
+    """
+    return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly row work on an input with few file splits; no shuffle otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so reruns see the same rows."""
     shared_folder(df.sparkSession)

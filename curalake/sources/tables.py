@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from curalake import schemas as S
 from curalake.operators.manifest import missing_columns_error, union_splits, with_destination
 from curalake.operators.violations import GateError
-from curalake.session import class_table
+from curalake.session import class_table, computed
 
 
 def scan_manifest(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None) -> DataFrame:
@@ -42,9 +42,8 @@ def scan_annotations(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 def parse_annotations(documents: DataFrame) -> DataFrame:
     """``annotation_path, source_kind, document`` -> typed ``size`` and ``objects``."""
-    return documents.withColumn("_d", F.from_json("document", S.ANNOTATION_DDL, {"mode": "PERMISSIVE"})).select(
-        "annotation_path", "source_kind", "_d.size", "_d.objects"
-    )
+    parsed = computed(documents, _d=F.from_json("document", S.ANNOTATION_DDL, {"mode": "PERMISSIVE"}))
+    return parsed.select("annotation_path", "source_kind", "_d.size", "_d.objects")
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
