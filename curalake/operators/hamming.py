@@ -225,8 +225,11 @@ def near_dup_edges(
         ((square - _same(F.col("in_split"), F.col("in_split"))) / 2).cast("bigint").alias("cross_split_pairs"),
         ((square - _same(F.col("in_class"), F.col("in_class"))) / 2).cast("bigint").alias("cross_class_pairs"),
     )
-    return apart.unionByName(copies).select(
-        hex64(F.col("h_a")).alias("hash_a"), hex64(F.col("h_b")).alias("hash_b"), "distance", "n_a", "n_b",
+    found = apart.unionByName(copies).withColumns({"hash_a": hex64(F.col("h_a")), "hash_b": hex64(F.col("h_b"))})
+    swap = F.col("hash_a") > F.col("hash_b")  # BIGINT order is signed, text order is not
+    return found.select(
+        F.least("hash_a", "hash_b").alias("hash_a"), F.greatest("hash_a", "hash_b").alias("hash_b"), "distance",
+        F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"),
         "pair_count", "cross_split_pairs", "cross_class_pairs",
     )
 

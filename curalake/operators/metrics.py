@@ -48,7 +48,7 @@ def confusion_matrix(df: DataFrame, class_names: Sequence[str]) -> DataFrame:
     last = F.lit(len(class_names) - 1)
     cells = classes.select(
         F.col("idx").alias("true_idx"), F.col("class_name").alias("true_class"),
-        F.explode(F.sequence(F.lit(0), last)).cast("bigint").alias("pred_idx"),
+        F.explode(F.sequence(F.lit(0), last).cast("array<bigint>")).alias("pred_idx"),
     ).withColumn("predicted_class", F.get(F.array(*map(F.lit, class_names)), F.col("pred_idx").cast("int")))
     counts = df.groupBy(F.col("true_idx").cast("bigint").alias("true_idx"), F.col("pred_idx").cast("bigint").alias("pred_idx")).agg(F.count(F.lit(1)).alias("c"))
     return cells.join(counts, ["true_idx", "pred_idx"], "left").select(

@@ -137,7 +137,7 @@ VIEWS = {
         SELECT id, annotation_path, image_path, kind, width, height, 3, 'Broken part',
             ((p + l_suppkey) % 700)::DOUBLE, (k % 300)::DOUBLE, ((p + l_suppkey) % 700 + 50)::DOUBLE, (k % 300 + 60)::DOUBLE
         FROM items WHERE k % 101 <> 0 AND p % 4 = 3""",
-    "overlaps": """
+    "worst_overlaps": """
         SELECT a.id, a.o, max(greatest(0.0, least(a.x2, b.x2) - greatest(a.x, b.x)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y, b.y))
             / ((a.x2 - a.x) * (a.y2 - a.y))) AS worst
         FROM objects a JOIN objects b ON a.id = b.id AND lower(a.title) <> lower(b.title) GROUP BY ALL""",
@@ -146,7 +146,7 @@ VIEWS = {
             CASE WHEN a.kind = 'damage' THEN coalesce(v.worst, 0.0) ELSE 0.0 END AS overlap,
             CASE WHEN a.kind = 'normal' THEN CASE WHEN lower(a.title) IN ('front-door', 'hood') THEN 'normal' END
                  ELSE CASE lower(a.title) WHEN 'dent' THEN 'dent' WHEN 'scratch' THEN 'scratch' WHEN 'corrosion' THEN 'rust' END END AS class_name
-        FROM objects a LEFT JOIN overlaps v ON v.id = a.id AND v.o = a.o
+        FROM objects a LEFT JOIN worst_overlaps v ON v.id = a.id AND v.o = a.o
         WHERE a.width >= 96 AND a.height >= 96""",
     "chosen": """
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY area DESC, o) AS r FROM scored WHERE class_name IS NOT NULL AND overlap <= 0.10) WHERE r = 1""",
