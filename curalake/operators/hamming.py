@@ -137,12 +137,14 @@ def _bucket_pairs(buckets: DataFrame, distance: int, cross: bool, pivot: int, ou
         once = (F.col("sb") == pivot) | (F.col("a") < F.col("b"))
     else:
         once = F.col("a") < F.col("b")
-    pairs = a.join(b, keys).filter(once & (F.col("a") != F.col("b")) & (F.bit_count(x) <= distance))
+    near = once & (F.col("a") != F.col("b")) & (F.bit_count(x) <= distance)
     if cross:
-        pairs = pairs.filter((F.col("sa") != F.col("sb")) | (F.bit_count("sa") > 1))
-    pairs = pairs.filter(_first_zero(x, outer_masks) == F.col("c")).filter(
+        near = near & ((F.col("sa") != F.col("sb")) | (F.bit_count("sa") > 1))
+    # CASE keeps the order: the costly test of the first key only sees near pairs
+    first = (_first_zero(x, outer_masks) == F.col("c")) & (
         (F.col("s") < 0) | (_first_zero(x, F.get(inner_masks, F.col("c"))) == F.col("s"))
     )
+    pairs = a.join(b, keys).filter(F.when(near, first).otherwise(F.lit(False)))
     return pairs.select(
         F.least("a", "b").alias("h_a"), F.greatest("a", "b").alias("h_b"), hamming(F.col("a"), F.col("b")).alias("distance")
     )
@@ -177,24 +179,17 @@ def _split_bits(nodes: DataFrame) -> DataFrame:
 
 
 def _per_hash(nodes: DataFrame) -> DataFrame:
-    """Total and per-label counts of every hash; the arrays are bounded by splits and classes."""
-    by_split = nodes.groupBy("h", "split_idx").agg(F.sum("n").alias("n"))
-    by_class = nodes.groupBy("h", "class").agg(F.sum("n").alias("n"))
-    splits = by_split.groupBy("h").agg(
-        F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct(F.coalesce("split_idx", F.lit(-1)), "n"))).alias("in_split")
-    )
-    classes = by_class.groupBy("h").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.coalesce("class", F.lit("")), "n"))).alias("in_class")
-    )
-    return splits.join(classes, "h")
+    """Total and labels of every hash; the array has one entry per split and class, not per record."""
+    entry = F.struct(F.col("split_idx").alias("split"), F.col("class").alias("class"), F.col("n").alias("n"))
+    return nodes.groupBy("h").agg(F.sum("n").alias("n"), F.collect_list(entry).alias("labels"))
 
 
-def _same(first: Column, second: Column) -> Column:
-    """Number of pairs with equal labels: the dot product of two count maps."""
-    return F.aggregate(
-        F.map_entries(first), F.lit(0).cast("bigint"),
-        lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(second, e["key"]), F.lit(0).cast("bigint")),
-    )
+def _same(first: Column, second: Column, label: str) -> Column:
+    """Number of record pairs of two groups that agree on ``label``."""
+    zero = F.lit(0).cast("bigint")
+    return F.aggregate(first, zero, lambda total, a: total + a["n"] * F.aggregate(
+        F.filter(second, lambda b: b[label].eqNullSafe(a[label])), zero, lambda part, b: part + b["n"]
+    ))
 
 
 def near_dup_edges(
@@ -209,21 +204,21 @@ def near_dup_edges(
     hashes = materialize(_per_hash(nodes))
     # "every pair" needs no split bits
     pairs = near_hash_pairs(hashes.select("h", F.lit(0).cast("bigint").alias("splits")), distance, spare=spare, hot=hot)
-    a = hashes.select(F.col("h").alias("h_a"), F.col("n").alias("n_a"), F.col("in_split").alias("sa"), F.col("in_class").alias("ca"))
-    b = hashes.select(F.col("h").alias("h_b"), F.col("n").alias("n_b"), F.col("in_split").alias("sb"), F.col("in_class").alias("cb"))
+    a = hashes.select(F.col("h").alias("h_a"), F.col("n").alias("n_a"), F.col("labels").alias("la"))
+    b = hashes.select(F.col("h").alias("h_b"), F.col("n").alias("n_b"), F.col("labels").alias("lb"))
     every = F.col("n_a") * F.col("n_b")
     apart = pairs.join(a, "h_a").join(b, "h_b").select(
         "h_a", "h_b", "distance", "n_a", "n_b", every.alias("pair_count"),
-        (every - _same(F.col("sa"), F.col("sb"))).alias("cross_split_pairs"),
-        (every - _same(F.col("ca"), F.col("cb"))).alias("cross_class_pairs"),
+        (every - _same(F.col("la"), F.col("lb"), "split")).alias("cross_split_pairs"),
+        (every - _same(F.col("la"), F.col("lb"), "class")).alias("cross_class_pairs"),
     )
     square = F.col("n") * F.col("n")
     copies = hashes.filter("n > 1").select(
         F.col("h").alias("h_a"), F.col("h").alias("h_b"), F.lit(0).cast("bigint").alias("distance"),
         F.col("n").alias("n_a"), F.col("n").alias("n_b"),
         ((square - F.col("n")) / 2).cast("bigint").alias("pair_count"),
-        ((square - _same(F.col("in_split"), F.col("in_split"))) / 2).cast("bigint").alias("cross_split_pairs"),
-        ((square - _same(F.col("in_class"), F.col("in_class"))) / 2).cast("bigint").alias("cross_class_pairs"),
+        ((square - _same(F.col("labels"), F.col("labels"), "split")) / 2).cast("bigint").alias("cross_split_pairs"),
+        ((square - _same(F.col("labels"), F.col("labels"), "class")) / 2).cast("bigint").alias("cross_class_pairs"),
     )
     found = apart.unionByName(copies).withColumns({"hash_a": hex64(F.col("h_a")), "hash_b": hex64(F.col("h_b"))})
     swap = F.col("hash_a") > F.col("hash_b")  # BIGINT order is signed, text order is not

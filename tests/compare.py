@@ -12,6 +12,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+timing: list[float] = []
+
+
 def normal(value):
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return None
@@ -36,8 +39,11 @@ def connect(d):
 
 def compare(spark, con, d, query, sql):
     """Empty text when both sides agree, else what differs."""
+    timing[:] = [time.time()]
     df = query(spark, d)
+    timing.append(time.time())
     left_columns, left = df.columns, [tuple(r) for r in df.collect()]
+    timing.append(time.time())
     cursor = con.execute(sql)
     right_columns = [c[0] for c in cursor.description]
     right = cursor.fetchall()
@@ -76,7 +82,7 @@ def main():
         except Exception as error:  # noqa: BLE001
             problem = f"{type(error).__name__}: {str(error)[:700]}"
         bad += bool(problem)
-        print(f"{'BAD ' if problem else 'ok  '} {name} {time.time() - start:.1f}s{'' if name in oracle else ' (rows only)'} {problem}", flush=True)
+        print(f"{'BAD ' if problem else 'ok  '} {name} {time.time() - start:.1f}s {[round(b - a, 1) for a, b in zip(timing, timing[1:])]}{'' if name in oracle else ' (rows only)'} {problem}", flush=True)
     print("bad:", bad, "missing oracle:", sorted(set(queries) - set(oracle)), "extra:", sorted(set(oracle) - set(queries)))
 
 
