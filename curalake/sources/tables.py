@@ -13,15 +13,21 @@ from curalake.operators.violations import GateError
 from curalake.session import class_table, computed
 
 
-def scan_manifest(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """CSV manifest with every column as text, quoted JSON and mixed line ends included.
+def scan_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None, line_breaks: bool = False) -> DataFrame:
+    """CSV with every column as text; types are never inferred.
 
-    Without ``columns`` the header decides; types are never inferred.
+    By default files are splittable and mixed CRLF and LF line ends are fine. Quoted
+    values with ``line_breaks`` need one task per file.
     """
-    reader = spark.read.options(header=True, multiLine=True, escape='"', inferSchema=False)
+    reader = spark.read.options(header=True, escape='"', inferSchema=False, multiLine=line_breaks)
     if columns is not None:
         reader = reader.schema(S.all_strings(list(columns)))
-    manifest = reader.csv(path)
+    return reader.csv(path)
+
+
+def scan_manifest(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None, line_breaks: bool = False) -> DataFrame:
+    """Manifest scan; without ``columns`` the header decides. An empty manifest is refused."""
+    manifest = scan_csv(spark, path, columns, line_breaks)
     if manifest.isEmpty():
         raise GateError(f"manifest is empty: {path}")
     return manifest
@@ -81,9 +87,9 @@ def scan_decisions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.DECISIONS_DDL).json(path, multiLine=True)
 
 
-def scan_feedback(spark: SparkSession, path: str) -> DataFrame:
+def scan_feedback(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
     """Feedback log as text; the position in the file is kept as ``seq`` for the recall order."""
-    return spark.read.options(header=True, multiLine=True, escape='"').csv(path).withColumn("seq", F.monotonically_increasing_id())
+    return scan_csv(spark, path, line_breaks=line_breaks).withColumn("seq", F.monotonically_increasing_id())
 
 
 def write_splits(df: DataFrame, path: str) -> None:
