@@ -49,12 +49,19 @@ def hex_hamming(first: Column, second: Column) -> Column:
 
 
 def grid_difference_hash(grid: Column, size: int = 8) -> Column:
-    """Difference hash of a row-major ``size x (size+1)`` grid, least significant bit first."""
-    bits = let(grid, lambda g: F.transform(
-        F.sequence(F.lit(size * size - 1), F.lit(0)),
-        lambda i: F.when(F.get(g, _cell(i, size) + 1) > F.get(g, _cell(i, size)), F.lit("1")).otherwise(F.lit("0")),
-    ))
-    return F.lpad(F.lower(F.conv(F.array_join(bits, ""), 2, 16)), (size * size + 3) // 4, "0")
+    """Difference hash of a row-major ``size x (size+1)`` grid, least significant bit first.
+
+    Null for a grid that is missing or has another size.
+    """
+    def text(g: Column) -> Column:
+        bits = F.transform(
+            F.sequence(F.lit(size * size - 1), F.lit(0)),
+            lambda i: F.when(F.get(g, _cell(i, size) + 1) > F.get(g, _cell(i, size)), F.lit("1")).otherwise(F.lit("0")),
+        )
+        digits = F.lpad(F.lower(F.conv(F.array_join(bits, ""), 2, 16)), (size * size + 3) // 4, "0")
+        return F.when(F.size(g) == size * (size + 1), digits)
+
+    return let(grid, text)
 
 
 def _cell(bit: Column, size: int) -> Column:

@@ -14,7 +14,7 @@ from curalake.session import class_table
 def decision_rows(decisions: DataFrame) -> DataFrame:
     """Decision documents (``schemas.DECISIONS_DDL``) -> ``class_name, accepted_index``."""
     return decisions.select(F.explode("accepted_class_indices").alias("class_name", "indices")).select(
-        "class_name", F.explode("indices").cast("bigint").alias("accepted_index")
+        "class_name", F.explode(F.col("indices").cast("array<bigint>")).alias("accepted_index")
     )
 
 

@@ -133,13 +133,14 @@ def test_review_decisions(spark):
 
 
 def test_bind_and_split_jobs(spark, tmp_path):
+    import hashlib
     import random
 
     rnd = random.Random(3)
     data = [(f"{c}/{i:02d}.jpg", c, "l", "s", "u", "CC", f"{c}{i}", "pending", "") for c in S.CLASS_NAMES for i in range(12)]
     records = spark.createDataFrame(data, ", ".join(f"{c} string" for c in S.RECORD_COLUMNS))
     content = spark.createDataFrame(
-        [(r[0], f"{i:064x}", f"{rnd.getrandbits(64):016x}") for i, r in enumerate(data)], "file_path string, actual_checksum string, actual_hash string"
+        [(r[0], hashlib.sha256(r[0].encode()).hexdigest(), f"{rnd.getrandbits(64):016x}") for r in data], "file_path string, actual_checksum string, actual_hash string"
     )
     decisions = spark.createDataFrame([(c, i) for c in S.CLASS_NAMES for i in range(10)], "class_name string, accepted_index bigint")
     bound = jobs.bind_reviewed_manifest(records, decisions, "p", content)
@@ -150,8 +151,7 @@ def test_bind_and_split_jobs(spark, tmp_path):
     with pytest.raises(Exception, match="exists"):
         tables.write_splits(split, str(tmp_path / "split"))
     broken = content.withColumn("actual_checksum", F.repeat(F.lit("0"), F.lit(64)))
-    # the first image's recorded digest is 64 zeros
-    assert manifest.content_mismatches(bound, broken).filter("error = 'checksum_mismatch'").count() == 39
+    assert manifest.content_mismatches(bound, broken).filter("error = 'checksum_mismatch'").count() == 40
 
 
 def test_content_mismatches(spark):
