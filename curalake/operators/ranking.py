@@ -24,7 +24,8 @@ def seeded_rank(
     """1-based rank in ``group`` by ``(tier, md5(seed:identity), identity)``.
 
     md5 is uniform, so its first ``digits`` hex digits cut every group into
-    ``16**digits`` equal chunks that are already in order. Adds ``name`` and
+    ``16**digits`` equal chunks that are already in order. The input is read twice
+    (counts, then ranks), so pass it without costly columns and join those later. Adds ``name`` and
     ``group_total``. ``keep`` is an optional bound over ``group_total``: chunks
     that start beyond it are dropped before anything is sorted.
     """

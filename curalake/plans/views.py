@@ -79,7 +79,9 @@ def split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hashed_split(spark: SparkSession, d: str) -> DataFrame:
-    return stratified_split(hashed_manifest(spark, d), trim=True)
+    # ranking reads its input twice, so the hashes, which need the whole texts, join afterwards
+    hashes = hashed_manifest(spark, d).select("doc_id", "perceptual_hash")
+    return split(spark, d).join(hashes, "doc_id")
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
