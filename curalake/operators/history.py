@@ -14,9 +14,9 @@ def history_epochs(reports: DataFrame, run: str = "run_id") -> DataFrame:
     zipped = F.arrays_zip(F.col("training_metrics").alias("t"), F.col("validation_metrics").alias("v"))
     rows = reports.select(run, F.posexplode(zipped).alias("position", "m"))
     return rows.select(
-        run, (F.col("position") + 1).cast("bigint").alias("epoch"), F.col("m")["validation_metrics"]["stage"].alias("stage"),
-        F.col("m")["validation_metrics"]["loss"].alias("loss"), F.col("m")["training_metrics"]["loss"].alias("training_loss"),
-        F.col("m")["validation_metrics"]["learning_rate"].alias("learning_rate"),
+        run, (F.col("position") + 1).cast("bigint").alias("epoch"), F.col("m")["v"]["stage"].alias("stage"),
+        F.col("m")["v"]["loss"].alias("loss"), F.col("m")["t"]["loss"].alias("training_loss"),
+        F.col("m")["v"]["learning_rate"].alias("learning_rate"),
     )
 
 
