@@ -209,13 +209,12 @@ def similar_components(docs: DataFrame) -> DataFrame:
     )
     order = W.partitionBy("key").orderBy("n", "rep")
     rows = reps.select("rep", "n", F.explode("keys").alias("key"))
-    members = rows.withColumns({"prev": F.lag(F.struct("rep", "n")).over(order), "next": F.lead("rep").over(order)})
-    members = written(members.filter("prev IS NOT NULL OR next IS NOT NULL").drop("next"), "shingle-members")
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    members = rows.withColumns({"prev": F.lag(F.struct("rep", "n")).over(order), "c": F.count(F.lit(1)).over(W.partitionBy("key"))})
+    members = written(members.filter("c > 1"), "shingle-members")
 
     # every key's chain, and every pair of a small key
     chain = members.filter("prev IS NOT NULL").select(F.col("prev.rep").alias("a"), F.col("prev.n").alias("n"), F.col("rep").alias("b"), F.col("n").alias("m"))
-    small = members.select("key", "rep", "n").join(sizes.filter((F.col("c") > 2) & (F.col("c") <= SMALL_KEY)).select("key"), "key")
+    small = members.filter((F.col("c") > 2) & (F.col("c") <= SMALL_KEY))
     full = small.select("key", F.col("rep").alias("a"), "n").join(small.select("key", F.col("rep").alias("b"), F.col("n").alias("m")), "key").filter("a < b")
     pairs = chain.unionByName(full.select("a", "n", "b", "m")).filter(_sizes_fit(F.col("n"), F.col("m")) & (F.col("a") != F.col("b")))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -225,15 +224,17 @@ def similar_components(docs: DataFrame) -> DataFrame:
     edges = written(verified(written(close, "shingle-pairs"), docs), "shingle-links")
     groups = written(components(edges), "shingle-groups")
 
-    # dense documents in large keys, across components
-    hot = members.select("key", "rep").join(sizes.filter(F.col("c") > SMALL_KEY).select("key"), "key")
-    dense = hot.groupBy("rep").agg(F.count(F.lit(1)).alias("h")).filter(F.col("h") >= DENSE).select("rep")
-    placed = hot.join(dense, "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("g"))
-    open_keys = placed.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high").select("key")
-    placed = written(placed.join(open_keys, "key").join(table, "rep"), "shingle-dense")
-    left, right = (placed.select("key", F.col("rep").alias(i), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"s{i}"), F.col("g").alias(f"g{i}")) for i in "ab")
+    # dense documents in large keys: those outside the key's largest component meet all others (at most 2 * KEYS keys a document)
+    dense = members.filter(F.col("c") > SMALL_KEY).groupBy("rep").agg(F.collect_set("key").alias("keys")).filter(F.size("keys") >= DENSE)
+    placed = dense.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("g", F.coalesce("component", "rep")).join(table, "rep")
+    placed = written(placed.select("rep", "n", "sketch", "g", "keys"), "shingle-dense")
+    cells = placed.select("rep", "n", "sketch", "g", F.explode("keys").alias("key"))
+    largest = cells.groupBy("key", "g").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
+        F.max_by("g", F.struct("c", "g")).alias("g"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    left, right = (cells.select("key", F.col("rep").alias(i), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"s{i}"), F.col("g").alias(f"g{i}")) for i in "ab")
+    left = left.join(largest, "key").filter("ga <> g")
     fits = _sizes_fit(F.col("na"), F.col("nb")) & _sketches_fit(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"))
-    more = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & fits).select("a", "b").distinct()
+    more = left.join(right, "key").filter((F.col("ga") != F.col("gb")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = written(more, "shingle-pairs")
     if not more.isEmpty():
         edges = edges.unionByName(written(verified(more, docs), "shingle-links"))
