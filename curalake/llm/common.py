@@ -53,3 +53,8 @@ def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], salt: Column, l
     name = free_name(df, "_salt")
     spread = table.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return df.withColumn(name, F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(spread, [*keys, name]).drop(name)
+
+
+def narrow(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A written key table, marked for broadcast if it has at most ``limit`` rows; a larger one is left to a shuffle join."""
+    return F.broadcast(table) if table.count() <= limit else table

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curalake.llm.common import bounded_batches, written
+from curalake.llm.common import bounded_batches, narrow, written
 from curalake.llm.components import components
 
 WORDS = 5
@@ -183,7 +183,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         for texts in batches:
             yield pd.Series([s.view(np.int64) for s in shingle_sets(texts.tolist())])
 
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
+    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(narrow(written(ids, "shingle-ids")), "doc_id", "left_semi")
     table = written(chosen.select("doc_id", sets("text").alias("s")), "shingle-sets")
     left = table.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
     right = table.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
@@ -249,4 +249,4 @@ def similar_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The document with the smallest doc_id of each component; documents without shingles and without doc_id stay."""
     losers = similar_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(narrow(written(losers, "shingle-losers")), "doc_id", "left_anti").select(*docs.columns)
