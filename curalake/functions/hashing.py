@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from curalake.functions.text import strip
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row.
@@ -24,7 +26,7 @@ def is_hex(col: Column, width: int) -> Column:
 
 def hash64(hex_hash: Column) -> Column:
     """16 hex digits as one signed BIGINT, built from two 32-bit halves."""
-    text = F.lower(F.trim(hex_hash))
+    text = F.lower(strip(hex_hash))
     high = F.conv(F.substring(text, 1, 8), 16, 10).cast("bigint")
     low = F.conv(F.substring(text, 9, 8), 16, 10).cast("bigint")
     return F.shiftleft(high, 32).bitwiseOR(low)
@@ -42,7 +44,7 @@ def hamming(first: Column, second: Column) -> Column:
 
 def hex_hamming(first: Column, second: Column) -> Column:
     """Bit distance of two equal-width hex texts (up to 16 digits), else null."""
-    a, b = F.lower(F.trim(first)), F.lower(F.trim(second))
+    a, b = F.lower(strip(first)), F.lower(strip(second))
     usable = (F.length(a) == F.length(b)) & a.rlike(r"\A[0-9a-f]{1,16}\z") & b.rlike(r"\A[0-9a-f]{1,16}\z")
     wide_a, wide_b = F.lpad(a, 16, "0"), F.lpad(b, 16, "0")
     return F.when(usable, hamming(hash64(wide_a), hash64(wide_b)))

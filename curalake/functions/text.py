@@ -18,6 +18,11 @@ def html_unescape(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 
 
+def strip(value: Column) -> Column:
+    """Without leading and trailing white space of any kind, the information separators included."""
+    return F.regexp_replace(value.cast("string"), r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
 def plain_text(value: Column) -> Column:
     """Unescape first, then drop tags, so an escaped tag vanishes as well."""
     untagged = F.regexp_replace(html_unescape(value), r"<[^>]+>", "")
@@ -26,11 +31,11 @@ def plain_text(value: Column) -> Column:
 
 def folded(value: Column) -> Column:
     """Trimmed and lower-cased; null becomes empty."""
-    return F.lower(F.trim(F.coalesce(value, F.lit(""))))
+    return F.lower(strip(F.coalesce(value, F.lit(""))))
 
 
 def is_blank(value: Column) -> Column:
-    return F.trim(F.coalesce(value.cast("string"), F.lit(""))) == ""
+    return strip(F.coalesce(value.cast("string"), F.lit(""))) == ""
 
 
 def basename(path: Column) -> Column:
@@ -43,7 +48,7 @@ def parent_directory(path: Column) -> Column:
 
 def safe_name(image_id: Column, path: Column) -> Column:
     """Destination file name: sanitised id, two underscores, base name."""
-    safe = F.regexp_replace(F.trim(F.coalesce(image_id, F.lit(""))), r"[^A-Za-z0-9_.-]+", "_")
+    safe = F.regexp_replace(strip(F.coalesce(image_id, F.lit(""))), r"[^A-Za-z0-9_.-]+", "_")
     return F.when(safe == "", basename(path)).otherwise(F.concat(safe, F.lit("__"), basename(path)))
 
 
@@ -85,7 +90,7 @@ def title_case(value: Column) -> Column:
 
 
 def availability_label(value: Column) -> Column:
-    key = F.lower(F.trim(value))
+    key = F.lower(strip(value))
     label = F.lit(None).cast("string")
     for name, text in AVAILABILITY_LABELS.items():
         label = F.when(key == name, text).otherwise(label)

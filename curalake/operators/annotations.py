@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from curalake import schemas as S
 from curalake.functions.geometry import area, bounding_box, covered_fraction, square_crop
 from curalake.functions.hashing import let
-from curalake.functions.text import image_path, is_blank
+from curalake.functions.text import image_path, is_blank, strip
 from curalake.session import computed
 
 
@@ -22,9 +22,9 @@ def usable_objects(objects: Column) -> Column:
         return F.filter(points, lambda p: (F.size(p) >= 2) & F.get(p, F.lit(0)).isNotNull() & F.get(p, F.lit(1)).isNotNull())
 
     polygons = F.filter(
-        objects, lambda o: (o["geometryType"] == "polygon") & (F.trim(F.coalesce(o["classTitle"], F.lit(""))) != "") & (F.size(o["points"]["exterior"]) >= 3)
+        objects, lambda o: (o["geometryType"] == "polygon") & (strip(F.coalesce(o["classTitle"], F.lit(""))) != "") & (F.size(o["points"]["exterior"]) >= 3)
     )
-    cleaned = F.transform(polygons, lambda o: F.struct(F.trim(o["classTitle"]).alias("title"), numeric(o["points"]["exterior"]).alias("points")))
+    cleaned = F.transform(polygons, lambda o: F.struct(strip(o["classTitle"]).alias("title"), numeric(o["points"]["exterior"]).alias("points")))
     return F.transform(F.filter(cleaned, lambda o: F.size(o["points"]) >= 3), lambda o: F.struct(
         o["title"].alias("title"), F.lower(o["title"]).alias("label"), bounding_box(o["points"]).alias("box")
     ))
@@ -105,5 +105,5 @@ def licensed_candidates(listing: DataFrame, excluded: DataFrame | None, limit: i
     rest = [c for c in rows.columns if c != "page_id"]
     unique = rows.groupBy("page_id").agg(F.min(F.struct(*rest)).alias("_row")).select("page_id", "_row.*")
     return unique.orderBy("page_id").limit(limit).withColumn(
-        "licence", F.concat(F.trim("licence"), F.lit(" ("), F.trim("licence_url"), F.lit(")"))
+        "licence", F.concat(strip(F.col("licence")), F.lit(" ("), strip(F.col("licence_url")), F.lit(")"))
     )

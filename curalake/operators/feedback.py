@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curalake.functions.text import strip
 from curalake import schemas as S
 
 
@@ -53,7 +54,7 @@ def feedback_upgrade(df: DataFrame, columns: Sequence[str] = tuple(S.FEEDBACK_CO
 
 def human_label(class_names: Sequence[str]) -> Column:
     """The label a feedback row confirms or corrects, null when it names no configured class."""
-    correct = F.lower(F.trim(F.coalesce(F.col("is_correct").cast("string"), F.lit("")))) == "true"
+    correct = F.lower(strip(F.coalesce(F.col("is_correct").cast("string"), F.lit("")))) == "true"
     label = F.when(correct, F.col("predicted_class")).otherwise(F.col("corrected_class"))
     return F.when(label.isin(list(class_names)), label)
 

@@ -19,7 +19,7 @@ PART_FIELDS = ["part_name", "mock_price", "currency", "fake_stock_quantity", "av
 class Catalog:
     """A catalog in relational form."""
 
-    defects: DataFrame  # object_type, class_name, display_name
+    defects: DataFrame  # object_type, class_name, display_name; all three may have ``seq``, the order of submission
     steps: DataFrame  # class_name, position, instruction
     parts: DataFrame  # class_name, part_id, PART_FIELDS.., last_updated
 
@@ -49,12 +49,14 @@ KEYS = {
 
 def flatten_catalog(nested: DataFrame) -> Catalog:
     """Nested catalog rows (``schemas.CATALOG_DDL``) -> defects, steps, parts."""
-    entries = nested.select("object_type", "inventory_last_updated", F.inline("defects"))
-    steps = entries.select("class_name", F.posexplode("repair_steps").alias("position", "instruction"))
+    entries = nested.select("object_type", "inventory_last_updated", F.posexplode("defects").alias("seq", "entry"))
+    entries = entries.select("object_type", "inventory_last_updated", "seq", "entry.*")
+    steps = entries.select("class_name", "seq", F.posexplode("repair_steps").alias("position", "instruction"))
     return Catalog(
-        defects=entries.select("object_type", "class_name", "display_name"),
+        defects=entries.select("object_type", "class_name", "display_name", "seq"),
         steps=steps.withColumn("position", (F.col("position") + 1).cast("bigint")),
-        parts=entries.select("class_name", F.col("inventory_last_updated").alias("last_updated"), F.inline("parts")),
+        parts=entries.select("class_name", F.col("inventory_last_updated").alias("last_updated"), "seq", F.posexplode("parts").alias("place", "part")).select(
+            "class_name", "last_updated", "part.*", F.struct("last_updated", "seq", "place").alias("seq")),
     )
 
 
@@ -64,25 +66,28 @@ def step_id(class_name: Column, position: Column) -> Column:
 
 
 def _latest(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """One row per key; among repeated submissions the greatest row wins, on every run."""
-    rest = [c for c in df.columns if c not in key]
+    """One row per key; among repeated submissions the last one (``seq``) wins, and without ``seq`` the greatest row."""
+    rest = [c for c in df.columns if c not in key and c != "seq"]
     if not rest:
-        return df.distinct()
-    packed = df.groupBy(*key).agg(F.max(F.struct(*rest)).alias("_row"))
+        return df.select(*key).distinct()
+    row = F.struct(*rest)
+    packed = df.groupBy(*key).agg((F.max_by(row, F.struct("seq", row)) if "seq" in df.columns else F.max(row)).alias("_row"))
     return packed.select(*key, "_row.*")
 
 
 def graph_from_catalog(catalog: Catalog) -> Graph:
+    seq = lambda df: [c for c in ("seq",) if c in df.columns]
     steps = catalog.steps.withColumn("step_id", step_id(F.col("class_name"), F.col("position")))
     inventory = catalog.parts.select(
+        *seq(catalog.parts),
         F.col("part_id").alias("inventory_id"), "mock_price", "currency", "fake_stock_quantity", "availability_status",
         "last_updated", F.lit(True).alias("is_simulated"),
     )
     tables = {
         "object_type": catalog.defects.select(F.col("object_type").alias("name")),
-        "defect": catalog.defects.select("class_name", "display_name"),
-        "repair_step": steps.select("step_id", "instruction"),
-        "part": catalog.parts.select("part_id", "part_name"),
+        "defect": catalog.defects.select("class_name", "display_name", *seq(catalog.defects)),
+        "repair_step": steps.select("step_id", "instruction", *seq(steps)),
+        "part": catalog.parts.select("part_id", "part_name", *seq(catalog.parts)),
         "inventory": inventory,
         "can_have": catalog.defects.select("object_type", "class_name"),
         "has_repair_step": steps.select("class_name", "step_id", "position"),

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curalake.functions.text import strip
+
 IDENTITY_COLUMNS = ("checksum", "image_id", "file_path", "source_group")
 
 
@@ -22,7 +24,7 @@ def cross_split_duplicates(df: DataFrame, splits: Sequence[str], split: str = "d
     present = [c for c in IDENTITY_COLUMNS if c in df.columns]
     keys = []
     for c in present:
-        value = F.trim(F.col(c).cast("string"))
+        value = strip(F.col(c).cast("string"))
         keys.append(F.struct(F.lit(c).alias("c"), (F.lower(value) if c == "file_path" else value).alias("v")))
     return (
         df.select(bits.alias("bits"), F.inline(F.array(*keys)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from curalake import schemas as S
 from curalake.functions.hashing import is_hex
-from curalake.functions.text import basename, folded, is_blank, parent_directory, safe_name
+from curalake.functions.text import basename, folded, is_blank, parent_directory, safe_name, strip
 from curalake.operators.violations import GateError, missing_columns, row_violations
 from curalake.session import class_table, config_table
 
@@ -31,7 +31,7 @@ def union_splits(frames: Mapping[str, DataFrame], tag: str = "audit_split") -> D
 
 def normalize_required(df: DataFrame, columns: Sequence[str] = tuple(S.REQUIRED_COLUMNS)) -> DataFrame:
     """Required columns as trimmed text, null as empty."""
-    return df.withColumns({c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns})
+    return df.withColumns({c: strip(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns})
 
 
 def duplicate_keys(df: DataFrame, columns: Sequence[str], ignore_blank: bool = True) -> DataFrame:
@@ -40,7 +40,7 @@ def duplicate_keys(df: DataFrame, columns: Sequence[str], ignore_blank: bool = T
     One unpivot and one partially aggregated shuffle for all key columns.
     """
     keys = F.array(*[
-        F.struct(F.lit(c).alias("key_column"), F.trim(F.col(c).cast("string")).alias("key_value")) for c in columns
+        F.struct(F.lit(c).alias("key_column"), strip(F.col(c).cast("string")).alias("key_value")) for c in columns
     ])
     pairs = df.select(F.inline(keys)).filter(F.col("key_value").isNotNull())
     if ignore_blank:
@@ -107,7 +107,7 @@ def accepted_violations(records: DataFrame, class_names: Sequence[str] = tuple(S
 
 def class_set_difference(df: DataFrame, class_names: Sequence[str], column: str = "class_name") -> DataFrame:
     """Classes on one side only: ``missing`` from the data or ``unexpected`` in it."""
-    observed = df.select(F.trim(F.col(column)).alias("class_name")).filter("class_name IS NOT NULL").distinct()
+    observed = df.select(strip(F.col(column)).alias("class_name")).filter("class_name IS NOT NULL").distinct()
     expected = class_table(df.sparkSession, class_names).select("class_name")
     missing = expected.join(observed, "class_name", "left_anti").withColumn("side", F.lit("missing"))
     extra = observed.join(expected, "class_name", "left_anti").withColumn("side", F.lit("unexpected"))
@@ -118,7 +118,7 @@ def class_coverage(df: DataFrame, class_names: Sequence[str], column: str = "cla
     """Full outer comparison of configured and observed classes with counts."""
     expected = class_table(df.sparkSession, class_names).select("class_name", F.lit(True).alias("expected"))
     observed = (
-        df.select(F.trim(F.col(column)).alias("class_name")).filter("class_name IS NOT NULL")
+        df.select(strip(F.col(column)).alias("class_name")).filter("class_name IS NOT NULL")
         .groupBy("class_name").agg(F.count(F.lit(1)).alias("record_count"))
     )
     return observed.join(expected, "class_name", "full").select(

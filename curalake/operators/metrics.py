@@ -43,14 +43,19 @@ def misclassified(predictions: DataFrame) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, class_names: Sequence[str]) -> DataFrame:
-    """``(true_idx, pred_idx, true_class, predicted_class, n)`` for all K x K cells, zeros included."""
+    """``(true_idx, pred_idx, true_class, predicted_class, n)`` for all K x K cells, zeros included.
+
+    A label that is null or outside the classes fails the query.
+    """
     classes = class_table(df.sparkSession, class_names)
     last = F.lit(len(class_names) - 1)
     cells = classes.select(
         F.col("idx").alias("true_idx"), F.col("class_name").alias("true_class"),
         F.explode(F.sequence(F.lit(0), last).cast("array<bigint>")).alias("pred_idx"),
     ).withColumn("predicted_class", F.get(F.array(*map(F.lit, class_names)), F.col("pred_idx").cast("int")))
-    counts = df.groupBy(F.col("true_idx").cast("bigint").alias("true_idx"), F.col("pred_idx").cast("bigint").alias("pred_idx")).agg(F.count(F.lit(1)).alias("c"))
+    known = lambda c: F.when(F.col(c).between(0, len(class_names) - 1), F.col(c).cast("bigint")).otherwise(
+        F.raise_error(F.lit(f"{c} outside the classes")).cast("bigint")).alias(c)
+    counts = df.groupBy(known("true_idx"), known("pred_idx")).agg(F.count(F.lit(1)).alias("c"))
     return cells.join(counts, ["true_idx", "pred_idx"], "left").select(
         "true_idx", "pred_idx", "true_class", "predicted_class", F.coalesce("c", F.lit(0)).alias("n")
     )

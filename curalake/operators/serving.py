@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curalake import schemas as S
-from curalake.functions.text import basename
+from curalake.functions.text import basename, strip
 from curalake.operators.violations import first_broken
 
 
@@ -19,7 +19,7 @@ def extension_matches(filename: Column, content_type: Column, media: Mapping[str
     """
     visible = F.regexp_replace(basename(filename), r"\A\.+", "")
     suffix = F.lower(F.regexp_extract(visible, r"(\.[^.]+)\z", 1))
-    kind = F.lower(F.trim(content_type))
+    kind = F.lower(strip(content_type))
     result = F.lit(False)
     for name, extensions in media.items():
         result = F.when(kind == name, suffix.isin(list(extensions))).otherwise(result)

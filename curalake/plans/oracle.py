@@ -32,9 +32,12 @@ VIEWS = {
         SELECT *, row_number() OVER (PARTITION BY class_name ORDER BY md5('42:' || image_id), image_id) AS r,
             count(*) OVER (PARTITION BY class_name) AS n
         FROM manifest""",
-    "split": """
+    "trimmed": """
         SELECT * EXCLUDE (r, n), CASE WHEN r <= (n - n % 10) // 10 * 8 THEN 'train' WHEN r <= (n - n % 10) // 10 * 9 THEN 'validation' ELSE 'test' END AS dataset_split
         FROM ranked WHERE r <= n - n % 10""",
+    "split": """
+        SELECT * EXCLUDE (r, n), CASE WHEN r <= round(n * 0.8::DOUBLE) THEN 'train' WHEN r <= round(n * 0.8::DOUBLE) + round(n * 0.1::DOUBLE) THEN 'validation' ELSE 'test' END AS dataset_split
+        FROM ranked""",
     "words": """
         SELECT doc_id, ('0x' || md5(w)[1:6])::BIGINT % 72 AS cell, count(*) AS c
         FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS w FROM documents) WHERE w <> '' GROUP BY ALL""",
@@ -361,7 +364,7 @@ BODIES = {
     "defect_lookup": """
         SELECT class_name AS found_class, display_name, count(*) AS n FROM lineitem LEFT JOIN defects ON s_suppkey = l_suppkey + l_linenumber % 2 * 5 GROUP BY ALL""",
     "parts_for_defect": """
-        SELECT class_name, part_id, part_name, mock_price, currency, fake_stock_quantity, availability_status, last_updated FROM pairs JOIN attributes USING (p_partkey) WHERE class_name LIKE '%1'""",
+        SELECT class_name, part_id, part_name, mock_price, currency, fake_stock_quantity, availability_status, last_updated FROM pairs JOIN attributes USING (p_partkey)""",
     "repair_steps_for_defect": "SELECT class_name, position, step_id, instruction FROM steps",
     "inventory_last_updated": "SELECT max(last_updated) AS inventory_last_updated FROM attributes",
     "knowledge_fallback": """
@@ -390,7 +393,7 @@ BODIES = {
             UNION ALL SELECT 'orders', max(o_orderdate) >= TIMESTAMP '1995-01-01' FROM orders)""",
     "apply_review_decisions": """
         SELECT file_path, p.class_name, record_index, CASE WHEN d.accepted_index IS NOT NULL THEN 'accepted' ELSE 'rejected' END AS review_status,
-            review_notes || CASE WHEN d.accepted_index IS NOT NULL THEN '; accepted under protocol-2' ELSE '; rejected under protocol-2: failed one or more visual inclusion rules' END AS review_notes
+            review_notes || CASE WHEN d.accepted_index IS NOT NULL THEN '; accepted under protocol-2' ELSE '; rejected under protocol-2: not on the reviewer''s list' END AS review_notes
         FROM placed p LEFT JOIN decisions d ON d.class_name = p.class_name AND d.accepted_index = record_index""",
     "decision_violations": """
         WITH s AS (SELECT class_name, count(*) AS size FROM records GROUP BY 1)
@@ -472,7 +475,7 @@ BODIES = {
     "class_weights": """
         SELECT idx, class_name, count(*) AS record_count, round((SELECT count(*) FROM manifest) / (4 * count(*)), 6) AS weight FROM classes JOIN manifest USING (class_name) GROUP BY ALL""",
     "acquisition_yield": "SELECT count(*) AS new_rows, 96::BIGINT AS needed_rows, count(*) >= 96 AS ok FROM pages WHERE url LIKE 'https://_%'",
-    "stratified_split": "SELECT image_id, class_name, dataset_split FROM split",
+    "stratified_split": "SELECT image_id, class_name, dataset_split FROM trimmed",
     "balanced_sample": "SELECT image_id, class_name FROM ranked WHERE r <= (SELECT least(100, min(n)) - least(100, min(n)) % 10 FROM ranked)",
     "tiered_sample": """
         SELECT image_id, class_name, short_side FROM (SELECT *, row_number() OVER (PARTITION BY class_name ORDER BY short_side < 128, md5('42:' || image_id), image_id) AS q FROM manifest)
@@ -489,7 +492,7 @@ BODIES = {
         SELECT run_id, epoch, stage, loss, improved, s AS epochs_without_improvement, s >= 2 AS stop FROM b""",
     "softmax_predict": """
         SELECT vec_id, list_position(z, list_max(z)) - 1::BIGINT AS pred_idx, round(1 / list_sum(list_transform(z, lambda x: exp(x - list_max(z)))), 6) AS confidence
-        FROM (SELECT vec_id, list_transform(embedding[1:4], lambda x: x::DOUBLE) AS z FROM embeddings)""",
+        FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS z FROM embeddings)""",
     "batch_score": """
         SELECT vec_id, list_position(z, list_max(z)) - 1::BIGINT AS pred_idx, round(1 / list_sum(list_transform(z, lambda x: exp(x - list_max(z)))), 6) AS confidence FROM blocks""",
     "class_set_difference": "SELECT 'chip' AS class_name, 'missing' AS side UNION ALL SELECT 'rust', 'unexpected' FROM (SELECT 1 WHERE EXISTS (FROM manifest WHERE class_name = 'rust'))",

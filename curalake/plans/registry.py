@@ -70,11 +70,6 @@ def annotation_objects(spark, d):
     )
 
 
-@query
-def list_sources(spark, d):
-    return tables.list_files(spark, d, "*.parquet").select(text.basename(F.col("path")).alias("file_name"), "length")
-
-
 @query
 def content_checksum(spark, d):
     return V.table(spark, d, "documents").select(
@@ -368,7 +363,7 @@ def defect_lookup(spark, d):
 @query
 def parts_for_defect(spark, d):
     g = graph.graph_from_catalog(V.supplier_catalog(spark, d))
-    return graph.parts_for_defect(g, g.defect.filter("class_name LIKE '%1'"))
+    return graph.parts_for_defect(g, g.defect)
 
 
 @query
@@ -713,7 +708,7 @@ def violation_counts(spark, d):
 
 @query
 def stratified_split(spark, d):
-    return V.split(spark, d).select("image_id", "class_name", "dataset_split")
+    return sampling.stratified_split(V.manifest(spark, d).drop("text"), trim=True).select("image_id", "class_name", "dataset_split")
 
 
 @query
@@ -744,7 +739,7 @@ def early_stop_trace(spark, d):
 
 @query
 def softmax_predict(spark, d):
-    found = scoring.softmax_predict(V.logits(spark, d))
+    found = scoring.softmax_predict(V.table(spark, d, "embeddings").selectExpr("vec_id", "embedding AS logits"))
     return rounded(found.select("vec_id", "pred_idx", "confidence"), "confidence")
 
 

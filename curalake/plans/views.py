@@ -75,7 +75,7 @@ def records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split(spark: SparkSession, d: str) -> DataFrame:
-    return stratified_split(manifest(spark, d).drop("text"), trim=True)
+    return stratified_split(manifest(spark, d).drop("text"))
 
 
 def hashed_split(spark: SparkSession, d: str) -> DataFrame:

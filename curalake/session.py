@@ -15,7 +15,7 @@ MAX_CONFIG_ROWS = 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one only if none is configured."""
+    """The cluster's checkpoint folder. Only a local session may go without one; it gets a folder of its own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if configured:
@@ -24,6 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
         return configured.rstrip("/")
     current = context.getCheckpointDir()
     if current is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="curalake-"))
         current = context.getCheckpointDir()
     return current.rstrip("/")

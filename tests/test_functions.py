@@ -74,3 +74,10 @@ def test_row_digest_keeps_cells_apart(spark):
     df = spark.createDataFrame([("ab", "c"), ("a", "bc"), (None, "-1:")], "x string, y string")
     assert len({r[0] for r in df.select(hashing.row_digest(F.col("x"), F.col("y"))).collect()}) == 3
     assert rows(df.select(hashing.stable_id(F.lit("dent"), F.lit("0123456789abcdef99")))) == [("dent-0123456789abcdef",)] * 3
+
+
+def test_strip_takes_all_white_space(spark):
+    df = spark.createDataFrame([("\t accepted\n",), ("\x1c x \x85",), ("\t",), (None,)], "s string")
+    assert [r[0] for r in df.select(text.strip(F.col("s"))).collect()] == ["accepted", "x", "", None]
+    assert [r[0] for r in df.select(text.is_blank(F.col("s"))).collect()] == [False, False, True, True]
+    assert df.select(text.folded(F.col("s"))).first()[0] == "accepted"

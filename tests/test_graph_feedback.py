@@ -140,3 +140,13 @@ def test_serve_batch_and_report(spark):
     report = jobs.feedback_report(event(spark, [("p", "f", SHA, "normal", 0.9, True, None, None), ("p", "f", SHA, "normal", 2.0, True, None, None)]),
                                   spark.createDataFrame([], "prediction_id string, image_sha256 string"), S.CLASS_NAMES)
     assert (report.accepted.count(), report.rejected.count()) == (1, 1) and rows(report.latest) == [(SHA, "normal")]
+
+
+def test_last_submission_of_a_part_wins(spark):
+    part = "named_struct('part_id', 'P', 'part_name', 'bolt', 'mock_price', {}D, 'currency', 'INR', 'fake_stock_quantity', 1, 'availability_status', 'in_stock')"
+    entry = "named_struct('class_name', '{}', 'display_name', 'x', 'repair_steps', array('s'), 'parts', array({}))"
+    defects = ", ".join(entry.format(c, part.format(p)) for c, p in (("scratch", 90.0), ("dent", 10.0)))
+    nested = spark.sql(f"SELECT 'car' AS object_type, '2026-08-19' AS inventory_last_updated, array({defects}) AS defects")
+    built = gr.graph_from_catalog(gr.flatten_catalog(nested))
+    assert [r["mock_price"] for r in built.inventory.collect()] == [10.0]
+    assert "seq" not in built.inventory.columns + built.part.columns + built.has_repair_step.columns + built.may_require.columns

@@ -14,14 +14,16 @@ def labels(spark, true, pred, confidence=None):
 
 
 def test_small_label_set(spark):
-    df = labels(spark, [0, 0, 1, 1, 2, 2, 3, 3], [0, 1, 1, 1, 2, 3, 3, 3])
+    df = labels(spark, [0, 0, 0, 1, 2, 2, 2, 3, 3, 3], [0, 2, 0, 1, 2, 2, 1, 3, 0, 3])
     found = {r["class_name"]: r for r in metrics.per_class_metrics(df, S.CLASS_NAMES).collect()}
-    assert [found[c]["support"] for c in S.CLASS_NAMES] == [2, 2, 2, 2]
-    assert [round(found[c]["precision"], 4) for c in S.CLASS_NAMES] == [1, 0.6667, 1, 0.6667]
-    assert [round(found[c]["f1_score"], 4) for c in S.CLASS_NAMES] == [0.6667, 0.8, 0.6667, 0.8]
-    assert metrics.overall_accuracy(df).first()["accuracy"] == 0.75
+    assert [found[c]["support"] for c in S.CLASS_NAMES] == [3, 1, 3, 3]
+    assert [round(found[c]["precision"], 4) for c in S.CLASS_NAMES] == [0.6667, 0.5, 0.6667, 1]
+    assert [round(found[c]["f1_score"], 4) for c in S.CLASS_NAMES] == [0.6667, 0.6667, 0.6667, 0.8]
+    assert metrics.overall_accuracy(df).first()["accuracy"] == 0.7
+    with pytest.raises(Exception, match="outside the classes"):
+        metrics.confusion_matrix(labels(spark, [0, 4], [0, 1]), S.CLASS_NAMES).collect()
     diagonal = rows(metrics.confusion_matrix(df, S.CLASS_NAMES).filter("true_idx = pred_idx"), "true_idx", "n")
-    assert diagonal == [(0, 1), (1, 2), (2, 1), (3, 2)]
+    assert diagonal == [(0, 2), (1, 1), (2, 2), (3, 2)]
 
 
 def test_published_test_set(spark):
@@ -46,10 +48,10 @@ def test_edge_classes(spark):
 
 
 def test_threshold_rules(spark):
-    df = labels(spark, [0, 0, 1, 1], [0, 1, 1, 1], [0.90, 0.40, 0.85, 0.70])
-    chosen = thresholds.select_threshold(df, ["normal", "scratch"], 0.75, [0.30, 0.60, 0.80, 0.60]).first()
-    assert chosen["confidence_threshold"] == 0.60 and chosen["accepted_accuracy"] == 1.0
-    assert thresholds.threshold_sweep(df, ["normal", "scratch"], [0.30, 0.60, 0.80, 0.60]).count() == 3
+    df = labels(spark, [0, 1, 1, 0], [0, 1, 0, 0], [0.95, 0.75, 0.35, 0.85])
+    chosen = thresholds.select_threshold(df, ["normal", "scratch"], 0.75, [0.20, 0.55, 0.90, 0.55]).first()
+    assert chosen["confidence_threshold"] == 0.55 and chosen["accepted_accuracy"] == 1.0
+    assert thresholds.threshold_sweep(df, ["normal", "scratch"], [0.20, 0.55, 0.90, 0.55]).count() == 3
     with pytest.raises(ValueError):
         thresholds.select_threshold(df, ["normal", "scratch"], 0.0)
     none = thresholds.threshold_analysis(df, ["normal", "scratch"], 1.0).first()
