@@ -63,4 +63,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_poisson_mix,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op10_poisson_mix": f"""
+        WITH s AS (SELECT coalesce('=' || source, '') AS k, sum(greatest(coalesce(length(text), 0), 1)) AS size FROM documents GROUP BY 1),
+        w AS (SELECT k, size, pow(size::DOUBLE, {mixing.POWER}) AS weight FROM s),
+        r AS (SELECT k, weight / sum(weight) OVER () * sum(size) OVER () / size AS rate FROM w),
+        cdf AS (SELECT k, sum(exp(n * ln(rate) - rate - lgamma(n + 1))) OVER (PARTITION BY k ORDER BY n) AS upto
+            FROM (SELECT k, rate, unnest(range(ceil(rate + 12 * sqrt(rate) + 24)::BIGINT)) AS n FROM r)),
+        d AS (SELECT *, ('0x' || md5('{mixing.SEED}:' || coalesce('=' || doc_id, ''))[1:13])::BIGINT / (1::BIGINT << 52)::DOUBLE AS u FROM documents),
+        c AS (SELECT doc_id, count(*) AS copies FROM d JOIN cdf ON k = coalesce('=' || source, '') AND upto <= u GROUP BY 1),
+        x AS (SELECT doc_id, unnest(range(1, copies + 1)) AS copy_no FROM c)
+        SELECT documents.*, copy_no, md5('{mixing.SEED}:=' || doc_id || ':' || copy_no) AS shuffle_key FROM x JOIN documents USING (doc_id)""",
+}

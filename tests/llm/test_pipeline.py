@@ -39,3 +39,12 @@ def test_stages_of_empty_and_wide_tables(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), SF).count() == 0, name
         assert stage(spark, wide, SF).columns == wide.columns, name
+
+
+def test_sql_of_the_operators(spark):
+    from compare import compare, connect
+
+    con = connect("/root/testdata/sf0.01")
+    for name, sql in entry.oracle_sql().items():
+        if name.startswith("op"):
+            assert not compare(spark, con, "/root/testdata/sf0.01", entry.queries()[name], sql), name
