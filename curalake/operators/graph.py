@@ -9,19 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curalake.functions.text import folded, is_blank
-from curalake.operators.violations import GateError
 from curalake.session import class_table
 
-PART_FIELDS = ["part_name", "mock_price", "currency", "fake_stock_quantity", "availability_status"]
-
-
 @dataclass(frozen=True)
 class Catalog:
     """A catalog in relational form."""
 
     defects: DataFrame  # object_type, class_name, display_name; all three may have ``seq``, the order of submission
     steps: DataFrame  # class_name, position, instruction
-    parts: DataFrame  # class_name, part_id, PART_FIELDS.., last_updated
+    parts: DataFrame  # class_name, part_id, part_name, mock_price, currency, fake_stock_quantity, availability_status, last_updated
 
 
 @dataclass(frozen=True)
@@ -187,30 +183,17 @@ def inventory_last_updated(inventory: DataFrame) -> DataFrame:
     return inventory.agg(F.max("last_updated").alias("inventory_last_updated"))
 
 
-def nested(children: DataFrame, key: str, order: str, values: Sequence[str], name: str, limit: int = 1000) -> DataFrame:
-    """Children of each key as one ordered array, for response records.
+def knowledge_records(catalog: Catalog) -> DataFrame:
+    """One row per class: its name, its numbers of steps and parts, and the date of the whole inventory.
 
-    The size of every group is checked first; beyond ``limit`` the row form is the answer.
+    The steps and parts themselves stay rows keyed by class (``catalog.steps``, ``catalog.parts``), of any number.
     """
-    largest = children.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest > limit:
-        raise GateError(f"a group of {largest} rows is too large to nest (limit {limit}); join the row form instead")
-    packed = children.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *[v for v in values if v != order]))).alias("_all"))
-    if len(values) == 1:
-        return packed.select(key, F.transform("_all", lambda s: s[values[0]]).alias(name))
-    return packed.select(key, F.transform("_all", lambda s: F.struct(*[s[v].alias(v) for v in values])).alias(name))
-
-
-def knowledge_records(catalog: Catalog, limit: int = 1000) -> DataFrame:
-    """One row per class with nested steps and parts, as a prediction response needs it."""
-    steps = nested(catalog.steps, "class_name", "position", ["instruction"], "repair_steps", limit)
-    parts = nested(catalog.parts, "class_name", "part_id", ["part_id", *PART_FIELDS], "parts", limit)
-    latest = catalog.parts.agg(F.max("last_updated").alias("inventory_last_updated"))
-    joined = catalog.defects.select("class_name", "display_name").join(steps, "class_name", "left").join(parts, "class_name", "left")
-    date = latest.first()[0]
-    return joined.select(
-        "class_name", "display_name", F.coalesce("repair_steps", F.array().cast("array<string>")).alias("repair_steps"),
-        F.coalesce("parts", F.array().cast(parts.schema["parts"].dataType)).alias("parts"), F.lit(date).alias("inventory_last_updated"),
+    count = lambda df, name: df.groupBy("class_name").agg(F.count(F.lit(1)).alias(name))
+    date = catalog.parts.agg(F.max("last_updated")).scalar()
+    joined = catalog.defects.select("class_name", "display_name").join(count(catalog.steps, "step_count"), "class_name", "left")
+    return joined.join(count(catalog.parts, "part_count"), "class_name", "left").select(
+        "class_name", "display_name", F.coalesce("step_count", F.lit(0)).alias("step_count"), F.coalesce("part_count", F.lit(0)).alias("part_count"),
+        date.alias("inventory_last_updated"),
     )
 
 

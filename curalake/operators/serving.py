@@ -11,6 +11,10 @@ from curalake import schemas as S
 from curalake.functions.text import basename, strip
 from curalake.operators.violations import first_broken
 
+UNKNOWN_MESSAGE = "Manual review is required."
+#: Keys over which the rows under review are spread in the join with the knowledge table.
+REVIEW_KEYS = 1_024
+
 
 def extension_matches(filename: Column, content_type: Column, media: Mapping[str, Sequence[str]] = S.MEDIA_EXTENSIONS) -> Column:
     """Does the lower-cased file extension belong to the content type?
@@ -55,18 +59,20 @@ def model_prediction(threshold: float, class_names: Sequence[str]) -> dict[str,
     }
 
 
-def feedback_override(predictions: DataFrame, latest: DataFrame, threshold: float, class_names: Sequence[str]) -> DataFrame:
+def feedback_override(
+    predictions: DataFrame, latest: DataFrame, threshold: float, class_names: Sequence[str], unknown_message: str = UNKNOWN_MESSAGE
+) -> DataFrame:
     """Predictions with the latest human label of the same exact image.
 
     A label equal to the model's class confirms it and is not a correction; a
-    correction lifts the manual review.
+    correction lifts the manual review. ``unknown_message`` comes from the catalog's configuration.
     """
     joined = predictions.withColumns(model_prediction(threshold, class_names)).join(latest, "image_sha256", "left")
     applied = F.coalesce(F.col("feedback_class") != F.col("model_class"), F.lit(False))
     review = F.col("model_review") & ~applied
     message = (
         F.when(applied, F.concat(F.lit("Saved human correction applied; the model's own result was '"), F.col("most_likely_class"), F.lit("'.")))
-        .when(F.col("model_review"), "Manual review is required.")
+        .when(F.col("model_review"), unknown_message)
         .otherwise(F.concat(F.lit("Predicted class: "), F.col("most_likely_class")))
     )
     return joined.withColumns({
@@ -88,23 +94,25 @@ def knowledge_fallback(keys: DataFrame, primary: DataFrame, fallback: DataFrame,
 
 
 def enriched_predictions(overridden: DataFrame, knowledge: DataFrame) -> DataFrame:
-    """The response: guidance and parts of the effective class, withheld while review is open.
+    """The response: what is known of the effective class, withheld while review is open.
 
-    ``knowledge`` has one row per class: ``class_name, display_name, repair_steps, parts,
-    inventory_last_updated, knowledge_source``. A class that no source knows gives status 500.
+    ``knowledge`` has one row per class: ``class_name, display_name, step_count, part_count,
+    inventory_last_updated, knowledge_source``. A class that no source knows gives status 500. The date is the
+    inventory's and stays under review. Steps and parts are tables keyed by ``predicted_class``, which is no
+    class of theirs while review is open.
     """
-    # review rows ask for no class: they leave the join key null
-    asked = overridden.withColumn("class_name", F.when(~F.col("requires_manual_review"), F.col("predicted_class")))
     review = F.col("requires_manual_review")
+    # review rows ask for no class: numbered keys that nothing has keep them from meeting in one task
+    place = F.when(review, F.pmod(F.xxhash64("image_sha256", "confidence"), F.lit(REVIEW_KEYS)) + 1).otherwise(F.lit(0).cast("bigint"))
+    asked = overridden.withColumns({"class_name": F.col("predicted_class"), "_place": place})
     known = F.col("display_name").isNotNull()
-    none_steps = F.array().cast("array<string>")
-    return asked.join(knowledge, "class_name", "left").select(
+    date = knowledge.agg(F.max("inventory_last_updated")).scalar()
+    return asked.join(knowledge.withColumn("_place", F.lit(0).cast("bigint")), ["class_name", "_place"], "left").select(
         *[F.col(c) for c in overridden.columns],
         F.when(review | known, 200).otherwise(500).alias("status"),
         F.coalesce("display_name", F.when(review, S.UNKNOWN_DISPLAY_NAME)).alias("display_name"),
-        F.coalesce("repair_steps", none_steps).alias("repair_steps"),
-        F.coalesce("parts", F.array().cast(knowledge.schema["parts"].dataType)).alias("parts"),
-        "inventory_last_updated",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("step_count", "part_count")],
+        F.coalesce("inventory_last_updated", F.when(review, date)).alias("inventory_last_updated"),
         F.coalesce("knowledge_source", F.when(review, S.FALLBACK_SOURCE)).alias("knowledge_source"),
     )
 

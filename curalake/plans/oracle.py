@@ -64,7 +64,8 @@ VIEWS = {
         WHERE n.hash_a < n.hash_b OR a.image_id < b.image_id GROUP BY ALL""",
     "pred": """
         SELECT event_id AS sample_index, ts, user_id % 4 AS true_idx, CASE WHEN event_type = 'error' THEN (user_id + 1) % 4 ELSE user_id % 4 END AS pred_idx,
-            (event_id * 7919 % 1001)::DOUBLE / 1000 AS confidence, sha256(user_id::VARCHAR) AS image_sha256
+            (event_id * 7919 % 1001)::DOUBLE / 1000 AS confidence,
+            sha256(CASE WHEN user_id % 3 = 0 THEN 'new-' || user_id ELSE user_id::VARCHAR END) AS image_sha256
         FROM events""",
     "named": """
         SELECT p.*, a.class_name AS true_class, b.class_name AS predicted_class, true_idx = pred_idx AS is_correct
@@ -170,10 +171,10 @@ VIEWS = {
             strftime(m, '%Y-%m-%d') AS last_updated
         FROM part JOIN (SELECT l_partkey, max(l_shipdate) AS m FROM lineitem GROUP BY 1) ON l_partkey = p_partkey""",
     "pairs": "SELECT DISTINCT 'sup-' || l_suppkey AS class_name, l_partkey AS p_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part)",
-    "panel_parts": "SELECT class_name, string_agg(printf('N%03d', n_nationkey), ';' ORDER BY n_nationkey) AS part_ids FROM nation JOIN classes ON idx = n_nationkey % 4 WHERE n_nationkey % 4 > 0 GROUP BY 1",
-    "panel_steps": "SELECT class_name, string_agg('inspect ' || r_name, ';' ORDER BY r_regionkey // 3) AS repair_steps FROM region JOIN classes ON idx = 1 + r_regionkey % 3 GROUP BY 1",
+    "panel_parts": "SELECT class_name, count(*) AS part_count FROM nation JOIN classes ON idx = n_nationkey % 4 WHERE n_nationkey % 4 > 0 GROUP BY 1",
+    "panel_steps": "SELECT class_name, count(*) AS step_count FROM region JOIN classes ON idx = 1 + r_regionkey % 3 GROUP BY 1",
     "panel": """
-        SELECT class_name, upper(class_name[1]) || class_name[2:] AS display_name, coalesce(repair_steps, '') AS repair_steps, coalesce(part_ids, '') AS part_ids,
+        SELECT class_name, upper(class_name[1]) || class_name[2:] AS display_name, coalesce(step_count, 0) AS step_count, coalesce(part_count, 0) AS part_count,
             CASE WHEN class_name IN ('scratch', 'dent') THEN 'neo4j' ELSE 'static_catalog_fallback' END AS knowledge_source
         FROM (SELECT DISTINCT class_name FROM nation JOIN classes ON idx = n_nationkey % 4) LEFT JOIN panel_parts USING (class_name) LEFT JOIN panel_steps USING (class_name)
         WHERE class_name <> 'rust'""",
@@ -375,9 +376,11 @@ BODIES = {
     "latest_feedback": "SELECT image_sha256, feedback_class FROM latest",
     "feedback_override": "SELECT sample_index, most_likely_class, predicted_class, feedback_applied, requires_manual_review, message FROM answered",
     "enriched_predictions": """
-        SELECT sample_index, predicted_class, CASE WHEN requires_manual_review THEN 'Unknown / Manual Review' ELSE display_name END AS display_name, requires_manual_review,
+        SELECT sample_index, most_likely_class, predicted_class, requires_manual_review, feedback_applied, message, coalesce(step_count, 0) AS step_count,
+            coalesce(part_count, 0) AS part_count, CASE WHEN requires_manual_review THEN 'Unknown / Manual Review' ELSE display_name END AS display_name,
             (CASE WHEN requires_manual_review OR display_name IS NOT NULL THEN 200 ELSE 500 END)::BIGINT AS status,
-            CASE WHEN requires_manual_review THEN '' ELSE coalesce(repair_steps, '') END AS repair_steps, CASE WHEN requires_manual_review THEN '' ELSE coalesce(part_ids, '') END AS part_ids,
+            CASE WHEN requires_manual_review OR display_name IS NOT NULL THEN
+                (SELECT max('2026-01-' || lpad((n_nationkey + 1)::VARCHAR, 2, '0')) FROM nation WHERE n_nationkey % 4 > 0) END AS inventory_last_updated,
             CASE WHEN requires_manual_review THEN 'static_catalog_fallback' ELSE knowledge_source END AS knowledge_source
         FROM answered a LEFT JOIN panel k ON k.class_name = a.predicted_class""",
     "feedback_fingerprint": """

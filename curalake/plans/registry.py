@@ -412,8 +412,8 @@ def enriched_predictions(spark, d):
     ).filter("knowledge_source IS NOT NULL")
     found = serving.enriched_predictions(_overridden(spark, d), knowledge)
     return found.select(
-        "sample_index", "predicted_class", "display_name", "requires_manual_review", F.col("status").cast("bigint").alias("status"),
-        F.array_join("repair_steps", ";").alias("repair_steps"), F.array_join("parts.part_id", ";").alias("part_ids"), "knowledge_source",
+        "sample_index", "most_likely_class", "predicted_class", "display_name", "requires_manual_review", "feedback_applied", "message",
+        F.col("status").cast("bigint").alias("status"), "step_count", "part_count", "inventory_last_updated", "knowledge_source",
     )
 
 
@@ -819,7 +819,7 @@ def stream_override(spark, d):
     latest = flows.latest_labels(_event_stream(spark, d).selectExpr(*V.FEEDBACK), C, scratch_path(spark, "labels"))
     stream = _event_stream(spark, d).selectExpr(
         "event_id AS sample_index", "user_id % 4 AS true_idx", "CASE WHEN event_type = 'error' THEN (user_id + 1) % 4 ELSE user_id % 4 END AS pred_idx",
-        "cast(event_id * 7919 % 1001 AS double) / 1000 AS confidence", "sha2(cast(user_id AS string), 256) AS image_sha256",
+        "cast(event_id * 7919 % 1001 AS double) / 1000 AS confidence", V.PREDICTED_IMAGE,
     )
     found = flows.overridden_predictions(stream, latest, 0.65, C, scratch_path(spark, "override"))
     return found.select("sample_index", "predicted_class", "feedback_applied", "requires_manual_review")

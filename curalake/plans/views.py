@@ -84,11 +84,15 @@ def hashed_split(spark: SparkSession, d: str) -> DataFrame:
     return split(spark, d).join(hashes, "doc_id")
 
 
+#: A third of the users show images that have no feedback yet.
+PREDICTED_IMAGE = "sha2(CASE WHEN user_id % 3 = 0 THEN concat('new-', user_id) ELSE cast(user_id AS string) END, 256) AS image_sha256"
+
+
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").selectExpr(
         "event_id AS sample_index", "ts", "user_id % 4 AS true_idx",
         "CASE WHEN event_type = 'error' THEN (user_id + 1) % 4 ELSE user_id % 4 END AS pred_idx",
-        "cast(event_id * 7919 % 1001 AS double) / 1000 AS confidence", "sha2(cast(user_id AS string), 256) AS image_sha256",
+        "cast(event_id * 7919 % 1001 AS double) / 1000 AS confidence", PREDICTED_IMAGE,
     )
 
 

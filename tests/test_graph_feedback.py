@@ -55,11 +55,12 @@ def test_lookup_folds_one_or_both_sides(spark):
     assert rows(gr.defect_lookup(keys, defects, fold_stored=False), "display_name") == [(None,), (None,)]
 
 
-def test_nesting_is_bounded(spark):
-    children = spark.createDataFrame([("a", i) for i in range(5)], "k string, position int")
-    assert rows(gr.nested(children, "k", "position", ["position"], "all", limit=5)) == [("a", [0, 1, 2, 3, 4])]
-    with pytest.raises(GateError, match="too large"):
-        gr.nested(children, "k", "position", ["position"], "all", limit=4)
+def test_a_class_may_have_any_number_of_parts(spark):
+    defects = spark.sql("SELECT 'car' AS object_type, 'dent' AS class_name, 'Dent' AS display_name UNION ALL SELECT 'car', 'normal', 'Normal'")
+    steps = spark.sql("SELECT 'dent' AS class_name, 1L AS position, 'clean' AS instruction")
+    parts = spark.range(1_001).selectExpr("'dent' AS class_name", "concat('P', id) AS part_id", "concat('2026-01-', 10 + id % 20) AS last_updated")
+    known = gr.knowledge_records(gr.Catalog(defects, steps, parts))
+    assert rows(known, "class_name", "step_count", "part_count", "inventory_last_updated") == [("dent", 1, 1_001, "2026-01-29"), ("normal", 0, 0, "2026-01-29")]
 
 
 def test_feedback_rules(spark):
@@ -101,12 +102,13 @@ def test_override_and_response(spark):
     a, b, c, d = (found[k] for k in "abcd")
     assert (a["predicted_class"], a["most_likely_class"], a["feedback_applied"], a["requires_manual_review"]) == ("scratch", "normal", True, False)
     assert (b["predicted_class"], b["feedback_applied"]) == ("normal", False)
-    assert (c["predicted_class"], c["requires_manual_review"], c["repair_steps"], c["parts"], c["display_name"], c["status"]) == (
-        "unknown", True, [], [], S.UNKNOWN_DISPLAY_NAME, 200
+    assert (c["predicted_class"], c["requires_manual_review"], c["step_count"], c["part_count"], c["display_name"], c["status"]) == (
+        "unknown", True, 0, 0, S.UNKNOWN_DISPLAY_NAME, 200
     )
     # any label differs from "unknown", so it lifts the review
     assert (d["predicted_class"], d["feedback_applied"], d["requires_manual_review"], d["knowledge_source"]) == ("dent", True, False, "neo4j")
-    assert a["repair_steps"] == ["step 1", "step 2"] and a["parts"][0]["fake_stock_quantity"] == 5 and a["knowledge_source"] == S.FALLBACK_SOURCE
+    assert (a["step_count"], a["part_count"], a["knowledge_source"]) == (2, 1, S.FALLBACK_SOURCE)
+    assert c["inventory_last_updated"] == a["inventory_last_updated"] is not None and c["message"] == serving.UNKNOWN_MESSAGE
     lost = serving.enriched_predictions(answer, knowledge.filter("class_name <> 'scratch'"))
     assert rows(lost.filter("status = 500"), "image_sha256") == [("a",), ("e",)]
 
