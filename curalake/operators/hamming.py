@@ -123,10 +123,16 @@ def near_hash_pairs(
 
 
 def _bucket_pairs(buckets: DataFrame, distance: int, cross: bool, pivot: int, outer_masks: Column, inner_masks: Column) -> DataFrame:
-    """Join the rows of each bucket and keep each qualifying pair under its first key."""
-    keys = ["c", "k", "s", "t", "block"]
-    left = buckets.withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")))
-    right = buckets.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    """Join the rows of each bucket and keep each qualifying pair under its first key.
+
+    A bucket of ``blocks`` blocks is a grid: block i of the left meets block j of the right under the key (i, j), so
+    neither side of a key holds more than a block.
+    """
+    keys = ["c", "k", "s", "t", "i", "j"]
+    own = F.pmod(F.xxhash64("h"), F.col("blocks"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    left = buckets.withColumn("i", own).withColumn("j", every)
+    right = buckets.withColumn("j", own).withColumn("i", every)
     if cross and pivot:
         left = left.filter(F.col("splits") != pivot)
     a = left.select(*keys, F.col("h").alias("a"), F.col("splits").alias("sa"))

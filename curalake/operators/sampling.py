@@ -5,11 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curalake import schemas as S
-from curalake.functions.hashing import seeded_key
 from curalake.operators.manifest import class_counts, split_compatibility, valid_ratios
 from curalake.operators.ranking import seeded_rank
 from curalake.operators.violations import GateError, gate
@@ -74,11 +72,14 @@ def tiered_sample(
 ) -> DataFrame:
     """Per class the requested number, sharp rows first, pseudo-random inside each tier."""
     wanted = config_table(df.sparkSession, list(requested.items()), "class_name string, wanted bigint")
+    limit = F.lit(0).cast("bigint")
+    for name, n in requested.items():
+        limit = F.when(F.col("class_name") == name, n).otherwise(limit)
     ranked = seeded_rank(
-        df.join(wanted, "class_name"), "class_name", identity, seed,
-        tier=(F.col(short_side) < preferred).cast("int"), name="_rank",
+        df.join(wanted.select("class_name"), "class_name", "left_semi"), "class_name", identity, seed,
+        tier=(F.col(short_side) < preferred).cast("int"), name="_rank", keep=limit,
     )
-    return ranked.filter(F.col("_rank") <= F.col("wanted")).drop("_rank", "wanted", "group_total")
+    return ranked.drop("_rank", "group_total")
 
 
 def sample_shortfall(df: DataFrame, requested: Mapping[str, int]) -> DataFrame:
@@ -91,6 +92,6 @@ def sample_shortfall(df: DataFrame, requested: Mapping[str, int]) -> DataFrame:
 
 
 def review_sample(df: DataFrame, per_class: int = 6, seed: int = 42, identity: str = "image_id") -> DataFrame:
-    """A fixed number per class; the literal limit lets every map task keep only its own best few."""
-    order = W.partitionBy("class_name").orderBy(seeded_key(seed, F.col(identity)), identity)
-    return df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_class).drop("_rank")
+    """A fixed number per class; chunks of the seeded order beyond it are dropped before anything is sorted."""
+    ranked = seeded_rank(df, "class_name", identity, seed, name="_rank", keep=F.lit(per_class))
+    return ranked.drop("_rank", "group_total")

@@ -48,6 +48,7 @@ def bind_reviewed_manifest(
         "source": F.col("source_dataset"), "license": F.col("licence"),
     }).select(*S.MANIFEST_V2_COLUMNS)
     gate(manifest.duplicate_keys(bound, ["checksum"]), "exact duplicate images remain")
+    gate(hamming.invalid_hashes(bound), "perceptual hashes")
     gate(hamming.near_dup_edges(bound, distance), "perceptual near-duplicates remain")
     gate(manifest.split_compatibility(bound).filter("NOT compatible"), "class counts")
     return bound
@@ -102,7 +103,8 @@ class Audit:
 
 
 def audit(split: DataFrame, distance: int = 6) -> Audit:
-    """Audit tables of a split set with ``short_side``, ``orientation`` and ``perceptual_hash``."""
+    """Audit tables of a split set with ``short_side``, ``orientation`` and ``perceptual_hash``; every hash must be valid."""
+    gate(hamming.invalid_hashes(split), "perceptual hashes")
     edges = hamming.near_dup_edges(split, distance)
     return Audit(
         au.audit_summary(split, edges, distance), manifest.class_split_crosstab(split), manifest.source_label_counts(split),
@@ -142,6 +144,8 @@ def heldout_check(heldout: DataFrame, development: DataFrame, results: DataFrame
     gate(manifest.heldout_manifest_violations(heldout, per_class), "held-out manifest")
     gate(identity.heldout_leakage(heldout, development), "held-out leakage")
     named = heldout.withColumn("image_id", F.col("filename"))
+    gate(hamming.invalid_hashes(named), "held-out perceptual hashes")
+    gate(hamming.invalid_hashes(development), "development perceptual hashes")
     gate(hamming.near_dup_between(named, development, distance=distance), "held-out near-duplicates")
     gate(hamming.near_dup_edges(named.withColumns({"class_name": F.col("expected_class"), "dataset_split": F.lit("heldout")}), distance, ["heldout"]), "near-duplicates inside the held-out set")
     gate(results.filter("feedback_applied"), "saved feedback altered held-out predictions")

@@ -146,7 +146,10 @@ def history(spark: SparkSession, d: str) -> DataFrame:
 
 
 def annotation_documents(spark: SparkSession, d: str) -> DataFrame:
-    """One JSON annotation per line item: two polygons, a third that is often malformed, odd sizes, broken text."""
+    """One JSON annotation per line item: two polygons, a third that is often malformed, odd sizes, broken text.
+
+    Some have sizes as text or decimals, an entry that is no object, or a point without a number; the rest of them counts.
+    """
     rows = spread(table(spark, d, "lineitem").drop("l_shipdate", "l_extendedprice", "l_discount")).selectExpr(
         "l_orderkey AS k", "l_partkey AS p",
         "concat('set/ann/', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '.jpg.json') AS annotation_path",
@@ -178,6 +181,11 @@ def annotation_documents(spark: SparkSession, d: str) -> DataFrame:
         ),
     )
     text = F.to_json(F.struct(c("size"), objects.alias("objects")))
+    for remainder, pattern, put in (
+        (1, '"width":([0-9]+)', '"width":"$1"'), (2, '"height":([0-9]+)', '"height":$1.0'),
+        (3, '"objects":\\[', '"objects":["note",'), (4, '"exterior":\\[', '"exterior":[["a",1],'),
+    ):
+        text = F.when(c("k") % 7 == remainder, F.regexp_replace(text, pattern, put)).otherwise(text)
     return rows.select("annotation_path", "source_kind", F.when(c("k") % 101 == 0, F.lit('{"size":')).otherwise(text).alias("document"))
 
 

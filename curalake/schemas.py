@@ -65,11 +65,6 @@ def all_strings(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-ANNOTATION_DDL = (
-    "size struct<width:int,height:int>,"
-    "objects array<struct<classTitle:string,geometryType:string,"
-    "points:struct<exterior:array<array<double>>>>>"
-)
 CATALOG_DDL = (
     "object_type string, inventory_last_updated string, confidence_threshold double,"
     "unknown_message string, defects array<struct<class_name:string,display_name:string,"

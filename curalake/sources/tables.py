@@ -47,9 +47,20 @@ def scan_annotations(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def parse_annotations(documents: DataFrame) -> DataFrame:
-    """``annotation_path, source_kind, document`` -> typed ``size`` and ``objects``."""
-    parsed = computed(documents, _d=F.from_json("document", S.ANNOTATION_DDL, {"mode": "PERMISSIVE"}))
-    return parsed.select("annotation_path", "source_kind", "_d.size", "_d.objects")
+    """``annotation_path, source_kind, document`` -> typed ``size`` and ``objects``.
+
+    Every value is cast on its own: sizes may be text or decimals, an entry that is not an object has null fields, and
+    a coordinate that is not a number is null, so that only its own point is lost. An unreadable document has neither.
+    """
+    number = "CASE WHEN schema_of_variant(x) RLIKE '^(BIGINT|DOUBLE|DECIMAL|BOOLEAN)' THEN try_variant_get(x, '$', 'double') END"
+    points = f"""transform(try_variant_get(o, '$.points.exterior', 'array<variant>'), p ->
+        transform(try_variant_get(p, '$', 'array<variant>'), x -> {number}))"""
+    objects = f"""transform(try_variant_get(_d, '$.objects', 'array<variant>'), o -> named_struct(
+        'classTitle', try_variant_get(o, '$.classTitle', 'string'), 'geometryType', try_variant_get(o, '$.geometryType', 'string'),
+        'points', named_struct('exterior', {points})))"""
+    size = "named_struct('width', try_variant_get(_d, '$.size.width', 'int'), 'height', try_variant_get(_d, '$.size.height', 'int'))"
+    parsed = computed(documents, _d=F.try_parse_json("document"))
+    return parsed.select("annotation_path", "source_kind", F.expr(size).alias("size"), F.expr(objects).alias("objects"))
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:

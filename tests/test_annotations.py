@@ -48,6 +48,26 @@ def test_overlap_panels_and_malformed(spark):
     ]
 
 
+def test_bad_points_objects_and_sizes_are_skipped_alone(spark):
+    dent = polygon("Dent", 100, 100, 300, 300)
+    bad_point = polygon("Dent", 100, 100, 300, 300)
+    bad_point["points"]["exterior"] = [["a", 1], ["7", "8"], [5], None, {"x": 1}, *bad_point["points"]["exterior"][:3]]
+    few_points = polygon("Dent", 100, 100, 300, 300, points=2)
+    few_points["points"]["exterior"].append(["a", 1])
+    found = parsed(
+        spark, ("damage", {"size": SIZE, "objects": [bad_point]}), ("damage", {"size": SIZE, "objects": ["note", 3, None, dent]}),
+        ("damage", {"size": {"width": "800", "height": 600.0}, "objects": [dent]}), ("damage", {"size": {"width": "wide", "height": 600}, "objects": [dent]}),
+        ("damage", {"size": SIZE, "objects": [few_points]}), ("damage", {"size": [800, 600], "objects": [dent]}),
+        ("damage", {"size": SIZE, "objects": {"a": dent}}), ("damage", "[1]"), ("damage", ""),
+    )
+    status = dict(rows(A.with_objects(found), "annotation_path", "status"))
+    assert [status[f"s/ann/{i}.jpg.json"] for i in range(9)] == [
+        "admitted", "admitted", "admitted", "missing_size", "no_usable_object", "missing_size", "no_usable_object", "missing_size", "missing_size",
+    ]
+    boxes = [tuple(r["crop_box"]) for r in A.crop_candidates(found).orderBy("annotation_path").collect()]
+    assert boxes == [(60, 60, 340, 340)] * 3
+
+
 def test_scan_files_and_curate(spark, tmp_path):
     folder = tmp_path / "ann"
     folder.mkdir()
