@@ -536,7 +536,8 @@ def _needed(sql: str, found: list[str]) -> list[str]:
 
 
 def _with_views(body: str) -> str:
-    views = [f"{name} AS ({VIEWS[name].strip()})" for name in _needed(body, [])]
+    # row ids are given once, however often the view is read
+    views = [f"{name} AS {'MATERIALIZED ' if 'row_number() OVER ()' in VIEWS[name] else ''}({VIEWS[name].strip()})" for name in _needed(body, [])]
     body = body.strip()
     if body.startswith("WITH "):
         return "WITH " + ",\n".join([*views, body[5:]]) if views else body

@@ -763,20 +763,23 @@ def batch_score(spark, d):
 
 
 def _head(spark, d):
-    rows = V.table(spark, d, "embeddings").selectExpr("vec_id", "embedding AS features", "cast(label % 4 AS bigint) AS label")
-    return rows, scoring.head_fit(rows, C)
+    """Labelled rows, a fifth of them marked for validation by hash, and the head fitted on the rest."""
+    rows = V.table(spark, d, "embeddings").selectExpr(
+        "vec_id", "embedding AS features", "cast(label % 4 AS bigint) AS label", "crc32(cast(cast(vec_id AS string) AS binary)) % 5 = 0 AS validation"
+    )
+    return rows, scoring.head_fit(rows.filter("NOT validation"), C)
 
 
 @query
 def head_fit(spark, d):
     rows, model = _head(spark, d)
-    return scoring.head_predict(model, rows).select("vec_id", "true_idx", "pred_idx", F.round("confidence", 3).alias("confidence"))
+    return scoring.head_predict(model, rows).select("vec_id", "validation", "true_idx", "pred_idx", F.round("confidence", 3).alias("confidence"))
 
 
 @query
 def head_threshold(spark, d):
     rows, model = _head(spark, d)
-    return _flat(thresholds.select_threshold(scoring.head_predict(model, rows), C))
+    return _flat(thresholds.select_threshold(scoring.head_predict(model, rows.filter("validation")), C))
 
 
 @query

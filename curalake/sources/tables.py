@@ -99,8 +99,13 @@ def scan_decisions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_feedback(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
-    """Feedback log as text; the position in the file is kept as ``seq`` for the recall order."""
-    return scan_csv(spark, path, line_breaks=line_breaks).withColumn("seq", F.monotonically_increasing_id())
+    """Feedback log as text. ``seq`` orders rows as they stand, for the recall order: by file path, start of the split
+    in its file, and the row's number in its task, which reads a split from front to end.
+    """
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"),
+    )
+    return scan_csv(spark, path, line_breaks=line_breaks).withColumn("seq", place)
 
 
 def write_splits(df: DataFrame, path: str) -> None:

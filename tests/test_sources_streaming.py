@@ -59,6 +59,19 @@ def test_feedback_log_with_mixed_line_ends(spark, tmp_path):
     assert rows(fb.latest_feedback(log, S.CLASS_NAMES)) == [("a" * 64, "dent")]
 
 
+def test_feedback_log_order_over_splits(spark, tmp_path):
+    for name, first, count in (("a", 0, 3000), ("b", 3000, 9000)):  # the larger file comes second but is packed first
+        lines = "".join(f"{i},{'x' * 50}\n" for i in range(first, first + count))
+        (tmp_path / f"{name}.csv").write_text("k,v\n" + lines)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        found = [int(r["k"]) for r in tables.scan_feedback(spark, str(tmp_path)).orderBy("seq").select("k").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == list(range(12000))
+
+
 def test_stream_continues_where_it_stopped(spark, tmp_path):
     base = datetime(2026, 1, 1)
 
