@@ -5,6 +5,7 @@ from conftest import rows
 
 from curalake.operators import hamming as H
 from curalake.operators.violations import GateError
+from curalake.plans import jobs
 
 SPLITS = ["train", "validation", "test"]
 DDL = "image_id string, perceptual_hash string, dataset_split string, class_name string"
@@ -86,3 +87,9 @@ def test_invalid_hashes(spark):
 def test_longer_keys_for_larger_tables():
     assert H.default_spare(6, 10**3) == 2 and H.default_spare(6, 10**10) == 4
     assert len(H.band_keys(H.ALL_BITS, 6, 2)) == 28 and len(H.band_keys(H.ALL_BITS, 6, 4)) == 210
+
+
+def test_audit_refuses_incomplete_hashes(spark):
+    split = spark.createDataFrame([("a", "00000000000000ff"), ("b", "zz"), ("c", " ")], "image_id string, perceptual_hash string")
+    with pytest.raises(GateError, match="perceptual hashes"):
+        jobs.audit(split)
