@@ -23,15 +23,18 @@ SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 DDL = ", ".join(f"{c} bigint" for c in (*BASE, "n_lines"))
 
-#: measure -> (numerator, denominator, factor, sides, least distance from the median)
-#: A fence lies ``SPREADS`` times the clean side's spread from the median, and at least that distance.
+#: measure -> (numerator, denominator, factor, sides, least distance of a fence, counts of one event)
+#: A fence follows the group's own quantiles. The least distance is one per cent for shares (three for repeats, one
+#: window in 200 words) and 0.1 characters for word lengths, and never less than a bin; one repeated line or window passes.
 MEASURES = {
-    "symbols": ("n_symbols", "word_chars", 1000, "upper", 50),
-    "word_length": ("word_chars", "n_words", 100, "both", 250),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, "upper", 500),
-    "repeats": ("n_repeat_words", "n_words", 1000, "upper", 300),
+    "symbols": ("n_symbols", "word_chars", 1000, "upper", 10, 1),
+    "word_length": ("word_chars", "n_words", 100, "both", 10, 0),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, "upper", 10, 1),
+    "repeats": ("n_repeat_words", "n_words", 1000, "upper", 30, 6),
 }
-SPREADS = 6
+SPREADS = 3
+#: Quantiles a fence starts from, from the inner one outwards: up to a quarter of a group may be junk on either side.
+UPPER, LOWER = (75, 90, 95), (25, 10, 5)
 MIN_GROUP = 200
 MIN_WORDS = 50
 
@@ -92,7 +95,7 @@ def base_failed(m: Column) -> Column:
 
 
 def _value(m: Column, measure_name: str) -> Column:
-    top, bottom, factor, _, _ = MEASURES[measure_name]
+    top, bottom, factor, *_ = MEASURES[measure_name]
     return F.floor(m[top] * factor / F.greatest(m[bottom], F.lit(1))).cast("bigint")
 
 
@@ -103,6 +106,22 @@ def _bin(value: Column) -> Column:
     return value - F.pmod(value, step)
 
 
+def _fence(quantiles: dict[int, Column], outwards: tuple[int, ...], least: int) -> Column:
+    """``SPREADS`` times an outer quantile's distance from the median beyond that quantile.
+
+    The next outer quantile counts only if it lies within the fence of the one before; otherwise it is junk's.
+    """
+    sign = 1 if outwards[0] > 50 else -1
+
+    def fence(at: Column) -> Column:
+        return at + sign * F.greatest(SPREADS * F.abs(at - quantiles[50]), F.lit(least), F.shiftright(at, 5) + 1)
+
+    at = quantiles[outwards[0]]
+    for pct in outwards[1:]:
+        at = F.when(sign * (quantiles[pct] - fence(at)) <= 0, quantiles[pct]).otherwise(at)
+    return fence(at)
+
+
 def thresholds(measured: DataFrame, name: str, min_group: int = MIN_GROUP) -> DataFrame:
     """``lang_key, source_key`` and a lower and an upper fence per measure, from sketches over all rows that pass the base rules."""
     m = F.col(name)
@@ -121,13 +140,13 @@ def thresholds(measured: DataFrame, name: str, min_group: int = MIN_GROUP) -> Da
     inside = W.partitionBy("g", "measure")
     ranked = levels.withColumns({"upto": F.sum("n").over(inside.orderBy("bin")), "total": F.sum("n").over(inside)})
     quantile = lambda pct: F.min(F.when((F.col("upto") * 100 >= F.col("total") * pct) & (F.col("upto") > 0), F.col("bin")))
-    fences = ranked.groupBy("g", "measure").agg(F.max("total").alias("total"), quantile(10).alias("q10"), quantile(50).alias("q50"), quantile(90).alias("q90"))
+    levels_of = sorted({50, *UPPER, *LOWER})
+    fences = ranked.groupBy("g", "measure").agg(F.max("total").alias("total"), *[quantile(pct).alias(f"q{pct}") for pct in levels_of])
+    quantiles = {pct: F.col(f"q{pct}") for pct in levels_of}
     columns = []
-    for k, (_, _, _, sides, least) in MEASURES.items():
-        # The spread is read on the side away from junk, which may be a large part of a source.
-        spread = F.col("q50") - F.col("q10")
-        upper = F.col("q50") + F.greatest(SPREADS * spread, F.lit(least))
-        lower = F.col("q50") - F.greatest(SPREADS * spread, F.lit(least)) if sides == "both" else F.lit(-1)
+    for k, (_, _, _, sides, least, _) in MEASURES.items():
+        upper = _fence(quantiles, UPPER, least)
+        lower = _fence(quantiles, LOWER, least) if sides == "both" else F.lit(-1)
         for side, value in (("upper", upper), ("lower", lower)):
             columns.append(F.max(F.when(F.col("measure") == k, value)).cast("bigint").alias(f"{k}_{side}"))
     table = fences.groupBy("g").agg(F.max("total").alias("total"), F.struct(*columns).alias("fence"))
@@ -147,9 +166,10 @@ def judge(measured: DataFrame, name: str, table: DataFrame, verdict: str) -> Dat
     joined = attach(keyed, table, ["lang_key", "source_key"], F.struct(*[c for c in ("doc_id", "n_chars") if c in measured.columns], F.col(f"{name}.n_words")))
     m = F.col(name)
     ok = ~base_failed(m)
-    for k in MEASURES:
+    for k, (top, _, _, sides, _, event) in MEASURES.items():
         # a fence is null only where no document passed the base rules
-        ok = ok & F.coalesce(_value(m, k).between(F.col(f"{k}_lower"), F.col(f"{k}_upper")), F.lit(False))
+        within = _value(m, k).between(F.col(f"{k}_lower"), F.col(f"{k}_upper"))
+        ok = ok & F.coalesce(within | (m[top] <= event) if sides == "upper" else within, F.lit(False))
     return joined.withColumn(verdict, F.coalesce(ok, F.lit(False))).select(*measured.columns, verdict)
 
 

@@ -58,6 +58,23 @@ def test_quality_fences_follow_their_group(spark):
     assert kept.columns == frame(spark, rows).columns and {r["doc_id"] for r in kept.collect()} == {i for i, x in out.items() if x[1]}
 
 
+def test_quality_fences_follow_the_upper_quantiles(spark):
+    rng = random.Random(5)
+    words = lambda k: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) + str(rng.randint(0, 900)) for _ in range(k))
+    lines = lambda n, dup: "\n".join(x for k in range(n - dup) for x in [words(8), *(["--"] if k <= dup and dup else [])])  # noqa: E731  n - dup + 1 distinct
+    rows = [(i, "\n".join(words(8) for _ in range(11)), "en", "plain") for i in range(300)]
+    rows += [(300, lines(20, 9), "en", "plain"), (301, lines(12, 1), "en", "plain")]
+    rows += [(302, " ".join(w + ("#" if k % 5 == 0 else "") for k, w in enumerate(words(90).split())), "en", "plain")]  # about 3 % symbols
+    rows += [(400 + i, lines(20, 8 + i % 3), "en", "lists") for i in range(300)]  # a source of lists keeps its own level
+    docs = frame(spark, rows)
+    measured = {r["doc_id"]: r for r in quality.quality_verdicts(docs).collect()}
+    assert not any(r["base_failed"] for r in measured.values())
+    assert all(measured[i]["kept"] for i in range(300)) and all(measured[400 + i]["kept"] for i in range(300))
+    assert measured[300]["n_dup_lines"] == 9 and not measured[300]["kept"]
+    assert measured[301]["n_dup_lines"] == 1 and measured[301]["kept"]
+    assert not measured[302]["kept"]
+
+
 def test_quality_of_odd_tables(spark):
     assert quality.quality_verdicts(odd_docs(spark)).count() == len(ODD) + 2
     assert quality.quality_verdicts(frame(spark, [])).count() == 0 and quality.quality_filter(frame(spark, [])).count() == 0
