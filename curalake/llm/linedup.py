@@ -2,13 +2,16 @@
 
 Lines without a word are no part of the sequence. Level k names every window of 2**k consecutive lines that occurs
 at least twice by the place of its first copy; a pair of names at distance 2**k is the key of level k + 1. Suffixes
-with one name at level k are one interval of the suffix array with a common prefix of 2**k lines or more. The
-opening window of a suffix are its fewest lines with ``min_words`` words; two overlapping windows of a level name
-it. The suffixes that share an opening window are an interval, its first copy is its earliest place, and the longest
-common prefix with that copy is the run that is deleted from every later place.
+with one name at level k are one interval of the suffix array with a common prefix of 2**k lines or more.
 
-A window has at most ``min_words`` lines, so the number of levels is fixed. No group is gathered: intervals are only
-counted and their first place taken. What is gathered is per pair of documents and bounded by their own lines.
+Deleted is, from every place, the longest common prefix with any earlier place if it has ``min_words`` words. Such a
+run is the union of its least windows: for each of its lines the fewest lines from it on, or the fewest up to it, with
+``min_words`` words. Each least window of a run has an earlier copy, as the run has; and one with an earlier copy is a
+run itself. So it is enough to find the least windows that occur earlier, whichever copies their runs have. Two
+overlapping windows of a level name a least window, and its first copy is the earliest place of that name.
+
+A least window has at most ``min_words`` lines, so the number of levels is fixed. No group is gathered: intervals are
+only counted and their first place taken. What is gathered is per document and bounded by its own lines.
 """
 
 from __future__ import annotations
@@ -29,11 +32,11 @@ WHITE = " \t\n\r\x0b\x0c"
 #: Stands for a null doc_id in places; nulls come first in the order of documents.
 NO_ID = -(1 << 63)
 
-LINES_DDL = "h1 array<bigint>, h2 array<bigint>, need array<int>, line_no array<int>"
+LINES_DDL = "h1 array<bigint>, h2 array<bigint>, least array<array<int>>, line_no array<int>"
 
 
-def line_features(text: str | None, min_words: int = MIN_WORDS) -> tuple[list[int], list[int], list[int], list[int]]:
-    """Of each line with a word: two halves of a 128-bit hash of the stripped line, lines of its opening window (0: none), line number."""
+def line_features(text: str | None, min_words: int = MIN_WORDS) -> tuple[list[int], list[int], list[list[int]], list[int]]:
+    """Of each line with a word: two halves of a 128-bit hash of the stripped line, lines of the least windows from it on, line number."""
     if not text:
         return [], [], [], []
     numbers, words, first, second = [], [], [], []
@@ -46,9 +49,14 @@ def line_features(text: str | None, min_words: int = MIN_WORDS) -> tuple[list[in
             first.append((digest >> 64) - (1 << 63))
             second.append((digest & ((1 << 64) - 1)) - (1 << 63))
     upto = np.append(0, np.cumsum(np.array(words, dtype=np.int64)))
-    ends = np.searchsorted(upto, upto[:-1] + min_words)
-    need = np.where(ends < len(upto), ends - np.arange(len(words)), 0)
-    return first, second, need.tolist(), numbers
+    least: list[list[int]] = [[] for _ in words]
+    for start, end in enumerate(np.searchsorted(upto, upto[:-1] + min_words).tolist()):
+        if end < len(upto):
+            least[start].append(end - start)
+    for end, start in enumerate((np.searchsorted(upto, upto[1:] - min_words, side="right") - 1).tolist(), 1):
+        if start >= 0 and end - start not in least[start][:1]:  # lengths from one line on differ but for the first
+            least[start].append(end - start)
+    return first, second, least, numbers
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
@@ -57,7 +65,7 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     @F.pandas_udf(LINES_DDL)
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([line_features(t, min_words) for t in texts.tolist()], columns=["h1", "h2", "need", "line_no"])
+            yield pd.DataFrame([line_features(t, min_words) for t in texts.tolist()], columns=["h1", "h2", "least", "line_no"])
 
     rows = docs.select(_id(F.col("doc_id")).alias("did"), _hash(F.col("text")).alias("th"), features(F.col("text").cast("string")).alias("x"))
     return written(rows.select("did", "th", "x.*").filter(F.size("h1") > 0).dropDuplicates(["did", "th"]), "lines")
@@ -74,24 +82,24 @@ def _hash(text: Column) -> Column:
 def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys occur at least twice, with the first place of the keys as name ``m``."""
     groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "th", "idx")).alias("m")).filter("n > 1").drop("n")
-    return rows.join(groups, keys).select("did", "th", "idx", "need", "m")
+    return rows.join(groups, keys).select("did", "th", "idx", "least", "m")
 
 
-def first_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``did, th, idx, m``: places whose opening window occurs earlier, with the place ``m`` of its first copy."""
-    rows = lines.select("did", "th", F.posexplode(F.arrays_zip("h1", "h2", "need")).alias("idx", "x")).select("did", "th", "idx", "x.*")
+def later_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``did, th, idx, n``: least windows, of ``n`` lines from ``idx`` on, that occur at an earlier place too."""
+    rows = lines.select("did", "th", F.posexplode(F.arrays_zip("h1", "h2", "least")).alias("idx", "x")).select("did", "th", "idx", "x.*")
     level = written(_named(rows, ["h1", "h2"]), "windows")
     found, k = [], 0
     while True:
         size = 1 << k
         inside = W.partitionBy("did", "th").orderBy("idx")
-        # the second window ends with the opening window; two of one size overlap or touch
-        own = level.filter((F.col("need") >= size) & (F.col("need") < 2 * size)).withColumn("at", F.col("idx") + F.col("need") - size)
+        # the second window ends with the least window; two of one size overlap or touch
+        own = level.select("did", "th", "idx", "m", F.explode(F.filter("least", lambda n: (n >= size) & (n < 2 * size))).alias("n"))  # noqa: B023
         ends = level.select("did", "th", F.col("idx").alias("at"), F.col("m").alias("m2"))
-        opened = own.join(ends, ["did", "th", "at"]).select("did", "th", "idx", "need", "m", "m2")
-        firsts = opened.groupBy("need", "m", "m2").agg(F.min(F.struct("did", "th", "idx")).alias("first"))
-        later = opened.join(firsts, ["need", "m", "m2"]).filter(F.struct("did", "th", "idx") > F.col("first"))
-        found.append(later.select("did", "th", "idx", F.col("first").alias("m")))
+        whole = own.withColumn("at", F.col("idx") + F.col("n") - size).join(ends, ["did", "th", "at"]).select("did", "th", "idx", "n", "m", "m2")
+        firsts = whole.groupBy("n", "m", "m2").agg(F.min(F.struct("did", "th", "idx")).alias("first"))
+        later = whole.join(firsts, ["n", "m", "m2"]).filter(F.struct("did", "th", "idx") > F.col("first"))
+        found.append(later.select("did", "th", "idx", "n"))
         if 2 * size > min_words:
             break
         pairs = level.withColumn("m2", F.first("m").over(inside.rangeBetween(size, size))).filter("m2 IS NOT NULL").withColumnRenamed("m", "m1")
@@ -106,41 +114,26 @@ def first_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``did, th, gone, n_lines``: per document text that has later copies of runs, their line numbers in it and its lines with a word."""
     lines = _lines(docs, min_words)
-    starts = first_copies(lines, min_words)
-    pairs = starts.groupBy("did", "th", F.col("m.did").alias("fdid"), F.col("m.th").alias("fth")).agg(
-        F.collect_list("idx").alias("starts"), F.collect_list("m.idx").alias("copies")
-    )
-    sides = lines.select("did", "th", F.col("h1").alias("own1"), F.col("h2").alias("own2"), "line_no")
-    other = lines.select(F.col("did").alias("fdid"), F.col("th").alias("fth"), F.col("h1").alias("first1"), F.col("h2").alias("first2"))
+    copies = later_copies(lines, min_words).groupBy("did", "th").agg(F.collect_list("idx").alias("starts"), F.collect_list("n").alias("lengths"))
 
     @F.pandas_udf("array<int>")
-    def agreed(starts: pd.Series, copies: pd.Series, own1: pd.Series, own2: pd.Series, first1: pd.Series, first2: pd.Series, line_no: pd.Series) -> pd.Series:
-        return pd.Series([
-            numbers[run_cover(s, c, np.stack([a, b]), np.stack([x, y]))] for s, c, a, b, x, y, numbers in zip(starts, copies, own1, own2, first1, first2, line_no, strict=True)
-        ])
+    def covered(starts: pd.Series, lengths: pd.Series, line_no: pd.Series) -> pd.Series:
+        return pd.Series([numbers[run_cover(s, n, len(numbers))] for s, n, numbers in zip(starts, lengths, line_no, strict=True)])
 
-    met = pairs.join(other, ["fdid", "fth"]).join(sides, ["did", "th"])
-    cut = met.select("did", "th", F.size("line_no").alias("n_lines"), agreed("starts", "copies", "own1", "own2", "first1", "first2", "line_no").alias("gone"))
-    return cut.groupBy("did", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"), F.max("n_lines").alias("n_lines"))
+    met = copies.join(lines.select("did", "th", "line_no"), ["did", "th"])
+    return met.select("did", "th", F.size("line_no").alias("n_lines"), covered("starts", "lengths", "line_no").alias("gone"))
 
 
-def run_cover(starts: np.ndarray, copies: np.ndarray, own: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Indexes of lines that lie in a common prefix of a suffix of ``own`` and its first copy in ``first``."""
-    hit = np.zeros(own.shape[1], dtype=bool)
-    for shift in set((np.asarray(copies) - np.asarray(starts)).tolist()):
-        low, high = max(0, -shift), min(own.shape[1], first.shape[1] - shift)
-        same = (own[:, low:high] == first[:, low + shift : high + shift]).all(axis=0)
-        breaks = np.flatnonzero(~same)
-        for start in np.asarray(starts)[np.asarray(copies) - np.asarray(starts) == shift]:
-            at = np.searchsorted(breaks, start - low)
-            hit[start : (breaks[at] + low) if at < len(breaks) else high] = True
-    return np.flatnonzero(hit)
+def run_cover(starts: np.ndarray, lengths: np.ndarray, total: int) -> np.ndarray:
+    """Indexes, below ``total``, of lines inside any of the windows."""
+    change = np.bincount(starts, minlength=total + 1) - np.bincount(np.asarray(starts) + np.asarray(lengths), minlength=total + 1)
+    return np.flatnonzero(np.cumsum(change)[:total])
 
 
 def drop_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, removed: str = "n_removed", total: str = "n_lines") -> DataFrame:
     """``docs`` with later copies of repeated line runs cut out of ``text``.
 
-    A run counts if its opening lines hold ``min_words`` words. The earliest copy, by doc_id and then by line, stays;
+    A run is the longest that begins at a line and occurs earlier, and counts if it holds ``min_words`` words. The earliest copy, by doc_id and then by line, stays;
     a run may repeat within one document. Adds ``removed`` and ``total``, lines with a word gone and before (null text:
     0). A null doc_id comes before all others. Rows with equal doc_id and text are one place, so repeated rows are cut alike.
     Lines without a word stay.

@@ -72,3 +72,24 @@ def without_repeated_runs(rows, least=50):
                 gone[i].add(docs[i][p + k][0])
                 k += 1
     return {i: "\n".join(x for n, x in enumerate((t or "").split("\n")) if n not in gone[i]) if gone[i] else t for i, t in rows}
+
+
+def without_longest_runs(rows, least=50):
+    """doc_id -> text: from every place, the longest common prefix with any earlier place goes if it has ``least`` words."""
+    docs, places, gone = {}, [], defaultdict(set)
+    white = " \t\n\r\x0b\x0c"
+    for i, text in rows:
+        docs[i] = [(n, x.strip(white)) for n, x in enumerate((text or "").split("\n")) if x.strip(white)]
+    for i in sorted(docs):
+        lines = [x for _, x in docs[i]]
+        for p in range(len(lines)):
+            longest = 0
+            for other, q in places:
+                k = 0
+                while p + k < len(lines) and q + k < len(other) and lines[p + k] == other[q + k]:
+                    k += 1
+                longest = max(longest, k)
+            if sum(len(WORD.findall(x)) for x in lines[p : p + longest]) >= least:
+                gone[i] |= {n for n, _ in docs[i][p : p + longest]}
+            places.append((lines, p))
+    return {i: "\n".join(x for n, x in enumerate((t or "").split("\n")) if n not in gone[i]) if gone[i] else t for i, t in rows}

@@ -116,6 +116,21 @@ def test_line_runs_equal_brute_force(spark, seed):
     assert found == brute.without_repeated_runs(rows)
 
 
+def test_line_runs_follow_the_longest_earlier_copy(spark):
+    line = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    p, q, r = line("p", 60), line("q", 10), line("r", 20)
+    rows = [(1, f"{p}\n{line('x', 5)}"), (2, f"{p}\n{q}\n{r}"), (3, f"{p}\n{q}\n{r}\n{line('y', 5)}")]
+    found = {i["doc_id"]: i["text"] for i in linedup.drop_repeated_runs(frame(spark, rows)).collect()}
+    assert found == {1: rows[0][1], 2: f"{q}\n{r}", 3: line("y", 5)} == brute.without_longest_runs(rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4, 5])
+def test_line_runs_equal_all_earlier_places(spark, seed):
+    rows = line_corpus(seed)
+    found = {r["doc_id"]: r["text"] for r in linedup.drop_repeated_runs(frame(spark, rows)).collect()}
+    assert found == brute.without_longest_runs(rows)
+
+
 def test_line_runs_of_repeated_rows_and_odd_tables(spark):
     run = " ".join(f"w{k}" for k in range(60))
     rows = [(2, run), (2, run), (1, f"a\n{run}\nb"), (None, f"{run}\nx"), (5, f"{run}\n{run}")]
