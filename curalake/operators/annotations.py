@@ -107,3 +107,18 @@ def licensed_candidates(listing: DataFrame, excluded: DataFrame | None, limit: i
     return unique.orderBy("page_id").limit(limit).withColumn(
         "licence", F.concat(strip(F.col("licence")), F.lit(" ("), strip(F.col("licence_url")), F.lit(")"))
     )
+
+
+def candidate_shortfall(candidates: DataFrame, limit: int) -> DataFrame:
+    """``(rule, subject)``: one row if there are fewer candidates than the request size."""
+    found = candidates.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < limit)
+    return found.select(F.lit("candidate_shortfall").alias("rule"), F.format_string(f"%d of {int(limit)}", "n").alias("subject"))
+
+
+def large_candidates(candidates: DataFrame, scan: DataFrame, minimum: int = S.MINIMUM_SHORT_SIDE) -> DataFrame:
+    """Candidates whose scanned image decodes and has a short side of at least ``minimum``, with that ``short_side``.
+
+    ``scan``: ``source_group, short_side`` per image, null where it does not decode (``images.decode_audit``).
+    """
+    sides = scan.groupBy("source_group").agg(F.min("short_side").alias("short_side")).filter(F.col("short_side") >= minimum)
+    return candidates.drop("short_side").join(sides, "source_group")

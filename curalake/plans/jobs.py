@@ -28,6 +28,13 @@ def curate_candidates(
     return sampling.tiered_sample(fresh, requested, seed)
 
 
+def acquire_candidates(listing: DataFrame, excluded: DataFrame | None, scan: DataFrame, limit: int) -> DataFrame:
+    """Licensed listing pages of new groups, as many as requested -> those whose scanned image is large enough."""
+    listed = ann.licensed_candidates(listing, excluded, limit)
+    gate(ann.candidate_shortfall(listed, limit), "too few licensed candidates")
+    return ann.large_candidates(listed, scan)
+
+
 def bind_reviewed_manifest(
     records: DataFrame, decisions: DataFrame, protocol: str, content: DataFrame,
     class_names: Sequence[str] = tuple(S.CLASS_NAMES), distance: int = 6,
@@ -141,6 +148,7 @@ def evaluate(
 
 def heldout_check(heldout: DataFrame, development: DataFrame, results: DataFrame, per_class: int = 10, distance: int = 6) -> DataFrame:
     """Held-out rules, leakage and near-duplicates; then the pass rates of untouched predictions."""
+    manifest.missing_columns_error(heldout, S.HELDOUT_COLUMNS)
     gate(manifest.heldout_manifest_violations(heldout, per_class), "held-out manifest")
     gate(identity.heldout_leakage(heldout, development), "held-out leakage")
     named = heldout.withColumn("image_id", F.col("filename"))

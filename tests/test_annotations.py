@@ -5,6 +5,7 @@ from conftest import rows
 
 from curalake.operators import annotations as A
 from curalake.operators import identity
+from curalake.operators.violations import GateError
 from curalake.plans import jobs
 from curalake.sources import tables
 
@@ -90,3 +91,11 @@ def test_licensed_candidates(spark):
     )
     used = spark.createDataFrame([("commons-1",)], "source_group string")
     assert rows(A.licensed_candidates(listing, used, 3), "page_id", "licence") == [(2, "CC (https://l)"), (4, "CC (https://l)"), (5, "CC (https://l)")]
+
+
+def test_acquired_candidates_are_large_and_as_many_as_requested(spark):
+    listing = spark.createDataFrame([(i, f"t{i}", "CC", "https://l") for i in range(1, 6)], "page_id bigint, title string, licence string, licence_url string")
+    scan = spark.createDataFrame([("commons-1", 255), ("commons-2", 256), ("commons-3", None), ("commons-4", 900)], "source_group string, short_side int")
+    assert rows(jobs.acquire_candidates(listing, None, scan, 5), "page_id", "short_side") == [(2, 256), (4, 900)]
+    with pytest.raises(GateError, match="5 of 6"):
+        jobs.acquire_candidates(listing, None, scan, 6)

@@ -176,3 +176,10 @@ def test_certification_without_label_column(spark):
     df = spark.createDataFrame([("normal",), ("dent",)], "class_name string")
     assert rows(manifest.normal_certification(df)) == [(0, 1)]
     assert rows(manifest.acquisition_yield(df, 12), "needed_rows", "ok") == [(10, False)]
+
+
+def test_heldout_check_needs_every_column(spark):
+    columns = [c for c in S.HELDOUT_COLUMNS if c not in ("checksum", "selection_protocol_version")]
+    heldout = spark.createDataFrame([], S.all_strings(columns))
+    with pytest.raises(GateError, match=r"missing columns: \['checksum', 'selection_protocol_version'\]"):
+        jobs.heldout_check(heldout, heldout, heldout)
