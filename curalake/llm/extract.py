@@ -75,16 +75,34 @@ class Page:
         self.fields = [0]
         self.blocks: list[tuple[int, str]] = []  # (element, text), in page order
         self.link_chars: list[int] = []
-        self._parse(source)
+        self._parse(source.removeprefix("\ufeff"))
 
     def _parse(self, source: str) -> None:  # noqa: PLR0912
         stack, pieces, in_link, linked, never = [0], [], 0, 0, 0
         at, n = 0, len(source)
+        frame: dict[str, int] = {}  # the html and the body element, as they come or as content implies them
+
+        def add(tag: str, words: frozenset[str] = frozenset(), mark: str | None = None) -> None:
+            self.parent.append(stack[-1])
+            self.tag.append(tag)
+            self.words.append(words)
+            self.marks.append(mark)
+            self.fields.append(0)
+            stack.append(len(self.tag) - 1)
+
+        def open_frame(*names: str) -> None:
+            for name in names:
+                if name in frame and stack[-1] == self.parent[frame[name]]:
+                    stack.append(frame[name])
+                elif name not in frame and self.tag[stack[-1]] == ("#root" if name == "html" else "html"):
+                    add(name)
+                    frame[name] = stack[-1]
 
         def flush() -> None:
             nonlocal linked
             text = " ".join("".join(pieces).split())
             if text:
+                open_frame("html", "body")
                 owner = next(e for e in reversed(stack) if self.tag[e] in BLOCK or e == 0)
                 self.blocks.append((owner, text))
                 self.link_chars.append(min(linked, len(text)))
@@ -143,6 +161,7 @@ class Page:
                             break
                 if started in VOID:
                     if started == "input":
+                        open_frame("html", "body")
                         for e in stack:
                             self.fields[e] += 1
                     continue
@@ -152,19 +171,23 @@ class Page:
                         continue
                     at = n if not stop else source.find(">", stop.end()) + 1 or n
                     if started == "textarea":
+                        open_frame("html", "body")
                         for e in stack:
                             self.fields[e] += 1
                     continue
                 words, mark = self._words(attributes)
-                self.parent.append(stack[-1])
-                self.tag.append(started)
-                self.words.append(words)
-                self.marks.append(mark)
-                self.fields.append(0)
+                if started in frame:  # repeated, or implied before: one element
+                    e = frame[started]
+                    self.words[e], self.marks[e] = self.words[e] | words, self.marks[e] or mark
+                    open_frame("html", *(["body"] if started == "body" else []))
+                    continue
+                open_frame(*(() if started == "html" else ("html",) if started in ("head", "body", "frameset") else ("html", "body")))
                 if started in ("select", "button"):
                     for e in stack:
                         self.fields[e] += 1
-                stack.append(len(self.tag) - 1)
+                add(started, words, mark)
+                if started in ("html", "body"):
+                    frame[started] = stack[-1]
                 in_link += started == "a"
                 never += started in NEVER
         flush()

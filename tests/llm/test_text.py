@@ -297,3 +297,21 @@ def test_main_text_of_odd_pages(spark):
     out = {r["page_id"]: r["text"] for r in extract.main_texts(pages).collect()}
     assert len(out) == len(odd) and out[0] == out[1] == ""
     assert extract.main_texts(pages.limit(0)).count() == 0
+
+
+def test_main_text_outside_a_body():
+    trees = extract.Trees(None, [])
+    expected = {
+        "plain words": "plain words", "some <b>bold</b> words": "some bold words", "bare text<p>a paragraph</p>more text": "bare text\na paragraph\nmore text",
+        "<html>no body here": "no body here", "<html><head><title>t</title></head><body><p>inside it</p></body></html>after it": "inside it\nafter it",
+        "early text<html><body class=x><p>inside it</p>": "early text\ninside it", "\ufeff<html><body>words</body></html>": "words",
+    }
+    assert {page: extract.main_text(page, trees) for page in expected} == expected
+    page = extract.Page("early text<html><body class=story><p>inside it</p></body></html>late text")
+    assert page.tag == ["#root", "html", "body", "p"] and page.parent == [-1, 0, 1, 2] and page.words[2] == {"story"} and [o for o, _ in page.blocks] == [2, 3, 2]
+    assert extract.Page("<html><head></head>\n<body><p>x</p></body>\n</html>\n").tag == ["#root", "html", "head", "body", "p"]
+
+
+def test_main_text_of_plain_words(spark):
+    pages = spark.createDataFrame([(1, None, "plain words")], "page_id bigint, url string, html string")
+    assert [r["text"] for r in extract.main_texts(pages).collect()] == ["plain words"]
