@@ -34,7 +34,9 @@ KEYS = 48
 #: Members up to which a key is joined in full at once, and such larger keys from which a document is dense.
 SMALL_KEY, DENSE = 16, 8
 SKETCH_BITS = 1024
-CHUNK = 1_000_000
+#: Characters handled at once (a longer text is handled alone), and powers kept between chunks.
+CHUNK = 250_000
+KEPT_POWERS = 1 << 12
 
 _rng = np.random.default_rng(5)
 _BYTE = _rng.integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -42,6 +44,7 @@ _IS_WHITE = np.zeros(256, dtype=bool)
 _IS_WHITE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE[_IS_WHITE] = 0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_KEPT = _BASE ** np.arange(KEPT_POWERS, dtype=np.uint64)
 _STEP = _rng.integers(1, 1 << 63, size=8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _REPEAT = _rng.integers(1, 1 << 63, size=KEYS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Size bands [_BANDS[i], _BANDS[i + 1]): sizes of linked sets differ by a factor of at most 4/3, so bands by one.
@@ -58,14 +61,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int, have: list[np.ndarray] = [np.ones(1, dtype=np.uint64)]) -> np.ndarray:  # noqa: B006  grows once per worker
-    while len(have[0]) < n:
-        have[0] = np.concatenate([have[0], have[0] * (have[0][-1:] * _BASE)])
-    return have[0]
+def powers(n: int) -> np.ndarray:
+    """At least ``n`` powers of the base by repeated doubling. Only those for words of usual length are kept."""
+    have = _KEPT
+    while len(have) < n:
+        have = np.concatenate([have, have * (have[-1:] * _BASE)])
+    return have
 
 
-def shingle_sets(texts: Sequence[str | None]) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text: five words, or all words if there are fewer; only A-Z are lower-cased."""
+def shingle_sets(texts: Sequence[str | None], size: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text: ``size`` words, or all words if there are fewer; only A-Z are lower-cased."""
     out: list[np.ndarray] = [np.zeros(0, dtype=np.uint64)] * len(texts)
     chunk: list[int] = []
     held = 0
@@ -74,14 +79,14 @@ def shingle_sets(texts: Sequence[str | None]) -> list[np.ndarray]:
             chunk.append(i)
             held += len(text)
         if held > CHUNK or chunk and i == len(texts) - 1:
-            _sets_of(texts, chunk, out)
+            _sets_of(texts, chunk, out, size)
             chunk, held = [], 0
     if chunk:
-        _sets_of(texts, chunk, out)
+        _sets_of(texts, chunk, out, size)
     return out
 
 
-def _sets_of(texts: Sequence[str | None], chunk: list[int], out: list[np.ndarray]) -> None:
+def _sets_of(texts: Sequence[str | None], chunk: list[int], out: list[np.ndarray], size: int) -> None:
     parts = [texts[i].encode("utf-8", "surrogatepass").lower() for i in chunk]
     data = np.frombuffer(b" ".join(parts), dtype=np.uint8)
     white = _IS_WHITE[data]
@@ -90,19 +95,19 @@ def _sets_of(texts: Sequence[str | None], chunk: list[int], out: list[np.ndarray
         return
     spans = np.diff(starts, append=len(data))
     place = np.arange(starts[0], len(data)) - np.repeat(starts, spans)
-    words = mixed(np.add.reduceat(_BYTE[data[starts[0] :]] * _powers(int(spans.max()))[place], starts - starts[0]))
+    words = mixed(np.add.reduceat(_BYTE[data[starts[0] :]] * powers(int(spans.max()))[place], starts - starts[0]))
     borders = np.cumsum([len(p) + 1 for p in parts])
     cuts = np.append(0, np.searchsorted(starts, borders))
     n = len(words)
-    if n >= WORDS:
-        runs = words[: n - WORDS + 1] * _STEP[0]
-        for k in range(1, WORDS):
-            runs = runs + words[k : n - WORDS + 1 + k] * _STEP[k]
+    if n >= size:
+        runs = words[: n - size + 1] * _STEP[0]
+        for k in range(1, size):
+            runs = runs + words[k : n - size + 1 + k] * _STEP[k]
         runs = mixed(runs)
     for k, i in enumerate(chunk):
         a, b = int(cuts[k]), int(cuts[k + 1])
-        if b - a >= WORDS:
-            own = np.sort(runs[a : b - WORDS + 1])
+        if b - a >= size:
+            own = np.sort(runs[a : b - size + 1])
             out[i] = own[np.append(True, own[1:] != own[:-1])]
         elif b > a:
             out[i] = mixed((words[a:b] * _STEP[: b - a]).sum(keepdims=True) + np.uint64(b - a))

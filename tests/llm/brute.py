@@ -1,21 +1,22 @@
 """Plain versions of the operators, for small inputs."""
 
+import math
 import re
 from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def shingles(text):
+def shingles(text, size=5):
     words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
         return set()
-    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)}
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if len(words) >= size else {tuple(words)}
 
 
-def components(rows):
-    """doc_id -> smallest doc_id reachable, by comparing every pair."""
-    sets = {i: shingles(t) for i, t in rows}
+def components(rows, size=5, least=75):
+    """doc_id -> size of its set and smallest doc_id reachable, by comparing every pair."""
+    sets = {i: shingles(t, size) for i, t in rows}
     up = {i: i for i in sets}
 
     def top(i):
@@ -28,7 +29,7 @@ def components(rows):
         for b in ids[k + 1 :]:
             if sets[a] and sets[b]:
                 shared = len(sets[a] & sets[b])
-                if 100 * shared >= 75 * (len(sets[a]) + len(sets[b]) - shared):
+                if 100 * shared >= least * (len(sets[a]) + len(sets[b]) - shared):
                     x, y = top(a), top(b)
                     up[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), top(i)) for i in ids}
@@ -46,34 +47,6 @@ def quality(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), repeated, len(covered), failed
 
 
-def without_repeated_runs(rows, least=50):
-    """doc_id -> text: for every place whose opening window occurs earlier, the common prefix with its first copy goes."""
-    docs, first, gone = {}, {}, defaultdict(set)
-    white = " \t\n\r\x0b\x0c"
-    for i, text in rows:
-        docs[i] = [(n, x.strip(white)) for n, x in enumerate((text or "").split("\n")) if x.strip(white)]
-    for i in sorted(docs):
-        lines = [x for _, x in docs[i]]
-        for p in range(len(lines)):
-            total, end = 0, p
-            while end < len(lines) and total < least:
-                total += len(WORD.findall(lines[end]))
-                end += 1
-            if total < least:
-                continue
-            key = tuple(lines[p:end])
-            if key not in first:
-                first[key] = (i, p)
-                continue
-            j, q = first[key]
-            other = [x for _, x in docs[j]]
-            k = 0
-            while p + k < len(lines) and q + k < len(other) and lines[p + k] == other[q + k]:
-                gone[i].add(docs[i][p + k][0])
-                k += 1
-    return {i: "\n".join(x for n, x in enumerate((t or "").split("\n")) if n not in gone[i]) if gone[i] else t for i, t in rows}
-
-
 def without_longest_runs(rows, least=50):
     """doc_id -> text: from every place, the longest common prefix with any earlier place goes if it has ``least`` words."""
     docs, places, gone = {}, [], defaultdict(set)
@@ -93,3 +66,21 @@ def without_longest_runs(rows, least=50):
                 gone[i] |= {n for n, _ in docs[i][p : p + longest]}
             places.append((lines, p))
     return {i: "\n".join(x for n, x in enumerate((t or "").split("\n")) if n not in gone[i]) if gone[i] else t for i, t in rows}
+
+
+def hard_negatives(rows, every=50):
+    """Sorted (anchor, positive, rank, negative, positive score, negative score) from rows of id, vector and label."""
+    table = {}
+    for i, v, label in rows:
+        if i is None or label is None or not v or any(c is None or not math.isfinite(c) for c in v):
+            continue
+        table[i] = min(table.get(i, (label, [math.inf])), (label, [math.floor(256 * c) for c in v]))
+    out = []
+    for a, (label, x) in table.items():
+        if a % every:
+            continue
+        scored = sorted((-sum(p * q for p, q in zip(x, y)), i, other) for i, (other, y) in table.items() if i != a and len(y) == len(x))
+        for score, i, _ in [s for s in scored if s[2] == label][:5]:
+            inside = [s for s in scored if s[2] != label and 50 * -score <= 100 * -s[0] <= 95 * -score][:3]
+            out += [(a, i, k + 1, j, -score, -s) for k, (s, j, _) in enumerate(inside)]
+    return sorted(out)

@@ -109,13 +109,6 @@ def line_corpus(seed):
     return [*rows, (60, None), (61, ""), (62, "\n\n"), (63, line(80) + "\n"), (64, "\r\n".join(runs[0]))]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_line_runs_equal_brute_force(spark, seed):
-    rows = line_corpus(seed)
-    found = {r["doc_id"]: r["text"] for r in linedup.drop_repeated_runs(frame(spark, rows)).collect()}
-    assert found == brute.without_repeated_runs(rows)
-
-
 def test_line_runs_follow_the_longest_earlier_copy(spark):
     line = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
     p, q, r = line("p", 60), line("q", 10), line("r", 20)
