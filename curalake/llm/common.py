@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,34 @@ def bounded_batches(spark: SparkSession, rows: int = 1_000, size: str = "2m") ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the jobs that run inside, and the former ones afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Spark's own Bloom filter of the join keys drops rows of the large side before they are shuffled. By default it is for
+#: scans of over 10 GB and small key tables. Its 2 MB serve some 2 million keys; with more it fades and all rows are shuffled.
+BLOOM = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "10g", "spark.sql.optimizer.runtime.bloomFilter.numBits": str(1 << 24),
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "2000000",
+}
+
+
+def rows_of(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows of ``df`` whose key is in ``keys`` (bigint), to be run within ``settings(spark, BLOOM)``. The comparison is true
+    of every key; Spark considers a Bloom filter for selective key tables only."""
+    return df.join(keys.select(column).filter(F.col(column) >= -(1 << 63)), column, "left_semi")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends there and survives lost executors."""
     spark = df.sparkSession
@@ -54,7 +83,3 @@ def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], salt: Column, l
     spread = table.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return df.withColumn(name, F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(spread, [*keys, name]).drop(name)
 
-
-def narrow(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A written key table, marked for broadcast if it has at most ``limit`` rows; a larger one is left to a shuffle join."""
-    return F.broadcast(table) if table.count() <= limit else table

@@ -7,12 +7,8 @@ s share a half key with probability s ** (r / 2), and a table if they share a ha
 all tables with 2 * (1 - s ** (r / 2)) ** m at most: 1e-5 at 0.8, 1e-8 at 0.9.
 
 Equal sets are one class first, so exact copies cost nothing. A document emits the same number of keys whatever group it
-is in; a key's share of all emitted rows is below 1 / m ** 2. Keys of up to ``SMALL_KEY`` classes are compared in full,
-larger ones along a chain by size. The pair that shares most tables is verified first for each class; pairs whose ends
-are then connected need no look. A large key whose members are still in several components afterwards is compared
-across them: those outside its largest component with all others, as long as they are few. If they are many, its
-documents go to the next level, with longer half keys and so fewer chance meetings, and tables for the same recall; the
-last level compares what is left in full. No candidate is dropped on the way.
+is in; a key's share of all emitted rows is below 1 / m ** 2. What shares a key is compared and verified on whole sets
+in ``pairs``.
 """
 
 from __future__ import annotations
@@ -21,42 +17,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curalake.llm.common import bounded_batches, written
-from curalake.llm.components import components
+from curalake.llm.pairs import Threshold, components_of, linked_classes, members_of, parity_bits
 from curalake.llm.shingles import mixed, shingle_sets
 
 WORDS = 4
-NUMERATOR, DENOMINATOR = 80, 100
-#: (minhashes per half key, half keys per collection) of the levels.
-LEVELS = ((2, 12), (3, 17), (4, 25))
-#: Classes up to which a key is compared in full, and outsiders up to which a large mixed key is.
-SMALL_KEY, OUTSIDERS = 12, 64
+THRESHOLD = Threshold(80)
+#: Minhashes per half key, half keys per collection.
+WIDE, COUNT = 2, 12
 #: Sets with fewer shingles link with equal sets only: 3 of 4 is below the threshold.
-LEAST = NUMERATOR // (DENOMINATOR - NUMERATOR)
+LEAST = 4
 
 _rng = np.random.default_rng(13)
 _SUM = _rng.integers(1, 1 << 63, size=2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MASKS = _rng.integers(0, 1 << 63, size=(2 * COUNT, WIDE), dtype=np.uint64)
+_FACTORS = _rng.integers(1, 1 << 63, size=(2 * COUNT, WIDE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def half_keys(tokens: np.ndarray, starts: np.ndarray, level: int) -> np.ndarray:
+def half_keys(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Half keys of sets that lie one after another in ``tokens``: an int64 row per set, first the one collection, then the other.
 
     A minhash is the least value of a set under a permutation, x -> (x ^ mask) * odd factor. The place of a half key is
     part of its hash, so half keys of different places never meet.
     """
-    wide, count = LEVELS[level]
-    rng = np.random.default_rng(1_000 + level)
-    masks = rng.integers(0, 1 << 63, size=(2 * count, wide), dtype=np.uint64)
-    factors = rng.integers(1, 1 << 63, size=(2 * count, wide), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    out = np.empty((len(starts), 2 * count), dtype=np.uint64)
-    for i in range(2 * count):
+    out = np.empty((len(starts), 2 * COUNT), dtype=np.uint64)
+    for i in range(2 * COUNT):
         own = np.full(len(starts), i + 1, dtype=np.uint64)
-        for k in range(wide):
-            own = mixed(own + np.minimum.reduceat((tokens ^ masks[i, k]) * factors[i, k], starts))
+        for k in range(WIDE):
+            own = mixed(own + np.minimum.reduceat((tokens ^ _MASKS[i, k]) * _FACTORS[i, k], starts))
         out[:, i] = own
     return out.view(np.int64)
 
@@ -75,137 +66,33 @@ def _grouped(sets: list[np.ndarray], most: int = 1 << 17) -> Iterator[tuple[list
             own, held = [], 0
 
 
-def _with_text(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
 def features(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, fp1, fp2, half``: size and 128-bit fingerprint of the set and the first level's half keys."""
+    """``doc_id, n_shingles, fp1, fp2, half, sketch``: size and 128-bit fingerprint of the set, its half keys and parity sketch."""
     bounded_batches(docs.sparkSession)
 
-    @F.pandas_udf("n bigint, fp1 bigint, fp2 bigint, half array<bigint>")
+    @F.pandas_udf("n bigint, fp1 bigint, fp2 bigint, half array<bigint>, sketch array<bigint>")
     def computed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = shingle_sets(texts.tolist(), WORDS)
             n = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
             sums = np.zeros((len(sets), 2), dtype=np.int64)
             half: list[np.ndarray | None] = [None] * len(sets)
+            sketch = [parity_bits(s) if len(s) >= LEAST else None for s in sets]
             for own, tokens, starts in _grouped(sets):
                 for k in range(2):
                     sums[own, k] = np.add.reduceat(mixed(tokens * _SUM[k]), starts).view(np.int64)
-                for i, keys in zip(own, half_keys(tokens, starts, 0), strict=True):
+                for i, keys in zip(own, half_keys(tokens, starts), strict=True):
                     half[i] = keys if n[i] >= LEAST else None
-            yield pd.DataFrame({"n": n, "fp1": sums[:, 0], "fp2": sums[:, 1], "half": half})
-
-    return _with_text(docs).select("doc_id", computed("text").alias("x")).select("doc_id", F.col("x.n").alias("n_shingles"), "x.fp1", "x.fp2", "x.half")
-
-
-def members_of(classes: DataFrame, count: int) -> DataFrame:
-    """``key, rep, n, prev, c``: every table key that at least two classes share, its classes, the one before in the
-    chain (by size), and their number. Input: ``rep, n, half``."""
-    first = classes.select("rep", "n", F.explode(F.slice("half", 1, count)).alias("a"), F.slice("half", count + 1, count).alias("later"))
-    rows = first.select("rep", "n", "a", F.explode("later").alias("b")).select("rep", "n", F.xxhash64("a", "b").alias("key"))
-    order = W.partitionBy("key").orderBy("n", "rep")
-    ranked = rows.withColumns({"prev": F.lag(F.struct("rep", "n")).over(order), "c": F.count(F.lit(1)).over(W.partitionBy("key"))})
-    return written(ranked.filter("c > 1"), "minhash-members")
+            yield pd.DataFrame({"n": n, "fp1": sums[:, 0], "fp2": sums[:, 1], "half": half, "sketch": sketch})
 
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.select("doc_id", computed("text").alias("x")).select("doc_id", F.col("x.n").alias("n_shingles"), "x.fp1", "x.fp2", "x.half", "x.sketch")
 
-def _sizes_fit(a: Column, b: Column) -> Column:
-    return F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR
 
-
-def _candidates(members: DataFrame) -> DataFrame:
-    """``a, b, shared``: pairs of classes in a chain or a small key whose sizes fit, and in how many tables."""
-    chain = members.filter((F.col("c") == 2) | (F.col("c") > SMALL_KEY)).filter("prev IS NOT NULL")
-    chain = chain.select(F.col("prev.rep").alias("a"), F.col("prev.n").alias("n"), F.col("rep").alias("b"), F.col("n").alias("m"))
-    small = members.filter((F.col("c") > 2) & (F.col("c") <= SMALL_KEY))
-    full = small.select("key", F.col("rep").alias("a"), "n").join(small.select("key", F.col("rep").alias("b"), F.col("n").alias("m")), "key").filter("a < b")
-    pairs = chain.unionByName(full.select("a", "n", "b", "m")).filter(_sizes_fit(F.col("n"), F.col("m")) & (F.col("a") != F.col("b")))
-    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-
-
-def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """``rep, s``: whole shingle sets of the documents in ``ids``. A null or repeated id yields what its rows hold."""
-
-    @F.pandas_udf("array<bigint>")
-    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([s.view(np.int64) for s in shingle_sets(texts.tolist(), WORDS)])
-
-    chosen = _with_text(docs).join(written(ids, "minhash-ids").withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    return written(chosen.select(F.col("doc_id").alias("rep"), sets("text").alias("s")), "minhash-sets")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs ``a, b`` whose whole sets link."""
-    left, right = (sets.select(F.col("rep").alias(i), F.col("s").alias(f"s{i}")) for i in "ab")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    sized = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
-    return written(sized.filter(F.col("i") * DENOMINATOR >= (F.col("t") - F.col("i")) * NUMERATOR).select("a", "b").distinct(), "minhash-links")
-
-
-def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs whose ends are not connected yet."""
-    for i in "ab":
-        pairs = pairs.join(groups.select(F.col("node").alias(i), F.col("component").alias(f"g{i}")), i, "left").withColumn(f"g{i}", F.coalesce(f"g{i}", i))
-    return pairs.filter("ga <> gb").select("a", "b")
-
-
-def _level_keys(ids: DataFrame, sets: DataFrame, level: int) -> DataFrame:
-    """``rep, n, half`` of a later level, from the sets of the documents that need it."""
-
-    @F.pandas_udf("array<bigint>")
-    def half(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for column in batches:
-            own = [np.asarray(s, dtype=np.int64).view(np.uint64) for s in column]
-            out: list[np.ndarray | None] = [None] * len(own)
-            for numbers, tokens, starts in _grouped(own):
-                for i, keys in zip(numbers, half_keys(tokens, starts, level), strict=True):
-                    out[i] = keys
-            yield pd.Series(out)
-
-    return sets.join(ids, "rep", "left_semi").select("rep", F.size("s").cast("bigint").alias("n"), half("s").alias("half"))
-
-
-def linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``node, component`` of the classes (``rep, n, half``) that link with another one; ``docs`` has their texts."""
-    edges = sets = groups = None
-    for level, (_, count) in enumerate(LEVELS):
-        members = members_of(classes, count)
-        pairs = written(_candidates(members), "minhash-pairs")
-        if sets is None:
-            ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
-            sets = _sets(ends.unionByName(members.filter(F.col("c") > SMALL_KEY).select("rep")).distinct(), docs)
-        # each class with the earlier one it shares most tables with, then what this leaves apart
-        nearest = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-        found = _verified(nearest, sets)
-        edges = found if edges is None else written(edges.unionByName(found).distinct(), "minhash-links")
-        groups = written(components(edges), "minhash-groups")
-        edges = written(edges.unionByName(_verified(_apart(pairs, groups), sets)), "minhash-links")
-        groups = written(components(edges), "minhash-groups")
-
-        placed = members.filter(F.col("c") > SMALL_KEY).select("key", "rep", "n").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-        placed = written(placed.select("key", "rep", "n", F.coalesce("component", "rep").alias("g")), "minhash-placed")
-        shares = placed.groupBy("key", "g").agg(F.count(F.lit(1)).alias("c"))
-        split = shares.groupBy("key").agg(F.max_by("g", F.struct("c", "g")).alias("top"), (F.sum("c") - F.max("c")).alias("outside")).filter("outside > 0")
-        split = written(split, "minhash-split")
-        direct = split if level == len(LEVELS) - 1 else split.filter(F.col("outside") <= OUTSIDERS)
-        left = placed.join(direct, "key").filter("g <> top").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga"))
-        right = placed.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"))
-        across = left.join(right, "key").filter((F.col("ga") != F.col("gb")) & _sizes_fit(F.col("na"), F.col("nb")))
-        across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        more = _verified(written(across, "minhash-pairs"), sets)
-        if not more.isEmpty():
-            edges = written(edges.unionByName(more), "minhash-links")
-            groups = written(components(edges), "minhash-groups")
-        if level == len(LEVELS) - 1:
-            break
-        rest = placed.join(split.filter(F.col("outside") > OUTSIDERS).select("key"), "key", "left_semi").select("rep").distinct()
-        rest = written(rest, "minhash-rest")
-        if rest.isEmpty():
-            break
-        classes = written(_level_keys(rest, sets, level + 1), "minhash-classes")
-    return groups
+def table_keys(classes: DataFrame) -> DataFrame:
+    """``key, rep, n``: every half key of the first collection with every one of the second. Input: ``rep, n, half``."""
+    first = classes.select("rep", "n", F.explode(F.slice("half", 1, COUNT)).alias("a"), F.slice("half", COUNT + 1, COUNT).alias("later"))
+    return first.select("rep", "n", "a", F.explode("later").alias("b")).select(F.xxhash64("a", "b").alias("key"), "rep", "n")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -217,19 +104,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null component and is kept. Only doc_id and text are read; an empty table gives no rows.
     """
     rows = written(features(docs), "minhash-features")
-    linked = rows.filter("doc_id IS NOT NULL AND n_shingles > 0")
     same = ["n_shingles", "fp1", "fp2"]
-    classes = linked.groupBy(*same).agg(F.min(F.struct("doc_id", "half")).alias("least"))
-    classes = written(classes.select(*same, F.col("least.doc_id").alias("rep"), F.col("least.half").alias("half")), "minhash-classes")
-    groups = linked_classes(classes.filter("half IS NOT NULL").select("rep", F.col("n_shingles").alias("n"), "half"), docs)
-    named = linked.select("doc_id", *same).join(classes.select(*same, "rep"), same).select("doc_id", "n_shingles", "rep")
-    named = named.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    named = written(named, "minhash-named")
-    # a doc_id whose rows are in several components joins them
-    twice = named.groupBy("doc_id").agg(F.min("component_id").alias("a"), F.max("component_id").alias("z")).filter("a <> z")
-    bridges = written(named.join(twice, "doc_id").select("a", F.col("component_id").alias("b")).filter("a <> b").distinct(), "minhash-bridges")
-    if not bridges.isEmpty():
-        merged = components(bridges).select(F.col("node").alias("component_id"), F.col("component").alias("_joined"))
-        named = named.join(merged, "component_id", "left").select("doc_id", "n_shingles", F.coalesce("_joined", "component_id").alias("component_id"))
-    alone = rows.filter("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return named.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    classes = rows.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy(*same).agg(F.min(F.struct("doc_id", "half", "sketch")).alias("least"))
+    classes = written(classes.select(*same, F.col("least.doc_id").alias("rep"), "least.half", "least.sketch"), "minhash-classes")
+    able = classes.filter("half IS NOT NULL").select("rep", F.col("n_shingles").alias("n"), "half", "sketch")
+    groups = linked_classes(able, members_of(table_keys(able)), docs, lambda texts: shingle_sets(texts, WORDS), THRESHOLD)
+    return components_of(rows, classes, groups, same).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -8,11 +8,9 @@ keys, where K is small; for long documents the first ``KEYS`` cells, of which ab
 The chance that a pair at the threshold shares no key with a shingle in it is about 1e-8, and falls fast above it.
 Documents emit the keys of their own band and of the band below.
 
-Equal sets are one class before anything is joined. Members of a key are chained in order, small keys are also joined
-in full; a 1024-bit parity sketch drops most pairs, as its Hamming distance is a lower bound too; the rest is
-verified on whole sets. Keys with many members come from passages that many documents share or from large groups of
-near copies. A document with many such keys is compared with all members of other components in them, again behind
-the sketch; one with few of them has been found by its other keys.
+Equal sets are one class before anything is joined. What shares a key is compared behind a 1024-bit parity sketch, whose
+Hamming distance is a lower bound too, and verified on whole sets in ``pairs``. With ``exact`` long documents emit all
+their cells, and no chance is left.
 """
 
 from __future__ import annotations
@@ -21,19 +19,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curalake.llm.common import bounded_batches, narrow, written
-from curalake.llm.components import components
+from curalake.llm.common import bounded_batches, written
+from curalake.llm.pairs import Threshold, components_of, linked_classes, members_of, parity_bits
 
 WORDS = 5
-NUMERATOR, DENOMINATOR = 75, 100
+THRESHOLD = Threshold(75)
 KEYS = 48
-#: Members up to which a key is joined in full at once, and such larger keys from which a document is dense.
-SMALL_KEY, DENSE = 16, 8
-SKETCH_BITS = 1024
 #: Characters handled at once (a longer text is handled alone), and powers kept between chunks.
 CHUNK = 250_000
 KEPT_POWERS = 1 << 12
@@ -50,7 +44,7 @@ _REPEAT = _rng.integers(1, 1 << 63, size=KEYS + 1, dtype=np.uint64) * np.uint64(
 #: Size bands [_BANDS[i], _BANDS[i + 1]): sizes of linked sets differ by a factor of at most 4/3, so bands by one.
 _BANDS = [1]
 while _BANDS[-1] < 1 << 40:
-    _BANDS.append(max(_BANDS[-1] + 1, -(-_BANDS[-1] * DENOMINATOR // NUMERATOR)))
+    _BANDS.append(max(_BANDS[-1] + 1, -(-_BANDS[-1] * THRESHOLD.denominator // THRESHOLD.numerator)))
 FEATURES_DDL = "n_shingles bigint, fp1 bigint, fp2 bigint, keys array<bigint>, sketch array<bigint>"
 
 
@@ -117,12 +111,12 @@ def band(size: int) -> int:
     return int(np.searchsorted(_BANDS, size, side="right")) - 1
 
 
-def cell_keys(tokens: np.ndarray, of_band: int) -> np.ndarray:
+def cell_keys(tokens: np.ndarray, of_band: int, exact: bool = False) -> np.ndarray:
     """Keys of the non-empty cells that documents of a band (as the smaller side) emit."""
     cells = (_BANDS[of_band + 1] - 1) // 3 + 1
     if cells >= KEYS:
         place = ((mixed(tokens * _REPEAT[KEYS]) >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
-        inside = place < KEYS
+        inside = place < (cells if exact else KEYS)
         place, values = place[inside], tokens[inside]
     else:
         repeats = -(-KEYS // cells)
@@ -138,13 +132,7 @@ def cell_keys(tokens: np.ndarray, of_band: int) -> np.ndarray:
     return mixed(parity + mixed(place[starts] + np.uint64(of_band << 32) + _STEP[6]))
 
 
-def parity_bits(tokens: np.ndarray) -> np.ndarray:
-    """The parity sketch as 64-bit words; its Hamming distance is at most the symmetric difference."""
-    odd = np.bincount((tokens >> np.uint64(20)) & np.uint64(SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def features_of(tokens: np.ndarray) -> tuple[int, int, int, np.ndarray | None, np.ndarray | None]:
+def features_of(tokens: np.ndarray, exact: bool = False) -> tuple[int, int, int, np.ndarray | None, np.ndarray | None]:
     n = len(tokens)
     if not n:
         return 0, 0, 0, None, None
@@ -152,106 +140,44 @@ def features_of(tokens: np.ndarray) -> tuple[int, int, int, np.ndarray | None, n
     if n < 3:  # smaller sets link with equal sets only
         return n, *sums, None, None
     own = band(n)
-    keys = np.concatenate([cell_keys(tokens, own), cell_keys(tokens, own - 1)])
+    keys = np.concatenate([cell_keys(tokens, own, exact), cell_keys(tokens, own - 1, exact)])
     return n, *sums, keys.view(np.int64), parity_bits(tokens)
 
 
-def shingle_features(docs: DataFrame) -> DataFrame:
+def shingle_features(docs: DataFrame, exact: bool = False) -> DataFrame:
     """doc_id, number of shingles, 128-bit fingerprint of the set, join keys and sketch of every row."""
     bounded_batches(docs.sparkSession)
 
     @F.pandas_udf(FEATURES_DDL)
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            rows = [features_of(s) for s in shingle_sets(texts.tolist())]
+            rows = [features_of(s, exact) for s in shingle_sets(texts.tolist())]
             yield pd.DataFrame(rows, columns=["n_shingles", "fp1", "fp2", "keys", "sketch"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), features(F.col("text").cast("string")).alias("x")).select("doc_id", "x.*")
 
 
-def _sizes_fit(a: Column, b: Column) -> Column:
-    return F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR
-
-
-def _sketches_fit(a: Column, b: Column, n: Column, m: Column) -> Column:
-    """Hamming distance within the largest symmetric difference of linked sets of these sizes."""
-    distance = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(a[0].bitwiseXOR(b[0])))
-    return distance * (DENOMINATOR + NUMERATOR) <= (n + m) * (DENOMINATOR - NUMERATOR)
-
-
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of doc_ids whose whole shingle sets link. Texts of their documents alone are read again."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-
-    @F.pandas_udf("array<bigint>")
-    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([s.view(np.int64) for s in shingle_sets(texts.tolist())])
-
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(narrow(written(ids, "shingle-ids")), "doc_id", "left_semi")
-    table = written(chosen.select("doc_id", sets("text").alias("s")), "shingle-sets")
-    left = table.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
-    right = table.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return (
-        pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
-        .filter(F.col("i") * DENOMINATOR >= (F.col("t") - F.col("i")) * NUMERATOR).select("a", "b").distinct()
-    )
-
-
-def similar_components(docs: DataFrame) -> DataFrame:
+def similar_components(docs: DataFrame, exact: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row: the smallest doc_id reachable by links of similarity 0.75 or more.
 
     Null or blank texts have no shingles and stand alone. Repeated rows share a component. A null doc_id links
     nothing and has a null component. Rows of one doc_id with different texts count as one document that links by each.
+    ``exact`` has long documents emit all their cells instead of the first ``KEYS``.
     """
-    features = written(shingle_features(docs), "shingle-features")
-    linked = features.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = linked.groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    reps = written(
-        linked.join(classes, ["n_shingles", "fp1", "fp2"]).filter("doc_id = rep").filter("n_shingles > 2")
-        .select("rep", F.col("n_shingles").alias("n"), "keys", "sketch").dropDuplicates(["rep", "n"]), "shingle-classes",
-    )
-    order = W.partitionBy("key").orderBy("n", "rep")
-    rows = reps.select("rep", "n", F.explode("keys").alias("key"))
-    members = rows.withColumns({"prev": F.lag(F.struct("rep", "n")).over(order), "c": F.count(F.lit(1)).over(W.partitionBy("key"))})
-    members = written(members.filter("c > 1"), "shingle-members")
-
-    # every key's chain, and every pair of a small key
-    chain = members.filter("prev IS NOT NULL").select(F.col("prev.rep").alias("a"), F.col("prev.n").alias("n"), F.col("rep").alias("b"), F.col("n").alias("m"))
-    small = members.filter((F.col("c") > 2) & (F.col("c") <= SMALL_KEY))
-    full = small.select("key", F.col("rep").alias("a"), "n").join(small.select("key", F.col("rep").alias("b"), F.col("n").alias("m")), "key").filter("a < b")
-    pairs = chain.unionByName(full.select("a", "n", "b", "m")).filter(_sizes_fit(F.col("n"), F.col("m")) & (F.col("a") != F.col("b")))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    table = reps.select("rep", "n", "sketch")
-    left, right = (table.select(F.col("rep").alias(i), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"s{i}")) for i in "ab")
-    close = pairs.join(left, "a").join(right, "b").filter(_sketches_fit(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    edges = written(verified(written(close, "shingle-pairs"), docs), "shingle-links")
-    groups = written(components(edges), "shingle-groups")
-
-    # dense documents in large keys: those outside the key's largest component meet all others (at most 2 * KEYS keys a document)
-    dense = members.filter(F.col("c") > SMALL_KEY).groupBy("rep").agg(F.collect_set("key").alias("keys")).filter(F.size("keys") >= DENSE)
-    placed = dense.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("g", F.coalesce("component", "rep")).join(table, "rep")
-    placed = written(placed.select("rep", "n", "sketch", "g", "keys"), "shingle-dense")
-    cells = placed.select("rep", "n", "sketch", "g", F.explode("keys").alias("key"))
-    largest = cells.groupBy("key", "g").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
-        F.max_by("g", F.struct("c", "g")).alias("g"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
-    left, right = (cells.select("key", F.col("rep").alias(i), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"s{i}"), F.col("g").alias(f"g{i}")) for i in "ab")
-    left = left.join(largest, "key").filter("ga <> g")
-    fits = _sizes_fit(F.col("na"), F.col("nb")) & _sketches_fit(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"))
-    more = left.join(right, "key").filter((F.col("ga") != F.col("gb")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = written(more, "shingle-pairs")
-    if not more.isEmpty():
-        edges = edges.unionByName(written(verified(more, docs), "shingle-links"))
-        groups = written(components(edges), "shingle-groups")
-
-    named = linked.select("doc_id", "n_shingles", "fp1", "fp2").join(classes, ["n_shingles", "fp1", "fp2"])
-    named = named.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    alone = features.filter("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return named.unionByName(alone)
+    rows = written(shingle_features(docs, exact), "shingle-features")
+    same = ["n_shingles", "fp1", "fp2"]
+    classes = rows.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy(*same).agg(F.min(F.struct("doc_id", "keys", "sketch")).alias("least"))
+    classes = written(classes.select(*same, F.col("least.doc_id").alias("rep"), "least.keys", "least.sketch"), "shingle-classes")
+    able = classes.filter("keys IS NOT NULL").select("rep", F.col("n_shingles").alias("n"), "keys", "sketch")
+    members = members_of(able.select(F.explode("keys").alias("key"), "rep", "n"))
+    groups = linked_classes(able, members, docs, shingle_sets, THRESHOLD)
+    return components_of(rows, classes, groups, same)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each component; documents without shingles and without doc_id stay."""
+    """The document with the smallest doc_id of each component; documents without shingles and without doc_id stay.
+
+    Repeated rows of the document that stays are all kept: they are one document's rows, not documents of a group.
+    """
     losers = similar_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(narrow(written(losers, "shingle-losers")), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(written(losers, "shingle-losers"), "doc_id", "left_anti").select(*docs.columns)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from curalake.llm import components, linedup, shingles
+from curalake.llm import components, linedup, pairs, shingles
 from llm import brute
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -40,6 +40,19 @@ def corpus(seed, n=160):
     return list(enumerate([*out, None, "", " \n ", "é É", "é é", "one", "ONE", "a b c d", "x" * 50_000]))
 
 
+def templates(seed, n=150, length=120, first=0):
+    """Many texts near the threshold in one key: a base with up to 7 % of its words changed, and copies of copies that link."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(length)]
+    rows = []
+    for i in range(n):
+        words = list(rng.choice(rows)[1].split() if rows and rng.random() < 0.3 else base)
+        for _ in range(rng.randint(length // 60, length * 9 // 120)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((first + i, " ".join(words)))
+    return rows
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_equal_brute_force(spark, seed):
     rows = corpus(seed)
@@ -47,11 +60,11 @@ def test_components_equal_brute_force(spark, seed):
     assert found == brute.components(rows)
 
 
-def test_large_keys_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(shingles, "SMALL_KEY", 2)
-    monkeypatch.setattr(shingles, "DENSE", 1)
-    rows = corpus(3, 120)
-    found = {r[0]: r[2] for r in shingles.similar_components(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()}
+@pytest.mark.parametrize("exact", [False, True])
+def test_groups_of_variants_lose_no_link(spark, exact):
+    """Production constants: large keys, similarities on both sides of the threshold, short and long texts."""
+    rows = templates(4, 60) + templates(5, 60, 500, 1000)
+    found = {r[0]: r[2] for r in shingles.similar_components(frame(spark, rows), exact).select("doc_id", "n_shingles", "component_id").collect()}
     assert found == {i: c for i, (_, c) in brute.components(rows).items()}
 
 
@@ -60,7 +73,7 @@ def test_sketches_bound_the_difference():
     for n in (5, 40, 300, 3000):
         a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
         b = np.union1d(a[: int(n * 0.9)], rng.integers(0, 1 << 63, max(1, n // 20)).astype(np.uint64))
-        distance = sum(int(x).bit_count() for x in (shingles.parity_bits(a) ^ shingles.parity_bits(b)).view(np.uint64))
+        distance = sum(int(x).bit_count() for x in (pairs.parity_bits(a) ^ pairs.parity_bits(b)).view(np.uint64))
         assert distance <= len(np.setxor1d(a, b))
         assert set(shingles.cell_keys(a, shingles.band(len(a)))) & set(shingles.cell_keys(b, shingles.band(len(a))))
 

@@ -1,13 +1,11 @@
 """Hard negatives, whitening and MinHash near duplicates against plain versions."""
 
-import random
-
 import numpy as np
 import pytest
 
 from curalake.llm import minhash, negatives, whitening
 from llm import brute
-from llm.test_joins import corpus, frame
+from llm.test_joins import corpus, frame, templates
 
 VECTORS = "vec_id bigint, embedding array<float>, label int"
 
@@ -118,41 +116,25 @@ def test_minhash_equals_brute_force(spark, seed):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
 
 
-def templates(seed, n=150):
-    """Many texts near the threshold in one key: a base of 120 words with 2 to 9 of them changed, and some pairs that link."""
-    rng = random.Random(seed)
-    base = [f"w{k}" for k in range(120)]
-    rows = []
-    for i in range(n):
-        words = list(rng.choice(rows)[1].split() if rows and rng.random() < 0.3 else base)
-        for _ in range(rng.randint(2, 9)):
-            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
-        rows.append((i, " ".join(words)))
-    return rows
-
-
-@pytest.mark.parametrize("outsiders", [0, minhash.OUTSIDERS])
-def test_large_mixed_keys_lose_no_link(spark, monkeypatch, outsiders):
-    """With 0 every mixed key goes through all levels; the production value compares them at once."""
-    monkeypatch.setattr(minhash, "OUTSIDERS", outsiders)
-    rows = templates(5)
+@pytest.mark.parametrize("seed", [5, 6])
+def test_large_mixed_keys_lose_no_link(spark, seed):
+    rows = templates(seed)
     out = minhash.near_duplicates(frame(spark, rows)).collect()
     assert {r["doc_id"]: r["component_id"] for r in out} == {i: c for i, (_, c) in brute.components(rows, 4, 80).items()}
 
 
 def test_tensored_tables_find_pairs_at_the_threshold():
-    """Every level's tables miss fewer than 1 in 1,000 pairs at 0.8 (2 * (1 - s ** w) ** m is below 3e-5)."""
+    """2 * (1 - s ** WIDE) ** COUNT is the chance to miss a pair."""
+    assert 2 * (1 - 0.8**minhash.WIDE) ** minhash.COUNT < 2e-5
     rng = np.random.default_rng(3)
-    for level, (wide, count) in enumerate(minhash.LEVELS):
-        assert 2 * (1 - 0.8**wide) ** count < 3e-5
-        missed = 0
-        for _ in range(300):
-            shared = rng.integers(0, 1 << 63, 160).astype(np.uint64)
-            a, b = (np.unique(np.append(shared, rng.integers(0, 1 << 63, 20).astype(np.uint64))) for _ in range(2))
-            keys = minhash.half_keys(np.concatenate([a, b]), np.array([0, len(a)]), level)
-            same = keys[0] == keys[1]
-            missed += not (same[:count].any() and same[count:].any())
-        assert missed == 0
+    missed = 0
+    for _ in range(1000):
+        shared = rng.integers(0, 1 << 63, 160).astype(np.uint64)
+        a, b = (np.unique(np.append(shared, rng.integers(0, 1 << 63, 20).astype(np.uint64))) for _ in range(2))
+        keys = minhash.half_keys(np.concatenate([a, b]), np.array([0, len(a)]))
+        same = keys[0] == keys[1]
+        missed += not (same[: minhash.COUNT].any() and same[minhash.COUNT :].any())
+    assert missed == 0
 
 
 def test_minhash_of_repeated_rows_and_odd_tables(spark):
