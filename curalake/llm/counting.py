@@ -56,9 +56,9 @@ def build_trees(coder: PreTokenEncoder, texts: Sequence[str | None]) -> list[tup
     """``build_tree`` of many texts; those that can be split together are."""
     together = [i for i, t in enumerate(texts) if t and coder.plain(t) and not ("'" in t and _SHORT.search(t))]
     out = dict.fromkeys(range(len(texts)))
-    if together:
-        _, lengths, _, size, bounds = coder.encode_plain([texts[i] for i in together])
-        for k, i in enumerate(together):
+    for chunk in coder.chunks(texts, together):
+        _, lengths, _, size, bounds = coder.encode_plain([texts[i] for i in chunk])
+        for k, i in enumerate(chunk):
             a, b = int(bounds[k]), int(bounds[k + 1])
             starts = np.arange(0, b - a, LEAF)
             out[i] = np.add.reduceat(lengths[a:b], starts).tolist(), tree_sums(np.add.reduceat(size[a:b], starts))

@@ -7,16 +7,22 @@ agree with the tokenizer's go to the tokenizer itself.
 from __future__ import annotations
 
 import base64
+import functools
+import json
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
+from curalake.llm.shingles import powers
+
 VOCABULARY = "byte_bpe_50k.json"
 #: Slots of the table of known pre-tokens per Python worker (a power of two), and ids kept before it starts anew.
-SLOTS = 1 << 21
-KEPT_IDS = 12_000_000
+SLOTS = 1 << 18
+KEPT_IDS = 1_000_000
+#: Characters that are split and looked up at once; a longer text is handled alone.
+CHUNK = 250_000
 
 _LETTERS = "A-Za-zªºÀ-ÖØ-öø-ɏ"
 #: Characters for which the classes below agree with the tokenizer's: Latin letters, ASCII digits, common signs, white space.
@@ -32,7 +38,6 @@ for _c in range(len(_CLASS)):
     _CLASS[_c] = _LETTER if chr(_c).isalpha() else _DIGIT if chr(_c).isdecimal() else _WHITE if chr(_c).isspace() else _OTHER
 _rng = np.random.default_rng(20)
 _CODE = _rng.integers(1, 1 << 63, size=0x2100, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -41,25 +46,32 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return str(public_tokenizers.path(name))
 
 
-def _powers(n: int, have: list[np.ndarray] = [np.ones(1, dtype=np.uint64)]) -> np.ndarray:  # noqa: B006  grows once per worker
-    while len(have[0]) < n:
-        have[0] = np.concatenate([have[0], have[0] * (have[0][-1:] * _BASE)])
-    return have[0]
-
-
 class PreTokenEncoder:
     """Encodes texts as the tokenizer at ``path`` does, without special tokens being added."""
 
     def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         self.ranks = self._rank_file(os.path.splitext(path)[0] + ".tiktoken")
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = self._special_tokens(path)
         self.small: dict[str, int] = {}
         self._reset()
 
+    @functools.cached_property
+    def tokenizer(self):  # noqa: ANN201
+        """Loaded when a text needs it: beside the rank file it would be a second vocabulary in every worker."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    @staticmethod
+    def _special_tokens(path: str) -> list[str]:
+        """The added tokens, from their part of the file; the vocabulary is not parsed."""
+        with open(path, encoding="utf-8") as file:
+            text = file.read()
+        at = text.find("[", text.find('"added_tokens"'))
+        return [t["content"] for t in json.JSONDecoder().raw_decode(text[at:])[0]]
+
     @staticmethod
     def _rank_file(path: str):  # noqa: ANN205
         if not os.path.exists(path):
@@ -130,7 +142,7 @@ class PreTokenEncoder:
         starts = self._split_all(points, begins, ends)
         lengths = np.diff(starts, append=len(points))
         place = np.arange(len(points)) - np.repeat(starts, lengths)
-        hashes = np.add.reduceat(_CODE[points] * _powers(int(lengths.max()))[place], starts) + lengths.astype(np.uint64)
+        hashes = np.add.reduceat(_CODE[points] * powers(int(lengths.max()))[place], starts) + lengths.astype(np.uint64)
         hashes |= np.uint64(1)
         slot = (hashes >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
         other = (hashes >> np.uint64(11)).astype(np.int64) & (SLOTS - 1)
@@ -164,6 +176,19 @@ class PreTokenEncoder:
             first[miss], size[miss] = offsets[back], n[back]
         return starts, lengths, first, size, np.append(np.searchsorted(starts, begins), len(starts))
 
+    @staticmethod
+    def chunks(texts: Sequence[str | None], chosen: list[int]) -> Iterator[list[int]]:
+        chunk: list[int] = []
+        held = 0
+        for i in chosen:
+            if chunk and held + len(texts[i]) > CHUNK:
+                yield chunk
+                chunk, held = [], 0
+            chunk.append(i)
+            held += len(texts[i])
+        if chunk:
+            yield chunk
+
     def ids_of(self, texts: Sequence[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of whole texts; null counts as empty."""
         out = [b""] * len(texts)
@@ -174,7 +199,7 @@ class PreTokenEncoder:
                     plain.append(i)
                 else:
                     out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if plain:
+        for plain in self.chunks(texts, plain):
             _, _, first, size, bounds = self.encode_plain([texts[i] for i in plain])
             upto = np.cumsum(size, dtype=np.int64)
             place = np.arange(upto[-1]) + np.repeat(first - (upto - size), size)
