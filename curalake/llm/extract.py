@@ -58,8 +58,10 @@ FEATURES = (
     "siblings", "same", "sibling_share", "sibling_links", "fields", "nav_above", "article_above",
 )
 
+#: A quote opens a value only behind an equals sign, and one that is never closed ends with the page. ``<!-->`` is a whole comment.
 _MARKUP = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"""
+    r"""|<([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*"[^"]*(?:"|\Z)|=\s*'[^']*(?:'|\Z)|=\s*[^\s>"'][^\s>]*+|=)*+)(?:>|\Z)""",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
@@ -144,7 +146,7 @@ class Page:
             elif started:
                 started = started.lower()
                 if started == "br" or started == "img":
-                    say(" ")
+                    say(" " if started == "br" else "")
                     continue
                 if started in BLOCK:
                     flush()

@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curalake.llm.common import attach, null_key
+from curalake.llm.common import attach, free_name, null_key
 from curalake.session import config_table
 
 SEED = 20_240
@@ -61,15 +61,14 @@ def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, seed: int =
     Adds ``copy`` (from 1) and ``key``, an md5 of (seed, doc_id, copy): rows are dealt to partitions by its hash and
     sorted by it inside. Null sources form one source, null texts have size one, a null doc_id is hashed as its own
     value; repeated rows of one doc_id get the same count and are each repeated. A source that the targets leave
-    out has weight zero. ``copy`` and ``key`` must not be columns of ``docs``.
+    out has weight zero. Where ``docs`` has a column ``copy`` or ``key`` already, underscores go before the new one's name.
     """
-    if {copy, key} & set(docs.columns):
-        raise ValueError(f"choose other names than {copy}, {key}")
-    rates = source_rates(docs, targets, power, epochs).select(F.col("source_key").alias("_source_key"), F.col("cdf").alias("_cdf"))
+    copy, key, own, cdf, count = (free_name(docs, n) for n in (copy, key, "_source_key", "_cdf", "_copies"))
+    rates = source_rates(docs.select("source", "text"), targets, power, epochs).select(F.col("source_key").alias(own), F.col("cdf").alias(cdf))
     identity = null_key(F.col("doc_id"))
-    placed = attach(docs.withColumn("_source_key", null_key(F.col("source"))), rates, ["_source_key"], F.col("doc_id"))
+    placed = attach(docs.withColumn(own, null_key(F.col("source"))), rates, [own], F.col("doc_id"))
     u = uniform(identity, seed)
-    counted = placed.withColumn("_copies", F.size(F.filter("_cdf", lambda c: c <= u)))
-    copies = counted.filter("_copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies").cast("bigint"))))
+    counted = placed.withColumn(count, F.size(F.filter(cdf, lambda c: c <= u)))
+    copies = counted.filter(F.col(count) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(count).cast("bigint"))))
     keyed = copies.select(*docs.columns, copy, F.md5(F.concat(F.lit(f"{seed}:"), identity, F.lit(":"), F.col(copy).cast("string"))).alias(key))
     return keyed.repartition(key).sortWithinPartitions(key)

@@ -127,8 +127,12 @@ def test_mixing_of_odd_tables(spark):
     assert {r["source"] for r in out.collect()} <= {"s"}
     assert mixing.mix(docs, epochs=200.0).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     assert mixing.mix(frame(spark, [])).count() == 0
-    with pytest.raises(ValueError, match="other names"):
-        mixing.mix(docs.withColumn("copy_no", F.lit(1)))
+    plain = sorted((r["doc_id"] or -1, r["copy_no"]) for r in mixing.mix(docs, epochs=3.0).collect())
+    wide = docs.selectExpr("*", "'x' AS COPY_NO", "'y' AS shuffle_key", "1 AS _cdf", "2 AS _copies", "3 AS _source_key", "4 AS rate", "5 AS one")
+    out = mixing.mix(wide, epochs=3.0)
+    assert out.columns == [*wide.columns, "_copy_no", "_shuffle_key"]
+    assert sorted((r["doc_id"] or -1, r["_copy_no"]) for r in out.collect()) == plain
+    assert out.select("COPY_NO", "shuffle_key", "_cdf", "_copies", "_source_key", "rate", "one").distinct().collect() == [("x", "y", 1, 2, 3, 4, 5)]
 
 
 def test_ids_equal_the_tokenizer(texts):
@@ -312,6 +316,18 @@ def test_main_text_outside_a_body():
     assert extract.Page("<html><head></head>\n<body><p>x</p></body>\n</html>\n").tag == ["#root", "html", "head", "body", "p"]
 
 
+def test_main_text_of_bad_markup():
+    """Quotes in unquoted values, quotes that are never closed (the tag ends with the page), short comments, images in words."""
+    trees = extract.Trees(None, [])
+    expected = {
+        "<p data-x=it's>Hello there</p><p>I don't know</p><p>end</p>": "Hello there\nI don't know\nend", '<p class="x>Hello</p><p>World</p>': "",
+        '<p>first</p><p class="x>Hello</p>': "first", "<p>a</p><!--><p>b</p>": "a\nb", "<p>a</p><!---><p>b</p><!-- > --><p>c</p>": "a\nb\nc",
+        "<p>wo<img src=x>rd one<br>two</p>": "word one two", "<p title = 'a > b' hidden>x</p><p a=b\"c>y</p>": "x\ny", "<p a==\">z</p>": "z", "<p a=>q</p>": "q",
+    }
+    assert {page: extract.main_text(page, trees) for page in expected} == expected
+    assert extract.main_text("<p>" + "<b a='" * 20_000, trees) == "" and extract.main_text("<p " + "a= " * 100_000 + ">x</p>", trees) == "x"
+
+
 def test_main_text_of_plain_words(spark):
     pages = spark.createDataFrame([(1, None, "plain words")], "page_id bigint, url string, html string")
     assert [r["text"] for r in extract.main_texts(pages).collect()] == ["plain words"]
