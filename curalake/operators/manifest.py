@@ -69,6 +69,13 @@ def manifest_violations(manifest: DataFrame) -> DataFrame:
     return row_violations(rows, F.col("image_id"), rules).unionByName(repeated)
 
 
+def traceability_rules() -> dict[str, Column]:
+    rules = {f"blank_{c}": is_blank(F.col(c)) for c in S.TRACEABILITY_COLUMNS}
+    rules["checksum_format"] = ~is_hex(F.col("checksum"), 64)
+    rules["perceptual_hash_format"] = ~is_hex(F.col("perceptual_hash"), 16)
+    return rules
+
+
 def traceability_violations(manifest: DataFrame) -> DataFrame:
     """``(rule, violation_count)`` of the traceable-manifest rules."""
     missing = missing_columns(manifest, S.TRACEABILITY_COLUMNS)
@@ -76,10 +83,7 @@ def traceability_violations(manifest: DataFrame) -> DataFrame:
         return config_table(
             manifest.sparkSession, [(f"missing_column_{c}", 1) for c in missing], "rule string, violation_count bigint"
         )
-    rules = {f"blank_{c}": is_blank(F.col(c)) for c in S.TRACEABILITY_COLUMNS}
-    rules["checksum_format"] = ~is_hex(F.col("checksum"), 64)
-    rules["perceptual_hash_format"] = ~is_hex(F.col("perceptual_hash"), 16)
-    found = row_violations(manifest, F.col("image_id"), rules)
+    found = row_violations(manifest, F.col("image_id"), traceability_rules())
     return found.groupBy("rule").agg(F.count(F.lit(1)).alias("violation_count"))
 
 
@@ -187,10 +191,12 @@ def strict_split_counts(df: DataFrame, class_names: Sequence[str]) -> DataFrame:
     )
 
 
-def class_split_crosstab(df: DataFrame, split: str = "dataset_split") -> DataFrame:
-    return (
-        df.groupBy("class_name").pivot(split, S.SPLITS).agg(F.count(F.lit(1))).na.fill(0, S.SPLITS)
-    )
+def class_split_crosstab(df: DataFrame, class_names: Sequence[str] | None = None, split: str = "dataset_split") -> DataFrame:
+    """Rows per class and split with zeros; with ``class_names`` every configured class has a row."""
+    counts = df.groupBy("class_name").pivot(split, S.SPLITS).agg(F.count(F.lit(1)))
+    if class_names is not None:
+        counts = class_table(df.sparkSession, class_names).select("class_name").join(counts, "class_name", "full")
+    return counts.na.fill(0, S.SPLITS)
 
 
 def source_label_counts(df: DataFrame, label: str = "source_object_label") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from curalake import schemas as S
 from curalake.operators.quantiles import exact_median
+from curalake.operators.violations import gate
 from curalake.operators.violations import row_violations
 from curalake.session import class_table, config_table
 
@@ -109,7 +110,7 @@ def confidence_summary(df: DataFrame) -> DataFrame:
     basic = tagged.groupBy("group_name").agg(
         F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean"), F.min("confidence").alias("min"), F.max("confidence").alias("max")
     )
-    medians = exact_median(tagged, ["group_name"], "confidence", F.floor(F.col("confidence") * 65536))
+    medians = exact_median(tagged, ["group_name"], "confidence", few=True)
     groups = config_table(df.sparkSession, [(g,) for g in GROUPS], "group_name string")
     return groups.join(basic, "group_name", "left").join(medians, "group_name", "left").select(
         "group_name", F.coalesce("n", F.lit(0)).alias("n"), "mean", "min", "median", "max"
@@ -149,15 +150,18 @@ def version_comparison(before: DataFrame, after: DataFrame, key: str = "filename
     )
 
 
-def class_weights(df: DataFrame, class_names: Sequence[str]) -> DataFrame:
-    """``N / (K * n_c)`` per class; a class without rows has a null weight."""
+def class_weights(df: DataFrame, class_names: Sequence[str], strict: bool = False) -> DataFrame:
+    """``N / (K * n_c)`` per class; a class without rows has a null weight, or is an error with ``strict``."""
     counts = df.groupBy("class_name").agg(F.count(F.lit(1)).alias("n"))
     joined = class_table(df.sparkSession, class_names).join(counts, "class_name", "left")
     total = F.sum("n").over(W.partitionBy())  # K rows
-    return joined.select(
+    weights = joined.select(
         "idx", "class_name", F.coalesce("n", F.lit(0)).alias("record_count"),
         (total / (F.lit(len(class_names)) * F.col("n"))).alias("weight"),
     )
+    if strict:
+        gate(weights.filter("record_count = 0").select("class_name"), "classes without rows have no weight")
+    return weights
 
 
 def size_profile(df: DataFrame, side: str = "short_side", small: int = S.PREFERRED_SHORT_SIDE) -> DataFrame:
@@ -166,5 +170,5 @@ def size_profile(df: DataFrame, side: str = "short_side", small: int = S.PREFERR
         F.count(F.lit(1)).alias("record_count"), F.min(side).alias("short_side_min"), F.max(side).alias("short_side_max"),
         F.count_if(F.col(side) < small).alias("below_128_count"),
     )
-    medians = exact_median(df, ["class_name"], side, F.floor(F.log2(F.greatest(F.col(side), F.lit(0)) + 1.0) * 64))
+    medians = exact_median(df, ["class_name"], side)
     return basic.join(medians.withColumnRenamed("median", "short_side_median"), "class_name")

@@ -15,7 +15,7 @@ from curalake.operators import audit as au
 from curalake.operators import feedback as fb
 from curalake.operators import graph as gr
 from curalake.operators import hamming, identity, manifest, metrics, review, sampling, scoring, serving, thresholds
-from curalake.operators.violations import gate
+from curalake.operators.violations import gate, ledger, observed
 from curalake.sources import tables
 
 
@@ -100,6 +100,35 @@ def validate_splits(
         gate(frozen_fingerprint(split).filter(F.col("fingerprint") != frozen), "frozen test set")
 
 
+def split_ledger(split: DataFrame, class_names: Sequence[str], path: str, distance: int = 6) -> DataFrame:
+    """Write a split table and account for every check instead of stopping at the first: ``position, check_name, violation_count``.
+
+    The row rules are counted by the pass that writes; the checks across rows read what was written, so the input is scanned once.
+    """
+    manifest.missing_columns_error(split, S.TRACEABILITY_COLUMNS)
+    rules = manifest.traceability_rules()
+    if "found_in" in split.columns:
+        rules["wrong_split"] = ~F.col("found_in").eqNullSafe(F.col("dataset_split"))
+    rows, counts = observed(split, rules)
+    tables.write_splits(rows, path)
+    written = split.sparkSession.read.parquet(path)
+    return ledger(split.sparkSession, {rule: counts.get[rule] for rule in rules}, {
+        "cross_split_duplicates": identity.cross_split_duplicates(written, S.SPLITS),
+        "near_duplicates": hamming.near_dup_cross_split(written, S.SPLITS, distance, pivot="train"),
+        **{f"classes_of_{name}": manifest.class_set_difference(written.filter(F.col("dataset_split") == name), class_names) for name in S.SPLITS},
+        "strict_split_counts": manifest.strict_split_counts(written, class_names).filter("NOT ok"),
+    })
+
+
+def heldout_ledger(heldout: DataFrame, development: DataFrame, per_class: int = 10, distance: int = 6) -> DataFrame:
+    """The held-out rules, leakage and near-duplicates as a ledger; all required columns must be there."""
+    manifest.missing_columns_error(heldout, S.HELDOUT_COLUMNS)
+    return ledger(heldout.sparkSession, {}, {
+        "heldout_manifest": manifest.heldout_manifest_violations(heldout, per_class), "heldout_leakage": identity.heldout_leakage(heldout, development),
+        "near_duplicates": hamming.near_dup_between(heldout, development, distance=distance),
+    })
+
+
 @dataclass(frozen=True)
 class Audit:
     summary: DataFrame

@@ -57,6 +57,10 @@ VIEWS = {
         SELECT a.hash AS hash_a, b.hash AS hash_b, (bit_count(xor(a.high, b.high)) + bit_count(xor(a.low, b.low)))::BIGINT AS distance, a.n AS n_a, b.n AS n_b
         FROM nodes a JOIN nodes b ON a.hash <= b.hash AND bit_count(xor(a.high, b.high)) + bit_count(xor(a.low, b.low)) <= 6
         WHERE a.hash < b.hash OR a.n > 1""",
+    "cluster_links": "SELECT hash_a AS x, hash_b AS y FROM near UNION SELECT hash_b, hash_a FROM near",
+    "cluster_reach": "SELECT x, y FROM cluster_links UNION SELECT r.x, l.y FROM cluster_reach r JOIN cluster_links l ON l.x = r.y",
+    "cluster_members": """
+        SELECT image_id, perceptual_hash, cluster_hash FROM hashed_split JOIN (SELECT x AS perceptual_hash, least(x, min(y)) AS cluster_hash FROM cluster_reach GROUP BY x) USING (perceptual_hash)""",
     "near_pairs": """
         SELECT n.hash_a, n.hash_b, n.distance, n.n_a, n.n_b, count(*) AS pair_count,
             sum((a.dataset_split <> b.dataset_split)::BIGINT)::BIGINT AS cross_split_pairs, sum((a.class_name <> b.class_name)::BIGINT)::BIGINT AS cross_class_pairs
@@ -323,6 +327,17 @@ BODIES = {
         SELECT perceptual_hash, image_id, sum(m)::BIGINT AS partner_count, min(distance) AS nearest_distance FROM hashed_split JOIN (
             SELECT hash_a AS perceptual_hash, distance, CASE WHEN hash_a = hash_b THEN n_b - 1 ELSE n_b END AS m FROM near
             UNION ALL SELECT hash_b, distance, n_a FROM near WHERE hash_a <> hash_b) USING (perceptual_hash) GROUP BY ALL""",
+    "near_dup_clusters": "SELECT image_id, perceptual_hash, cluster_hash, count(*) OVER (PARTITION BY cluster_hash) AS cluster_size FROM cluster_members",
+    "near_dup_all_refined": "SELECT hash_a, hash_b, distance, n_a, n_b, pair_count, cross_split_pairs, cross_class_pairs FROM near_pairs",
+    "csv_rejects": """
+        WITH e AS (SELECT event_id::VARCHAR AS id, event_id || ',' || user_id AS head, event_type AS t, event_id % 101 = 0 AS short, event_id % 107 = 0 AS unclosed, event_id % 103 = 0 AS long FROM events),
+        l AS (SELECT *, head || CASE WHEN short THEN '' WHEN unclosed THEN ',' || t || ',"never closed' ELSE ',' || t || ',"said ""' || t || '"", twice"' END || CASE WHEN long THEN ',extra,' ELSE '' END AS line,
+            CASE WHEN unclosed AND NOT short THEN 'unclosed_quote' WHEN short AND NOT long THEN 'short_row' WHEN long AND NOT short THEN 'long_row' END AS reason FROM e)
+        SELECT CASE WHEN reason IS NULL THEN id END AS event_id, CASE WHEN reason IS NULL THEN CASE WHEN short THEN NULL ELSE 'said "' || t || '", twice' END END AS comment,
+            CASE WHEN reason IS NOT NULL THEN line END AS record, reason FROM l""",
+    "incremental_digests": """
+        SELECT lang, source, doc_id // 1000 AS chunk, octet_length(encode(string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10)))::BIGINT AS length,
+            sha256(string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10)) AS actual_checksum, doc_id // 1000 % 2 = 1 AS fresh FROM documents GROUP BY ALL""",
     "near_dup_two_tables": """
         WITH g AS (SELECT perceptual_hash AS hash, any_value(high) AS high, any_value(low) AS low, count(*) AS n, min(image_id) AS first_id FROM heldout GROUP BY 1),
         e AS (SELECT perceptual_hash AS hash, any_value(high) AS high, any_value(low) AS low, count(*) AS n, min(image_id) AS first_id FROM development GROUP BY 1)
@@ -357,7 +372,7 @@ BODIES = {
         WITH n AS (SELECT 'P' || (l_partkey * 2) AS inventory_id, l_extendedprice AS mock_price, l_quantity::INT AS stock, l_orderkey AS seq FROM lineitem),
         r AS (SELECT *, row_number() OVER (PARTITION BY inventory_id ORDER BY seq DESC, mock_price DESC, stock DESC) AS r FROM n)
         SELECT inventory_id, mock_price, stock FROM r WHERE r = 1
-        UNION ALL SELECT 'P' || p_partkey, p_retailprice, p_size FROM part WHERE p_partkey % 4 <> 0 AND 'P' || p_partkey NOT IN (SELECT inventory_id FROM n)""",
+        UNION ALL SELECT 'P' || p_partkey, p_retailprice, p_size FROM part WHERE 'P' || p_partkey NOT IN (SELECT inventory_id FROM n)""",
     "graph_seed_summary": """
         SELECT 'ObjectType' AS label, 1::BIGINT AS submitted UNION ALL SELECT 'Defect', count(*) FROM defects UNION ALL SELECT 'RepairStep', count(*) FROM steps
         UNION ALL SELECT 'Part', count(*) FROM pairs UNION ALL SELECT 'InventoryRecord', count(*) FROM pairs""",
@@ -439,13 +454,12 @@ BODIES = {
     "split_compatibility": """
         SELECT class_name, count(*) AS record_count, count(*) >= 10 AS large_enough, count(*) % 10 = 0 AS divisible, count(*) >= 10 AND count(*) % 10 = 0 AS compatible FROM manifest GROUP BY 1""",
     "strict_split_counts": """
-        WITH s AS (SELECT * FROM split WHERE NOT (class_name = 'rust' AND dataset_split = 'test'))
         SELECT class_name, d AS dataset_split, n AS record_count, floor(t * share)::BIGINT AS expected_count, n = floor(t * share) AND n > 0 AS ok FROM (
-            SELECT c.class_name, d, share, (SELECT count(*) FROM s WHERE s.class_name = c.class_name AND dataset_split = d) AS n, (SELECT count(*) FROM s WHERE s.class_name = c.class_name) AS t
-            FROM classes c, (VALUES ('train', 0.8), ('validation', 0.1), ('test', 0.1)) v(d, share))""",
+            SELECT c.class_name, d, share, (SELECT count(*) FROM split s WHERE s.class_name = c.class_name AND dataset_split = d) AS n, (SELECT count(*) FROM split s WHERE s.class_name = c.class_name) AS t
+            FROM classes5 c, (VALUES ('train', 0.8), ('validation', 0.1), ('test', 0.1)) v(d, share))""",
     "class_split_crosstab": """
         SELECT class_name, count(*) FILTER (dataset_split = 'train') AS train, count(*) FILTER (dataset_split = 'validation') AS validation,
-            count(*) FILTER (dataset_split = 'test' AND class_name <> 'rust') AS test FROM split GROUP BY 1""",
+            count(*) FILTER (dataset_split = 'test') AS test FROM classes5 LEFT JOIN split USING (class_name) GROUP BY 1""",
     "source_label_counts": "SELECT class_name, source_object_label, count(*) AS record_count FROM manifest GROUP BY ALL",
     "normal_certification": """
         SELECT count(*) FILTER (doc_id % 6 < 2) AS certified, count(*) FILTER (doc_id % 6 >= 2) AS uncertified FROM manifest WHERE class_name = 'normal'""",
@@ -456,7 +470,10 @@ BODIES = {
         SELECT 6::BIGINT AS near_duplicate_threshold, (SELECT count(*) FROM split) AS record_count, (SELECT count(*) FROM split WHERE doc_id % 19 = 0) AS non_default_orientation,
             (SELECT count(*) FROM split WHERE class_name = 'normal' AND doc_id % 6 < 2) AS certified, (SELECT count(*) FROM split WHERE class_name = 'normal' AND doc_id % 6 >= 2) AS uncertified,
             (SELECT sum(pair_count)::BIGINT FROM near_pairs) AS near_duplicate_pairs, (SELECT sum(cross_split_pairs)::BIGINT FROM near_pairs) AS cross_split_pairs,
-            (SELECT sum(cross_class_pairs)::BIGINT FROM near_pairs) AS cross_class_pairs""",
+            (SELECT sum(cross_class_pairs)::BIGINT FROM near_pairs) AS cross_class_pairs, near_duplicate_clusters, clustered_records, largest_cluster, cross_split_clusters, cross_class_clusters
+        FROM (SELECT count(*) AS near_duplicate_clusters, sum(n)::BIGINT AS clustered_records, max(n) AS largest_cluster, count(*) FILTER (s > 1) AS cross_split_clusters,
+            count(*) FILTER (c > 1) AS cross_class_clusters
+            FROM (SELECT cluster_hash, count(*) AS n, count(DISTINCT dataset_split) AS s, count(DISTINCT class_name) AS c FROM cluster_members JOIN hashed_split USING (image_id) GROUP BY 1))""",
     "confusion_matrix": "SELECT true_idx, pred_idx, true_class, predicted_class, n FROM cells5",
     "per_class_metrics": "SELECT idx, class_name, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1_score, 6) AS f1_score, support FROM metrics",
     "overall_accuracy": "SELECT count(*) AS sample_count, round(avg((true_idx = pred_idx)::INT), 6) AS accuracy FROM pred",
@@ -507,6 +524,36 @@ BODIES = {
 }
 BODIES["stream_fingerprint"] = BODIES["feedback_fingerprint"]
 BODIES["stream_graph_upsert"] = BODIES["graph_upsert"]
+BODIES["graph_store"] = BODIES["graph_nodes"]
+
+
+def _counts(**checks: str) -> str:
+    """A ledger: the rows of each query, where there are any."""
+    return "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS check_name, count(*) AS violation_count FROM ({BODIES.get(sql, sql)}) AS q" for name, sql in checks.items()) + ") AS l WHERE violation_count > 0"
+
+
+BODIES["job_validate_splits"] = _counts(
+    blank_licence="SELECT 1 FROM split WHERE trim(licence) = ''", wrong_split="SELECT 1 FROM split WHERE doc_id % 51 = 0 AND dataset_split <> 'train'",
+    checksum_format="SELECT 1 FROM split WHERE doc_id % 107 = 0", cross_split_duplicates="cross_split_duplicates", near_duplicates="near_dup_cross_split",
+    strict_split_counts=f"SELECT 1 FROM ({BODIES['strict_split_counts'].replace('classes5', 'classes')}) AS s WHERE NOT ok",
+)
+BODIES["job_heldout_check"] = _counts(heldout_manifest="demo_manifest_violations", heldout_leakage="heldout_leakage", near_duplicates="near_dup_two_tables")
+BODIES["job_audit"] = """
+    SELECT 'summary' AS section, NULL::VARCHAR AS class_name, name, value::BIGINT AS value FROM (UNPIVOT (SELECT * EXCLUDE (near_duplicate_pairs, cross_split_pairs, cross_class_pairs)
+        FROM (""" + BODIES["audit_summary"].strip() + """) AS a) ON COLUMNS(*) INTO NAME name VALUE value) AS u
+    UNION ALL SELECT 'crosstab', class_name, name, value::BIGINT FROM (UNPIVOT (""" + BODIES["class_split_crosstab"].strip().replace("classes5", "classes") + """) ON train, validation, test INTO NAME name VALUE value) AS c
+    UNION ALL SELECT 'source_labels', class_name, source_object_label, count(*) FROM split GROUP BY ALL
+    UNION ALL SELECT 'sizes', class_name, 'below_128_count', count(*) FILTER (short_side < 128) FROM split GROUP BY class_name
+    UNION ALL SELECT 'sizes', class_name, 'double_median', (2 * median(short_side))::BIGINT FROM split GROUP BY class_name"""
+BODIES["job_evaluate"] = """
+    WITH b AS (""" + BODIES["batch_score"].strip() + """), r AS (SELECT label % 4 AS t, pred_idx AS p, confidence FROM b JOIN embeddings USING (vec_id))
+    SELECT 'confusion' AS section, t.class_name || '>' || p.class_name AS name, (SELECT count(*) FROM r WHERE r.t = t.idx AND r.p = p.idx) AS value FROM classes t, classes p
+    UNION ALL SELECT 'predictions', 'rows', count(*) FROM r UNION ALL SELECT 'predictions', 'misclassified', count(*) FROM r WHERE t <> p
+    UNION ALL SELECT 'predictions', 'manual_review', count(*) FROM r WHERE confidence < 0.65"""
+BODIES["job_feedback_report"] = """
+    SELECT 'rows' AS section, CASE WHEN len(errors) = 0 THEN 'accepted' ELSE 'rejected' END AS name, count(*) AS value FROM checked GROUP BY ALL
+    UNION ALL SELECT 'errors', e, count(*) FROM (SELECT unnest(errors) AS e FROM checked) AS u GROUP BY e
+    UNION ALL SELECT 'corrections', strftime("timestamp", '%Y-%m-%d'), count(*) FILTER (NOT is_correct) FROM checked WHERE len(errors) = 0 GROUP BY ALL"""
 
 
 def _provenance() -> str:
@@ -527,21 +574,22 @@ def _provenance() -> str:
 BODIES["run_provenance"] = _provenance()
 
 
-def _needed(sql: str, found: list[str]) -> list[str]:
+def _needed(sql: str, found: list[str], inside: str = "") -> list[str]:
     for name, view in VIEWS.items():
-        if name not in found and re.search(rf"\b(FROM|JOIN|,)\s+\(?{name}\b", sql):
-            _needed(view, found)
+        if name not in found and name != inside and re.search(rf"\b(FROM|JOIN|,)\s+\(?{name}\b", sql):
+            _needed(view, found, name)
             found.append(name)
     return found
 
 
 def _with_views(body: str) -> str:
     # row ids are given once, however often the view is read
-    views = [f"{name} AS {'MATERIALIZED ' if 'row_number() OVER ()' in VIEWS[name] else ''}({VIEWS[name].strip()})" for name in _needed(body, [])]
+    recursive = "RECURSIVE " if "cluster_reach" in (found := _needed(body, [])) else ""
+    views = [f"{name} AS {'MATERIALIZED ' if 'row_number() OVER ()' in VIEWS[name] else ''}({VIEWS[name].strip()})" for name in found]
     body = body.strip()
     if body.startswith("WITH "):
-        return "WITH " + ",\n".join([*views, body[5:]]) if views else body
-    return ("WITH " + ",\n".join(views) + "\n" if views else "") + body
+        return f"WITH {recursive}" + ",\n".join([*views, body[5:]]) if views else body
+    return (f"WITH {recursive}" + ",\n".join(views) + "\n" if views else "") + body
 
 
 ORACLE = {name: _with_views(body) for name, body in BODIES.items()}

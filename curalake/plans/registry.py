@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +12,15 @@ from pyspark.sql import functions as F
 from curalake import schemas as S
 from curalake.functions import geometry, hashing, text
 from curalake.operators import (
-    annotations, audit, feedback, graph, hamming, history, identity, images, manifest, metrics, review, sampling, scoring,
+    annotations, audit, clusters, feedback, graph, hamming, history, identity, images, manifest, metrics, review, sampling, scoring,
     serving, thresholds,
 )
 from curalake.operators.violations import count_by_rule
+from curalake.plans import jobs
 from curalake.plans import views as V
-from curalake.session import scratch_path, spread
+from curalake.session import materialize, scratch_path, spread
 from curalake.sources import tables
-from curalake.streaming import flows
+from curalake.streaming import flows, keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,6 +52,28 @@ def manifest_violations(spark, d):
     return manifest.manifest_violations(V.source_manifest(spark, d))
 
 
+@query
+def csv_rejects(spark, d):
+    """A written log with short, long and unclosed rows: whole rows and rejects, each with its reason."""
+    path, rejects = scratch_path(spark, "log"), scratch_path(spark, "rejects")
+    V.table(spark, d, "events").selectExpr(V.LOG_LINE).write.text(path)
+    checked = tables.scan_csv_checked(spark, path, ["event_id", "user_id", "event_type", "comment"])
+    tables.write_rejects(checked, rejects)
+    damaged = spark.read.parquet(rejects).select(F.lit(None).cast("string").alias("event_id"), F.lit(None).cast("string").alias("comment"), "record", "reason")
+    return damaged.unionByName(checked.filter("reason IS NULL").select("event_id", "comment", F.lit(None).cast("string").alias("record"), "reason"))
+
+
+@query
+def incremental_digests(spark, d):
+    """Digests of files of a thousand documents; the second scan reads only the odd ones, which came after the first."""
+    path, cache = scratch_path(spark, "files"), scratch_path(spark, "digests")
+    for odd in (0, 1):
+        V.document_files(spark, d).filter(F.col("chunk") % 2 == odd).write.mode("append").partitionBy("lang", "source", "chunk").text(path)
+        digests = tables.refresh_digests(spark, path, cache, "*.txt")
+    part = lambda name: F.regexp_extract("path", f"/{name}=([^/]*)/", 1)
+    return digests.select(part("lang").alias("lang"), part("source").alias("source"), part("chunk").cast("bigint").alias("chunk"), "length", "actual_checksum", "fresh")
+
+
 @query
 def union_splits(spark, d):
     rows = V.split(spark, d)
@@ -279,6 +303,18 @@ def near_dup_members(spark, d):
     return hamming.near_dup_members(rows, hamming.near_dup_edges(rows, 6))
 
 
+@query
+def near_dup_clusters(spark, d):
+    rows = V.hashed_split(spark, d)
+    return clusters.near_dup_clusters(rows, hamming.near_dup_edges(rows, 6))
+
+
+@query
+def near_dup_all_refined(spark, d):
+    """``near_dup_all`` with buckets of 64 rows at most: hot buckets are banded again and cut into blocks."""
+    return hamming.near_dup_edges(V.hashed_split(spark, d), 6, hot=64)
+
+
 @query
 def near_dup_two_tables(spark, d):
     found = hamming.near_dup_between(V.heldout(spark, d), V.development(spark, d), distance=6)
@@ -287,19 +323,19 @@ def near_dup_two_tables(spark, d):
 
 @query
 def heldout_leakage(spark, d):
-    return identity.heldout_leakage(V.heldout(spark, d), V.development(spark, d))
+    return identity.heldout_leakage(*V.parted(spark, d))
 
 
 @query
 def heldout_intersect(spark, d):
-    return identity.shared_values(V.heldout(spark, d), V.development(spark, d), "checksum")
+    return identity.shared_values(*V.parted(spark, d), "checksum")
 
 
 @query
 def exclude_used_groups(spark, d):
     rows = V.records(spark, d)
     tests = V.split(spark, d).filter("dataset_split = 'test'")
-    return identity.exclude_groups(rows, [V.heldout(spark, d), tests]).select("image_id", "source_group")
+    return identity.exclude_groups(rows, [V.parted(spark, d)[0], tests]).select("image_id", "source_group")
 
 
 @query
@@ -324,25 +360,46 @@ def hash_violations(spark, d):
 # ---- graph, feedback, serving -------------------------------------------------------
 
 
+def _catalog(spark, d):
+    """The catalog with its parts computed once, for queries that derive several tables from it."""
+    catalog = V.supplier_catalog(spark, d)
+    return graph.Catalog(catalog.defects, catalog.steps, materialize(catalog.parts))
+
+
 @query
 def graph_nodes(spark, d):
-    return graph.graph_nodes(graph.graph_from_catalog(V.supplier_catalog(spark, d)))
+    return graph.graph_nodes(graph.graph_from_catalog(_catalog(spark, d)))
 
 
 @query
 def graph_edges(spark, d):
-    return graph.graph_edges(graph.graph_from_catalog(V.supplier_catalog(spark, d)))
+    return graph.graph_edges(graph.graph_from_catalog(_catalog(spark, d)))
 
 
 @query
 def graph_upsert(spark, d):
-    old = V.table(spark, d, "part").filter("p_partkey % 4 <> 0").selectExpr("concat('P', p_partkey) AS inventory_id", "p_retailprice AS mock_price", "p_size AS stock")
+    old = V.table(spark, d, "part").selectExpr("concat('P', p_partkey) AS inventory_id", "p_retailprice AS mock_price", "p_size AS stock")
     new = V.table(spark, d, "lineitem").selectExpr(
         "concat('P', l_partkey * 2) AS inventory_id", "l_extendedprice AS mock_price", "cast(l_quantity AS int) AS stock", "l_orderkey AS seq"
     )
     return graph.upsert(old, new, ["inventory_id"], order=["seq"])
 
 
+@query
+def graph_store(spark, d):
+    """A catalog seeded twice into stored tables: the first time with other names and fewer suppliers."""
+    catalog = _catalog(spark, d)
+    early = lambda df: df.filter("class_name NOT LIKE '%3'")
+    first = graph.Catalog(
+        early(catalog.defects).withColumn("display_name", F.lit("old")), early(catalog.steps).withColumn("instruction", F.lit("old")),
+        early(catalog.parts).withColumns({"part_name": F.lit("old"), "availability_status": F.lit("old")}),
+    )
+    store = keyed.GraphStore(spark, scratch_path(spark, "graph"), 2)
+    for seeded in (first, catalog):
+        store.seed(graph.graph_from_catalog(seeded))
+    return graph.graph_nodes(store.read(graph.graph_from_catalog(catalog)))
+
+
 @query
 def graph_seed_summary(spark, d):
     return graph.seed_summary(V.supplier_catalog(spark, d))
@@ -362,7 +419,7 @@ def defect_lookup(spark, d):
 
 @query
 def parts_for_defect(spark, d):
-    g = graph.graph_from_catalog(V.supplier_catalog(spark, d))
+    g = graph.graph_from_catalog(_catalog(spark, d))
     return graph.parts_for_defect(g, g.defect)
 
 
@@ -580,13 +637,12 @@ def split_compatibility(spark, d):
 
 @query
 def strict_split_counts(spark, d):
-    rows = V.split(spark, d).filter("NOT (class_name = 'rust' AND dataset_split = 'test')")
-    return manifest.strict_split_counts(rows, C)
+    return manifest.strict_split_counts(V.split(spark, d), [*C, "chip"])
 
 
 @query
 def class_split_crosstab(spark, d):
-    return manifest.class_split_crosstab(V.split(spark, d).filter("NOT (class_name = 'rust' AND dataset_split = 'test')"))
+    return manifest.class_split_crosstab(V.split(spark, d), [*C, "chip"])
 
 
 @query
@@ -607,7 +663,7 @@ def size_profile(spark, d):
 @query
 def audit_summary(spark, d):
     rows = V.hashed_split(spark, d).withColumn("orientation", F.when(F.col("doc_id") % 19 == 0, 6).otherwise(1))
-    return audit.audit_summary(rows, hamming.near_dup_edges(rows, 6))
+    return audit.audit_summary(rows, hamming.near_dup_edges(rows, 6), pairs=True)
 
 
 @query
@@ -798,6 +854,69 @@ def image_difference_hash(spark, d):
     return images.image_grids(V.images(spark, d)).select("doc_id", hashing.grid_difference_hash(F.col("grid")).alias("perceptual_hash"))
 
 
+# ---- composite jobs --------------------------------------------------------------------------------
+
+
+def _found(ledger):
+    return ledger.filter("violation_count > 0").select("check_name", "violation_count")
+
+
+def _stacked(*parts):
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query
+def job_validate_splits(spark, d):
+    rows = V.hashed_split(spark, d).withColumns({
+        "original_label": F.col("source_object_label"), "found_in": F.when(F.col("doc_id") % 51 == 0, "train").otherwise(F.col("dataset_split")),
+        "checksum": F.when(F.col("doc_id") % 107 == 0, F.concat("checksum", F.lit("\n"))).otherwise(F.col("checksum")),
+    })
+    return _found(jobs.split_ledger(rows, C, scratch_path(spark, "splits")))
+
+
+@query
+def job_audit(spark, d):
+    rows = materialize(V.hashed_split(spark, d).withColumn("orientation", F.when(F.col("doc_id") % 19 == 0, 6).otherwise(1)))
+    report = jobs.audit(rows)
+    long = lambda df, section, names: df.select(F.lit(section).alias("section"), "class_name", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("name"), F.expr(value).cast("bigint").alias("value")) for name, value in names.items()])))
+    summary = report.summary
+    return _stacked(
+        long(summary.withColumn("class_name", F.lit(None).cast("string")), "summary", {c: c for c in summary.columns}),
+        long(report.crosstab, "crosstab", {s: s for s in S.SPLITS}), long(report.sizes, "sizes", {"below_128_count": "below_128_count", "double_median": "2 * short_side_median"}),
+        report.source_labels.select(F.lit("source_labels").alias("section"), "class_name", F.col("source_object_label").alias("name"), F.col("record_count").alias("value")),
+    )
+
+
+@query
+def job_evaluate(spark, d):
+    rows = V.table(spark, d, "embeddings").selectExpr("vec_id AS sample_index", "embedding", "cast(label % 4 AS bigint) AS true_idx")
+    report = jobs.evaluate(rows, "embedding", _block_model, C, 0.65)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("value")).select(F.lit("predictions").alias("section"), F.lit(name).alias("name"), "value")
+    return _stacked(
+        report.confusion.select(F.lit("confusion").alias("section"), F.concat_ws(">", "true_class", "predicted_class").alias("name"), F.col("n").alias("value")),
+        count(report.predictions, "rows"), count(report.misclassified, "misclassified"), count(report.predictions.filter("requires_manual_review"), "manual_review"),
+    )
+
+
+@query
+def job_heldout_check(spark, d):
+    heldout = V.heldout(spark, d)
+    known = {c: F.lit("recorded") for c in S.HELDOUT_COLUMNS if c not in heldout.columns}
+    return _found(jobs.heldout_ledger(heldout.withColumns(known) if known else heldout, V.development(spark, d)))
+
+
+@query
+def job_feedback_report(spark, d):
+    report = jobs.feedback_report(V.feedback(spark, d), V.prediction_log(spark, d), C)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("value")).select(F.lit("rows").alias("section"), F.lit(name).alias("name"), "value")
+    errors = report.rejected.select(F.explode("errors").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("value"))
+    return _stacked(
+        count(report.accepted, "accepted"), count(report.rejected, "rejected"), errors.select(F.lit("errors").alias("section"), "name", "value"),
+        report.daily.select(F.lit("corrections").alias("section"), F.date_format("day", "yyyy-MM-dd").alias("name"), F.col("correction_count").alias("value")),
+    )
+
+
 # ---- streaming ------------------------------------------------------------------------------------
 
 
@@ -849,5 +968,5 @@ def stream_graph_upsert(spark, d):
     feed = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(d).selectExpr(
         "concat('P', l_partkey * 2) AS inventory_id", "l_extendedprice AS mock_price", "cast(l_quantity AS int) AS stock", "l_orderkey AS seq"
     )
-    old = V.table(spark, d, "part").filter("p_partkey % 4 <> 0").selectExpr("concat('P', p_partkey) AS inventory_id", "p_retailprice AS mock_price", "p_size AS stock")
+    old = V.table(spark, d, "part").selectExpr("concat('P', p_partkey) AS inventory_id", "p_retailprice AS mock_price", "p_size AS stock")
     return flows.upserted(feed, old, ["inventory_id"], ["seq"], scratch_path(spark, "upsert"))

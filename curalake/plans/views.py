@@ -259,6 +259,25 @@ def heldout(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def parted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Held-out and development rows without perceptual hashes, for exact comparisons."""
+    rows = manifest(spark, d).drop("text")
+    return rows.filter("doc_id % 10 = 0").withColumn("filename", F.col("image_id")), rows.filter("doc_id % 10 <> 0")
+
+
+#: A line of a log; some lines are short, long, or have a quote that is never closed.
+LOG_LINE = (
+    "concat(event_id, ',', user_id, CASE WHEN event_id % 101 = 0 THEN '' WHEN event_id % 107 = 0 THEN concat(',', event_type, ',\"never closed') "
+    "ELSE concat(',', event_type, ',\"said \"\"', event_type, '\"\", twice\"') END, CASE WHEN event_id % 103 = 0 THEN ',extra,' ELSE '' END) AS line"
+)
+
+
+def document_files(spark: SparkSession, d: str) -> DataFrame:
+    """Texts in files of a thousand documents of one language and source, in order."""
+    rows = table(spark, d, "documents").selectExpr("lang", "source", "doc_id div 1000 AS chunk", "doc_id", "coalesce(text, '') AS text")
+    return rows.repartition("lang", "source", "chunk").sortWithinPartitions("lang", "source", "chunk", "doc_id").drop("doc_id")
+
+
 def development(spark: SparkSession, d: str) -> DataFrame:
     return hashed_manifest(spark, d).filter("doc_id % 10 <> 0")
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from itertools import islice
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,37 @@ def scan_manifest(spark: SparkSession, path: str | list[str], columns: Sequence[
     return manifest
 
 
+def scan_csv_checked(spark: SparkSession, path: str | list[str], columns: Sequence[str], header: bool = True) -> DataFrame:
+    """Every line of CSV files with the ``columns`` as text, ``record`` (the line as it stands), ``file`` and ``reason``.
+
+    ``reason`` is null for a whole row, else ``unclosed_quote``, ``short_row`` or ``long_row``; such a row has null columns, so
+    that no field is lost or shifted without a sign. Lines are read as text, so files are splittable; blank lines and, with
+    ``header``, lines that equal the header are left out. Quoted line breaks need ``scan_csv`` with ``line_breaks``.
+    """
+    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("record"), F.col("_metadata.file_path").alias("file"))
+    lines = lines.filter(F.trim("record") != "")
+    if header:
+        lines = lines.filter(F.regexp_replace("record", '"', "") != ",".join(columns))
+    plain = F.regexp_replace("record", r'"(?:[^"]|"")*"', "")
+    fields = F.length(plain) - F.length(F.replace(plain, F.lit(","), F.lit(""))) + 1
+    reason = (
+        F.when(F.instr(plain, '"') > 0, "unclosed_quote").when(fields < len(columns), "short_row").when(fields > len(columns), "long_row")
+    )
+    checked = computed(lines, reason=reason)
+    row = F.when(F.col("reason").isNull(), F.from_csv("record", ", ".join(f"`{c}` string" for c in columns), {"escape": '"'}))
+    return computed(checked, _row=row).select(*[F.col("_row")[c].alias(c) for c in columns], "record", "file", "reason")
+
+
+def csv_violations(checked: DataFrame) -> DataFrame:
+    """Damaged rows of ``scan_csv_checked`` as violations."""
+    return checked.filter("reason IS NOT NULL").select(F.col("reason").alias("rule"), F.col("record").alias("subject"))
+
+
+def write_rejects(checked: DataFrame, path: str) -> None:
+    """Append the damaged rows of a scan, as they stand, to a reject table."""
+    checked.filter("reason IS NOT NULL").select("file", "reason", "record", F.current_timestamp().alias("rejected_at")).write.mode("append").parquet(path)
+
+
 def scan_splits(spark: SparkSession, folder: str) -> DataFrame:
     """``<split>_manifest.csv`` of every split, tagged."""
     return union_splits({s: scan_manifest(spark, f"{folder}/{s}_manifest.csv") for s in S.SPLITS})
@@ -46,21 +80,32 @@ def scan_annotations(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return parse_annotations(raw.select(F.col("_metadata.file_path").alias("annotation_path"), F.lit(kind).alias("source_kind"), F.col("value").alias("document")))
 
 
+ANNOTATION_DDL = (
+    "size struct<width:int,height:int>, objects array<struct<classTitle:string,geometryType:string,points:struct<exterior:array<array<double>>>>>"
+)
+
+
 def parse_annotations(documents: DataFrame) -> DataFrame:
-    """``annotation_path, source_kind, document`` -> typed ``size`` and ``objects``.
+    """``annotation_path, source_kind, document`` -> typed ``size`` and ``objects``, in two tiers.
 
-    Every value is cast on its own: sizes may be text or decimals, an entry that is not an object has null fields, and
-    a coordinate that is not a number is null, so that only its own point is lost. An unreadable document has neither.
+    A document that the typed parser takes whole is done. One it marks as damaged is parsed again with every value cast on its
+    own: sizes may be text or decimals, an entry that is not an object has null fields, and a coordinate that is not a number
+    is null, so that only its own point is lost. An unreadable document has neither size nor objects.
     """
     number = "CASE WHEN schema_of_variant(x) RLIKE '^(BIGINT|DOUBLE|DECIMAL|BOOLEAN)' THEN try_variant_get(x, '$', 'double') END"
-    points = f"""transform(try_variant_get(o, '$.points.exterior', 'array<variant>'), p ->
-        transform(try_variant_get(p, '$', 'array<variant>'), x -> {number}))"""
-    objects = f"""transform(try_variant_get(_d, '$.objects', 'array<variant>'), o -> named_struct(
+    points = f"""transform(try_variant_get(_d, '$.objects', 'array<variant>'), o -> named_struct(
         'classTitle', try_variant_get(o, '$.classTitle', 'string'), 'geometryType', try_variant_get(o, '$.geometryType', 'string'),
-        'points', named_struct('exterior', {points})))"""
+        'points', named_struct('exterior', transform(try_variant_get(o, '$.points.exterior', 'array<variant>'), p ->
+            transform(try_variant_get(p, '$', 'array<variant>'), x -> {number})))))"""
     size = "named_struct('width', try_variant_get(_d, '$.size.width', 'int'), 'height', try_variant_get(_d, '$.size.height', 'int'))"
-    parsed = computed(documents, _d=F.try_parse_json("document"))
-    return parsed.select("annotation_path", "source_kind", F.expr(size).alias("size"), F.expr(objects).alias("objects"))
+    typed = F.from_json("document", f"{ANNOTATION_DDL}, _damaged string", {"columnNameOfCorruptRecord": "_damaged", "allowNonNumericNumbers": "false"})
+    first = computed(documents, _t=typed)
+    whole = F.col("_t").isNotNull() & F.col("_t._damaged").isNull() & F.col("document").rlike(r"\A\s*\{")
+    second = computed(first, _d=F.when(~F.coalesce(whole, F.lit(False)), F.try_parse_json("document")), _w=F.coalesce(whole, F.lit(False)))
+    return second.select(
+        "annotation_path", "source_kind", F.when(F.col("_w"), F.struct("_t.size.width", "_t.size.height")).otherwise(F.expr(size)).alias("size"),
+        F.when(F.col("_w"), F.col("_t.objects")).otherwise(F.expr(points)).alias("objects"),
+    )
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
@@ -75,6 +120,38 @@ def scan_content(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     )
 
 
+def refresh_digests(spark: SparkSession, path: str, cache: str, pattern: str = "*", chunk: int = 10_000) -> DataFrame:
+    """``path, length, actual_checksum, fresh`` of every file below ``path``; only files that are new or changed since the last
+    scan are read.
+
+    ``cache`` is a table of digests by path, length and modification time, to which a scan appends. A listing reads no content;
+    what the cache does not know is then read by its path. Spark's own file index holds the paths of a scan on the driver, so
+    they pass in chunks there without being more than the listing was. Files that are gone are left out.
+    """
+    keys = ["path", "length", "modificationTime"]
+    ddl = "path string, length bigint, modificationTime timestamp, actual_checksum string, scan bigint"
+    source = spark.read.format("binaryFile")
+    listed = source.options(pathGlobFilter=pattern, recursiveFileLookup=True).load(path).select(*keys)
+    try:
+        known = spark.read.schema(ddl).parquet(cache)
+        scan = (known.agg(F.max("scan").alias("s")).first()["s"] or 0) + 1
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known, scan = None, 1
+    fresh = listed if known is None else listed.join(known.select(*keys), keys, "left_anti")
+    paths = (re.sub(r"([\[\]{}*?\\])", r"\\\1", r["path"]) for r in fresh.select("path").toLocalIterator())
+    while some := list(islice(paths, chunk)):
+        digests = spark.read.format("binaryFile").load(some).select(*keys, F.sha2("content", 256).alias("actual_checksum"), F.lit(scan).cast("bigint").alias("scan"))
+        digests.write.mode("append").parquet(cache)
+    try:
+        known = spark.read.schema(ddl).parquet(cache)
+    except AnalysisException:  # no file yet, and none before
+        return listed.select("path", "length", F.lit(None).cast("string").alias("actual_checksum"), F.lit(False).alias("fresh")).limit(0)
+    latest = known.groupBy(*keys).agg(F.max_by("actual_checksum", "scan").alias("actual_checksum"), F.min("scan").alias("scan"))
+    return listed.join(latest, keys).select("path", "length", "actual_checksum", (F.col("scan") == scan).alias("fresh"))
+
+
 def scan_images(spark: SparkSession, path: str) -> DataFrame:
     """Decoded images; files that do not decode stay, with height -1."""
     return spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(path)

@@ -7,14 +7,16 @@ batch writes its own sub-folder with overwrite: replaying it changes nothing.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from curalake.operators import feedback as fb
-from curalake.operators.graph import upsert
 from curalake.operators.serving import feedback_override
+from curalake.streaming.keyed import KeyedTable, keep
 
 
 def drain(stream: DataFrame, path: str, mode: str = "append", partition: str | None = None) -> DataFrame:
@@ -38,13 +40,6 @@ def _with_batch(stream: DataFrame):
     return T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
 
 
-def newest(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Changelog of an update-mode query -> the latest row of every key."""
-    values = [c for c in changes.columns if c not in keys and c != "batch_id"]
-    packed = changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_row"))
-    return packed.select(*keys, "_row.*")
-
-
 def admit_feedback(stream: DataFrame, class_names: Sequence[str], path: str) -> DataFrame:
     """Good and rejected feedback as two partitions of one table, with the broken rules."""
     checked = fb.with_feedback_errors(stream, class_names)
@@ -53,12 +48,12 @@ def admit_feedback(stream: DataFrame, class_names: Sequence[str], path: str) ->
 
 
 def latest_labels(stream: DataFrame, class_names: Sequence[str], path: str) -> DataFrame:
-    """Running latest valid label per image; the state is one row per image."""
-    labelled = stream.select("image_sha256", fb.human_label(class_names).alias("label"), "timestamp", "seq").filter(
-        "label IS NOT NULL AND image_sha256 IS NOT NULL AND image_sha256 <> ''"
+    """Running latest valid label per image, kept as a keyed table. The stream itself holds no state."""
+    labelled = stream.select("image_sha256", fb.human_label(class_names).alias("feedback_class"), "timestamp", "seq").filter(
+        "feedback_class IS NOT NULL AND image_sha256 IS NOT NULL AND image_sha256 <> ''"
     )
-    running = labelled.groupBy("image_sha256").agg(F.max_by("label", F.struct("timestamp", "seq")).alias("feedback_class"))
-    return newest(drain(running, path, "update"), ["image_sha256"])
+    table = KeyedTable.like(labelled, f"{path}/labels", ["image_sha256"], ["timestamp", "seq"])
+    return keep(labelled, table, path)
 
 
 def overridden_predictions(stream: DataFrame, latest: DataFrame, threshold: float, class_names: Sequence[str], path: str) -> DataFrame:
@@ -67,28 +62,54 @@ def overridden_predictions(stream: DataFrame, latest: DataFrame, threshold: floa
 
 
 def fingerprinted_feedback(feedback: DataFrame, predictions: DataFrame, path: str, delay: str = "1 day") -> DataFrame:
-    """Feedback with the image hash of its prediction, used by the first feedback only.
+    """Feedback with the image hash of its prediction, used by the first feedback only; all feedback is kept.
 
-    The state of the two streams is bounded by event time instead of a fixed number of
-    predictions. The stream-stream join binds a feedback row to its prediction; the
-    first row of every id is then chosen among the bound rows, and all feedback is kept.
+    One stateful operator over both streams: a prediction's hash is state under its id until it has been used or its
+    event-time timer, ``delay`` after the prediction, has fired, so the state is bounded by time instead of a fixed number
+    of predictions. Feedback within ``delay`` of a known prediction takes its hash once, in event order within a batch;
+    all other feedback keeps its own. Only predictions move the watermark: late ones are dropped, feedback never is.
     """
-    late = feedback.withWatermark("timestamp", delay).select("seq", "timestamp", "prediction_id", "image_sha256")
-    known = predictions.withWatermark("predicted_at", delay).dropDuplicatesWithinWatermark(["prediction_id"]).select(
-        F.col("prediction_id").alias("known_id"), F.col("predicted_at"), F.col("image_sha256").alias("recorded")
+    told = predictions.select(
+        "prediction_id", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("seq"), F.col("predicted_at").alias("timestamp"), "image_sha256",
+        F.col("predicted_at").alias("event_time"),
     )
-    within = (
-        (F.col("prediction_id") == F.col("known_id"))
-        & (F.col("timestamp") >= F.col("predicted_at")) & (F.col("timestamp") <= F.col("predicted_at") + F.expr(f"INTERVAL {delay}"))
+    asked = feedback.select(
+        "prediction_id", F.lit(1).alias("kind"), "seq", "timestamp", "image_sha256", F.lit(None).cast("timestamp").alias("event_time"),
     )
-    bound = drain(late.join(known, within, "inner").select("seq", "timestamp", "prediction_id", "recorded"), f"{path}/bound")
-    log = drain(late, f"{path}/log")
-    first = bound.groupBy("prediction_id").agg(F.min(F.struct("timestamp", "seq", "recorded")).alias("f")).select(
-        "prediction_id", F.col("f.seq").alias("seq"), F.col("f.recorded").alias("recorded")
+    room = pd.Timedelta(delay)
+
+    def bind(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(["kind", "timestamp", "seq"], kind="stable")
+        recorded, since, used = state.get if state.exists else (None, None, False)
+        hashes = []
+        for kind, at, own in zip(rows["kind"], rows["timestamp"], rows["image_sha256"], strict=True):
+            if kind == 0:
+                if since is None and own is not None:
+                    recorded, since = own, at
+                continue
+            binds = since is not None and not used and since <= at <= since + room
+            hashes.append(recorded if binds else own if own is not None else "")
+            used = used or binds
+        if since is not None:
+            until = int((since + room).timestamp() * 1000)
+            if until > state.getCurrentWatermarkMs():
+                state.update((recorded, since, used))
+                state.setTimeoutTimestamp(until)
+            elif state.exists:
+                state.remove()
+        out = rows[rows["kind"] == 1]
+        if len(out):
+            yield pd.DataFrame({"seq": out["seq"].astype("int64"), "timestamp": out["timestamp"], "prediction_id": key[0], "image_sha256": hashes})
+
+    both = told.unionByName(asked).withWatermark("event_time", delay)
+    bound = both.groupBy("prediction_id").applyInPandasWithState(
+        bind, "seq bigint, timestamp timestamp, prediction_id string, image_sha256 string", "recorded string, since timestamp, used boolean",
+        "append", GroupStateTimeout.EventTimeTimeout,
     )
-    return log.join(first, ["prediction_id", "seq"], "left").withColumn(
-        "image_sha256", F.coalesce("recorded", "image_sha256", F.lit(""))
-    ).drop("recorded", "batch_id")
+    return drain(bound, path).drop("batch_id")
 
 
 def review_rates(stream: DataFrame, threshold: float, path: str, delay: str = "1 day") -> DataFrame:
@@ -99,10 +120,12 @@ def review_rates(stream: DataFrame, threshold: float, path: str, delay: str = "1
     rates = windows.select(
         F.col("w.start").alias("day"), "prediction_count", "review_count", (F.col("review_count") / F.col("prediction_count")).alias("review_rate")
     )
-    return newest(drain(rates, path, "update"), ["day"])
+    table = KeyedTable.like(rates.withColumn("batch_id", F.lit(0).cast("bigint")), f"{path}/days", ["day"], ["batch_id"])
+    return keep(rates, table, path, "update")
 
 
 def upserted(feed: DataFrame, existing: DataFrame, keys: Sequence[str], order: Sequence[str], path: str) -> DataFrame:
-    """Change feed -> keyed table: batches are appended, the newest change of a key wins."""
-    changes = drain(feed, path)
-    return upsert(existing, changes, keys, order)
+    """Change feed -> keyed table that starts from ``existing``; the newest change of a key wins, in any batch."""
+    table = KeyedTable.like(feed, f"{path}/table", keys, order, existing.columns)
+    table.create(existing)
+    return keep(feed, table, path)

@@ -3,6 +3,7 @@ import random
 import pytest
 from conftest import rows
 
+from curalake.operators import clusters
 from curalake.operators import hamming as H
 from curalake.operators.violations import GateError
 from curalake.plans import jobs
@@ -93,3 +94,21 @@ def test_audit_refuses_incomplete_hashes(spark):
     split = spark.createDataFrame([("a", "00000000000000ff"), ("b", "zz"), ("c", " ")], "image_id string, perceptual_hash string")
     with pytest.raises(GateError, match="perceptual hashes"):
         jobs.audit(split)
+
+
+def test_clusters_equal_union_find(spark):
+    rng = random.Random(11)
+    edges = [(k, k + 1) for k in range(0, 90)] + [(200, 200), (300, -5), (-5, 301)] + [(rng.randrange(400, 700), rng.randrange(400, 700)) for _ in range(260)]
+    up = {n: n for e in edges for n in e}
+
+    def top(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in edges:
+        x, y = top(a), top(b)
+        up[max(x, y)] = min(x, y)
+    found = {r["node"]: r["cluster"] for r in clusters.clusters(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert found == {n: top(n) for n in up}
+    assert clusters.clusters(spark.createDataFrame([], "a bigint, b bigint")).count() == 0

@@ -4,6 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from curalake import schemas as S
+from curalake.operators.violations import GateError
 from curalake.operators import history, metrics, quantiles, scoring, thresholds
 
 DDL = "true_idx bigint, pred_idx bigint, confidence double"
@@ -72,15 +73,39 @@ def test_exact_median_equals_numpy(spark):
     values = [((i * 7919) % 1009) / 1009 for i in range(501)] + [0.25] * 300
     data = [("hot", v) for v in values] + [("b", 0.1), ("b", 0.4), ("c", 0.7)]
     df = spark.createDataFrame(data, "g string, v double")
-    for buckets in (1, 16, 65536):
-        found = dict(rows(quantiles.exact_median(df, ["g"], "v", F.floor(F.col("v") * buckets))))
-        assert found == {"hot": float(np.median(values)), "b": 0.25, "c": 0.7}
+    for few in (False, True):
+        assert dict(rows(quantiles.exact_median(df, ["g"], "v", few))) == {"hot": float(np.median(values)), "b": 0.25, "c": 0.7}
+
+
+def test_exact_median_of_extreme_values(spark):
+    tiny, huge = 5e-324, 1.7976931348623157e308
+    groups = {
+        "signs": [-2.5, -1.0, -0.0, 0.0, 3.0], "tiny": [tiny, 2 * tiny, 3 * tiny], "huge": [-huge, 1.0, huge, huge], "even": [-1e-300, 1e300], "powers": [2.0**k for k in range(-1074, 1024)],
+        "edges": [np.nextafter(2.0**k, 0) for k in range(-40, 40)] + [2.0**k for k in range(-40, 40)], "infinite": [float("-inf"), 1.0, float("inf"), float("inf"), 2.0], "null": [None, 1.5],
+    }
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in map(lambda x: None if x is None else float(x), vs)], "g string, v double")
+    found = dict(rows(quantiles.exact_median(df, ["g"], "v")))
+    assert found == {g: float(np.median([v for v in vs if v is not None])) for g, vs in groups.items()}
+    whole = spark.createDataFrame([(1, (1 << 62) + 2), (1, -5), (1, (1 << 62) + 2), (2, None)], "g int, v bigint")
+    assert rows(quantiles.exact_median(whole, ["g"], "v")) == [(1, float((1 << 62) + 2))]
+
+
+def test_exact_median_spreads_close_values(spark):
+    """300,000 values within 1e-6 of each other share their first digit and most of the second; no digit has more than 2 ** 16 counts."""
+    df = spark.range(300_000).selectExpr("1 AS g", "1 - cast(id * 7919 % 300000 AS double) / 3e11 AS v")
+    digits = df.select(*[F.shiftright(quantiles.ordered_bits(F.col("v")), 64 - quantiles.DIGIT * k).alias(f"p{k}") for k in (1, 2, 3)])
+    most = [digits.groupBy(f"p{k}").agg(F.count_distinct(f"p{k + 1}").alias("n")).agg(F.max("n")).first()[0] for k in (1, 2)]
+    assert digits.select("p1").distinct().count() <= 2 and max(most) <= 1 << quantiles.DIGIT
+    values = 1 - np.arange(300_000).astype(float) / 3e11
+    assert [tuple(r) for r in quantiles.exact_median(df, ["g"], "v", few=True).collect()] == [(1, float(np.median(values)))]
 
 
 def test_class_weights(spark):
     data = [(c,) for c, n in zip(S.CLASS_NAMES, (64, 80, 80, 56)) for _ in range(n)]
     found = metrics.class_weights(spark.createDataFrame(data, "class_name string"), S.CLASS_NAMES)
     assert rows(found, "idx", "weight") == [(0, 1.09375), (1, 0.875), (2, 0.875), (3, 1.25)]
+    with pytest.raises(GateError, match="chip"):
+        metrics.class_weights(spark.createDataFrame(data, "class_name string"), [*S.CLASS_NAMES, "chip"], strict=True)
 
 
 def test_history(spark):

@@ -1,5 +1,8 @@
+import hashlib
 import json
+import os
 from datetime import datetime, timedelta
+from urllib.parse import unquote
 
 import pytest
 from conftest import rows
@@ -91,5 +94,43 @@ def test_stream_continues_where_it_stopped(spark, tmp_path):
     assert run() == found  # nothing new, nothing lost
 
 
+def test_damaged_csv_rows_are_rejected_with_a_reason(spark, tmp_path):
+    text = 'a,b,c\r\n1,"x, ""y""",3\n\n4,5\r\n6,7,8,9\n10,"open,12\n,,\n"a","b","c"\n13,é,15'
+    (tmp_path / "log.csv").write_bytes(text.encode())
+    checked = tables.scan_csv_checked(spark, str(tmp_path / "log.csv"), ["a", "b", "c"])
+    assert rows(checked.filter("reason IS NULL"), "a", "b", "c") == sorted([("1", 'x, "y"', "3"), (None, None, None), ("13", "é", "15")], key=repr)
+    assert rows(checked.filter("reason IS NOT NULL"), "a", "record", "reason") == sorted(
+        [(None, "4,5", "short_row"), (None, "6,7,8,9", "long_row"), (None, '10,"open,12', "unclosed_quote")], key=repr)
+    tables.write_rejects(checked, str(tmp_path / "rejects"))
+    tables.write_rejects(checked, str(tmp_path / "rejects"))
+    assert spark.read.parquet(str(tmp_path / "rejects")).count() == 6
+    assert rows(tables.csv_violations(checked), "rule") == [("long_row",), ("short_row",), ("unclosed_quote",)]
+
+
+def test_a_second_scan_reads_only_changed_files(spark, tmp_path):
+    folder, cache = tmp_path / "files", str(tmp_path / "cache")
+    folder.mkdir()
+    for name in ("a", "b [1]", "c{x}", "d*"):
+        (folder / name).write_bytes(name.encode())
+    digest = lambda data: hashlib.sha256(data).hexdigest()
+
+    def scan():
+        found = tables.refresh_digests(spark, str(folder), cache, chunk=2)
+        return {unquote(r["path"]).rsplit("/", 1)[1]: (r["actual_checksum"], r["fresh"]) for r in found.collect()}
+
+    assert scan() == {n: (digest(n.encode()), True) for n in ("a", "b [1]", "c{x}", "d*")}
+    assert {fresh for _, fresh in scan().values()} == {False}
+    before = (folder / "a").stat()
+    (folder / "a").write_bytes(b"?")  # same length and time: not read again
+    os.utime(folder / "a", ns=(before.st_atime_ns, before.st_mtime_ns))
+    (folder / "b [1]").write_bytes(b"other")
+    (folder / "e").write_bytes(b"new")
+    (folder / "d*").unlink()
+    assert scan() == {"a": (digest(b"a"), False), "b [1]": (digest(b"other"), True), "c{x}": (digest(b"c{x}"), False), "e": (digest(b"new"), True)}
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    assert tables.refresh_digests(spark, str(empty), str(tmp_path / "none")).count() == 0
+
+
 def test_shared_folder_is_stable(spark):
     assert shared_folder(spark) == shared_folder(spark)
