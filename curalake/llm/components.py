@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from curalake.llm.common import written
@@ -21,16 +21,21 @@ def _small(edges: DataFrame) -> DataFrame:
     return hung.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _written(stars: DataFrame) -> tuple[DataFrame, tuple]:
+    """The stars of a round, and a digest of them from the pass that writes them."""
+    seen = Observation()
+    digest = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")]
+    out = written(stars.observe(seen, *digest), "stars")
+    return out, (seen.get["n"], seen.get["s"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (smallest node reachable) of every node of edges ``a, b`` (bigint). The number of rounds is
-    logarithmic in the longest path."""
-    now = written(_small(edges.filter("a <> b")), "stars")
+    logarithmic in the longest path; edges that are stars already take two."""
+    now, state = _written(_small(edges.filter("a <> b")))
     mark = None
-    while True:
-        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == mark:
-            break
+    while state != mark:
         mark = state
-        now = written(_small(_large(now)), "stars")
+        now, state = _written(_small(_large(now)))
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return leaves.unionByName(leaves.select(F.col("component").alias("node"), "component").distinct())

@@ -90,9 +90,9 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def table_keys(classes: DataFrame) -> DataFrame:
-    """``key, rep, n``: every half key of the first collection with every one of the second. Input: ``rep, n, half``."""
+    """``key, rep, n, own``: every half key of the first collection with every one of the second. Input: ``rep, n, half``."""
     first = classes.select("rep", "n", F.explode(F.slice("half", 1, COUNT)).alias("a"), F.slice("half", COUNT + 1, COUNT).alias("later"))
-    return first.select("rep", "n", "a", F.explode("later").alias("b")).select(F.xxhash64("a", "b").alias("key"), "rep", "n")
+    return first.select("rep", "n", "a", F.explode("later").alias("b")).select(F.xxhash64("a", "b").alias("key"), "rep", "n", F.lit(True).alias("own"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

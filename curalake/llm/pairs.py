@@ -52,11 +52,14 @@ def parity_bits(tokens: np.ndarray) -> np.ndarray:
 
 
 def members_of(rows: DataFrame) -> DataFrame:
-    """``key, rep, n, prev, c`` of every key that at least two of the rows ``key, rep, n`` share, with the class before in the
-    chain (by size) and their number. Every class emits many keys, so one key holds a small share of the rows at most."""
-    order = W.partitionBy("key").orderBy("n", "rep")
-    ranked = rows.select("key", "rep", "n").withColumns({"prev": F.lag(F.struct("rep", "n")).over(order), "c": F.count(F.lit(1)).over(W.partitionBy("key"))})
-    return written(ranked.filter("c > 1"), "pair-members")
+    """``key, rep, n, prev, c`` of every key that at least two of the rows ``key, rep, n, own`` share, with the class before in the
+    chain (by size) and their number. A key that is no member's ``own`` is left out: its classes meet under their own keys too.
+    Every class emits many keys, so one key holds a small share of the rows at most."""
+    key, order = W.partitionBy("key"), W.partitionBy("key").orderBy("n", "rep")
+    ranked = rows.select("key", "rep", "n", "own").withColumns({
+        "prev": F.lag(F.struct("rep", "n")).over(order), "c": F.count(F.lit(1)).over(key), "_own": F.max("own").over(key),
+    })
+    return written(ranked.filter("c > 1 AND _own").select("key", "rep", "n", "prev", "c"), "pair-members")
 
 
 def candidates(members: DataFrame, classes: DataFrame, threshold: Threshold) -> DataFrame:
@@ -163,17 +166,20 @@ def linked_classes(classes: DataFrame, members: DataFrame, docs: DataFrame, shin
     groups = written(components(edges), "pair-groups")
     more = verified(apart(pairs, groups), sets, threshold)
     if not more.isEmpty():
-        edges = written(edges.unionByName(more), "pair-links")
-        groups = written(components(edges), "pair-groups")
+        groups = _joined(groups, more)
     large = members.filter(F.col("c") > SMALL_KEY).select("key", "rep", "n").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     placed = written(mixed(large.select("key", "rep", "n", F.coalesce("component", "rep").alias("g"))), "pair-mixed")
     others = written(placed.select("rep").distinct().join(ids, "rep", "left_anti"), "pair-ids")
     if not others.isEmpty():
         sets = sets.unionByName(sets_of(others, docs, shingle_sets))
     more = verified(across(placed, sets, classes, threshold), sets, threshold)
-    if not more.isEmpty():
-        groups = written(components(written(edges.unionByName(more), "pair-links")), "pair-groups")
-    return groups
+    return groups if more.isEmpty() else _joined(groups, more)
+
+
+def _joined(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components of what is grouped already and of further edges."""
+    stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return written(components(stars.unionByName(edges.select("a", "b"))), "pair-groups")
 
 
 def components_of(rows: DataFrame, classes: DataFrame, groups: DataFrame, same: Sequence[str]) -> DataFrame:

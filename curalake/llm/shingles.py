@@ -45,7 +45,7 @@ _REPEAT = _rng.integers(1, 1 << 63, size=KEYS + 1, dtype=np.uint64) * np.uint64(
 _BANDS = [1]
 while _BANDS[-1] < 1 << 40:
     _BANDS.append(max(_BANDS[-1] + 1, -(-_BANDS[-1] * THRESHOLD.denominator // THRESHOLD.numerator)))
-FEATURES_DDL = "n_shingles bigint, fp1 bigint, fp2 bigint, keys array<bigint>, sketch array<bigint>"
+FEATURES_DDL = "n_shingles bigint, fp1 bigint, fp2 bigint, keys array<bigint>, sketch array<bigint>, band bigint"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -129,19 +129,20 @@ def cell_keys(tokens: np.ndarray, of_band: int, exact: bool = False) -> np.ndarr
     place, values = place[order], values[order]
     starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
     parity = np.bitwise_xor.reduceat(values, starts)
-    return mixed(parity + mixed(place[starts] + np.uint64(of_band << 32) + _STEP[6]))
+    # the last bit tells the band's parity, and so whether a document emits a key for its own band or for the one below
+    return mixed(parity + mixed(place[starts] + np.uint64(of_band << 32) + _STEP[6])) & ~np.uint64(1) | np.uint64(of_band & 1)
 
 
-def features_of(tokens: np.ndarray, exact: bool = False) -> tuple[int, int, int, np.ndarray | None, np.ndarray | None]:
+def features_of(tokens: np.ndarray, exact: bool = False) -> tuple[int, int, int, np.ndarray | None, np.ndarray | None, int]:
     n = len(tokens)
     if not n:
-        return 0, 0, 0, None, None
+        return 0, 0, 0, None, None, 0
     sums = [int(mixed(tokens * step).sum().view(np.int64)) for step in (_STEP[5], _STEP[7])]
     if n < 3:  # smaller sets link with equal sets only
-        return n, *sums, None, None
+        return n, *sums, None, None, 0
     own = band(n)
     keys = np.concatenate([cell_keys(tokens, own, exact), cell_keys(tokens, own - 1, exact)])
-    return n, *sums, keys.view(np.int64), parity_bits(tokens)
+    return n, *sums, keys.view(np.int64), parity_bits(tokens), own
 
 
 def shingle_features(docs: DataFrame, exact: bool = False) -> DataFrame:
@@ -152,7 +153,7 @@ def shingle_features(docs: DataFrame, exact: bool = False) -> DataFrame:
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = [features_of(s, exact) for s in shingle_sets(texts.tolist())]
-            yield pd.DataFrame(rows, columns=["n_shingles", "fp1", "fp2", "keys", "sketch"])
+            yield pd.DataFrame(rows, columns=["n_shingles", "fp1", "fp2", "keys", "sketch", "band"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), features(F.col("text").cast("string")).alias("x")).select("doc_id", "x.*")
 
@@ -166,10 +167,10 @@ def similar_components(docs: DataFrame, exact: bool = False) -> DataFrame:
     """
     rows = written(shingle_features(docs, exact), "shingle-features")
     same = ["n_shingles", "fp1", "fp2"]
-    classes = rows.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy(*same).agg(F.min(F.struct("doc_id", "keys", "sketch")).alias("least"))
-    classes = written(classes.select(*same, F.col("least.doc_id").alias("rep"), "least.keys", "least.sketch"), "shingle-classes")
-    able = classes.filter("keys IS NOT NULL").select("rep", F.col("n_shingles").alias("n"), "keys", "sketch")
-    members = members_of(able.select(F.explode("keys").alias("key"), "rep", "n"))
+    classes = rows.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy(*same).agg(F.min(F.struct("doc_id", "keys", "sketch", "band")).alias("least"))
+    classes = written(classes.select(*same, F.col("least.doc_id").alias("rep"), "least.keys", "least.sketch", "least.band"), "shingle-classes")
+    able = classes.filter("keys IS NOT NULL").select("rep", F.col("n_shingles").alias("n"), "keys", "sketch", "band")
+    members = members_of(able.select(F.explode("keys").alias("key"), "rep", "n", "band").withColumn("own", F.col("key").bitwiseAND(1) == F.col("band").bitwiseAND(1)))
     groups = linked_classes(able, members, docs, shingle_sets, THRESHOLD)
     return components_of(rows, classes, groups, same)
 
