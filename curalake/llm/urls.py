@@ -1,8 +1,10 @@
 """URL filter by association rules: FP-growth over URL tokens of labelled pages, rules matched by an inverted index.
 
 A labelled page is a transaction of its URL's tokens and, if it is bad, the token ``BAD``. Frequent itemsets give
-rules ``tokens -> BAD``, pruned by support and confidence. Each rule is filed under its rarest token; a URL meets the
-rules of its own tokens and matches those whose tokens it all has. Hosts named in a fixed list are judged by it first.
+rules ``tokens -> BAD``, pruned by support and by confidence against the share of bad pages: a rule stays if its
+confidence is ``lift`` times that share and lies ``deviations`` standard errors above it. Each rule is filed under its
+rarest token; a URL meets the rules of its own tokens and matches those whose tokens it all has. Hosts named in a fixed
+list are judged by it first.
 Built-in functions and Spark's own FP-growth only.
 """
 
@@ -14,14 +16,19 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curalake.llm.common import attach, written
+
 BAD = "bad"
 #: Fixed values of the production query: (rule, verdict); a rule is a host and a path.
 HOST_RULES = (
     ("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"),
 )
-MIN_CONFIDENCE = 0.6
+#: A rule's confidence over the share of bad pages, and its distance from that share in standard errors (one-sided, 1 %).
+MIN_LIFT, MIN_DEVIATIONS = 1.25, 2.33
 #: Least share of labelled pages, and least number of them, that hold all tokens of a rule.
 MIN_SUPPORT, MIN_PAGES = 0.001, 20
+#: Rows with one token set meet its verdict in this many parts.
+PARTS = 16
 
 
 def host_of(url: Column) -> Column:
@@ -60,18 +67,23 @@ def url_tokens(url: Column) -> Column:
     return F.when(F.instr(lower, "://") > 0, F.array_distinct(F.concat(first, domains, path, names))).otherwise(F.array().cast("array<string>"))
 
 
-def mine_rules(labelled: DataFrame, confidence: float = MIN_CONFIDENCE, support: float = MIN_SUPPORT, pages: int = MIN_PAGES) -> DataFrame:
-    """``antecedent, confidence, support`` of rules for BAD from rows ``tokens, bad`` (boolean)."""
+def mine_rules(labelled: DataFrame, lift: float = MIN_LIFT, deviations: float = MIN_DEVIATIONS, support: float = MIN_SUPPORT, pages: int = MIN_PAGES) -> DataFrame:
+    """``antecedent, confidence, support`` of rules for BAD from rows ``tokens, bad`` (boolean). Without bad pages, or with bad ones only, none."""
     spark = labelled.sparkSession
     empty = spark.sql("SELECT cast(null AS array<string>) AS antecedent, 0d AS confidence, 0d AS support WHERE false")
-    items = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items")).filter(F.size("items") > 0)
-    total = items.count()
-    least = max(support, pages / total) if total else 1.0
-    if least > 1:
+    items = labelled.filter(F.size("tokens") > 0).select("bad", F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
+    counts = items.agg(F.count(F.lit(1)).alias("total"), F.count_if("bad").alias("bad")).first()
+    total, share = counts["total"], counts["bad"] / max(counts["total"], 1)
+    least = max(support, pages / max(total, 1))
+    if least > 1 or share in (0.0, 1.0):
         return empty
+    confidence = min(1.0, lift * share)
     model = FPGrowth(itemsCol="items", minSupport=least * confidence, minConfidence=confidence).fit(items)
     rules = model.associationRules.filter(F.array_contains("consequent", BAD))
-    return rules.filter(F.col("support") >= least * confidence).select("antecedent", "confidence", "support")
+    held = F.col("support") / F.col("confidence")  # share of pages with all tokens of the rule
+    error = F.sqrt(F.lit(share * (1 - share)) / (held * total))
+    kept = rules.filter((held * total >= least * total - 0.5) & (F.col("confidence") - share >= deviations * error))
+    return kept.select("antecedent", "confidence", "support")
 
 
 def url_verdicts(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = HOST_RULES, **pruning: float) -> DataFrame:
@@ -83,20 +95,24 @@ def url_verdicts(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str,
     """
     rows = pages.select("page_id", "url", url_tokens(F.col("url")).alias("tokens"))
     marked = labels.groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad")).filter("bad IS NOT NULL")
-    labelled = rows.join(marked, "page_id").select("tokens", (F.col("bad") == 1).alias("bad"))
+    labelled = written(rows.join(marked, "page_id").select("tokens", (F.col("bad") == 1).alias("bad")), "url-labelled")
     mined = mine_rules(labelled, **pruning)
-    # the inverted index: a rule stands under the token that the fewest rules' tokens share with other pages
+    # the inverted index: a rule stands under its token that the fewest labelled pages have; one row per token
     frequency = labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     filed = mined.withColumn("rule_id", F.xxhash64("antecedent")).select("rule_id", "antecedent", "confidence", F.explode("antecedent").alias("token"))
-    index = filed.join(frequency, "token", "left").groupBy("rule_id").agg(
+    rarest = filed.join(frequency, "token", "left").groupBy("rule_id").agg(
         F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"), F.first("antecedent").alias("antecedent"), F.max("confidence").alias("confidence")
     )
-    # equal token sets are matched once
+    index = written(rarest.groupBy("token").agg(F.collect_list(F.struct("antecedent", "confidence")).alias("rules")), "url-rules")
+    # equal token sets are matched once; only tokens that rules are filed under go on
     distinct = rows.select("tokens").filter(F.size("tokens") > 0).distinct()
-    met = distinct.select("tokens", F.explode("tokens").alias("token")).join(index, "token")
-    hits = met.filter(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy("tokens").agg(F.max("confidence").alias("confidence"))
+    met = attach(distinct.select("tokens", F.explode("tokens").alias("token")), index, ["token"], F.col("tokens"))
+    best = F.array_max(F.transform(F.filter("rules", lambda r: F.size(F.array_except(r["antecedent"], F.col("tokens"))) == 0), lambda r: r["confidence"]))
+    hits = met.select("tokens", best.alias("confidence")).filter("confidence IS NOT NULL").groupBy("tokens").agg(F.max("confidence").alias("confidence"))
+    parts = hits.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int"))
     listed = listed_rule(F.col("host"), F.col("path"), rules)
-    judged = rows.join(hits, "tokens", "left").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "confidence")
+    judged = rows.join(parts, ["tokens", "part"], "left").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "confidence")
     return judged.withColumn("_listed", listed).select(
         "page_id", "host", "path", F.col("_listed.rule").alias("rule"),
         F.coalesce("_listed.verdict", F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")).alias("verdict"),

@@ -1,6 +1,7 @@
 """URL filter and nearest vectors."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -50,15 +51,16 @@ def test_mined_rules_match_brute_force(spark):
     pages = spark.createDataFrame(rows, "page_id bigint, url string")
     found = {r["page_id"]: r["verdict"] for r in urls.url_verdicts(pages, labels(spark, bad[:500]), rules=()).collect()}
     tokens = {r["page_id"]: frozenset(r["t"]) for r in pages.select("page_id", urls.url_tokens(F.col("url")).alias("t")).collect()}
-    n = 500
-    least = max(urls.MIN_SUPPORT, urls.MIN_PAGES / n) * urls.MIN_CONFIDENCE * n
+    n, share = 500, sum(b for _, b in bad[:500]) / 500
+    least = max(urls.MIN_SUPPORT * n, urls.MIN_PAGES)
     all_of, bad_of = {}, {}
     for i, is_bad in bad[:500]:
         for k in range(1, len(tokens[i]) + 1):
             for s in itertools.combinations(sorted(tokens[i]), k):
                 all_of[s] = all_of.get(s, 0) + 1
                 bad_of[s] = bad_of.get(s, 0) + is_bad
-    rules = [frozenset(s) for s, c in bad_of.items() if c >= least and c / all_of[s] >= urls.MIN_CONFIDENCE]
+    sure = lambda c, m: c / m >= urls.MIN_LIFT * share and (c / m - share) >= urls.MIN_DEVIATIONS * math.sqrt(share * (1 - share) / m)
+    rules = [frozenset(s) for s, c in bad_of.items() if all_of[s] >= least and sure(c, all_of[s])]
     assert rules and {i for i, v in found.items() if v == "block"} == {i for i, t in tokens.items() if any(r <= t for r in rules)}
     assert any("casino" in u and "/win/" in u for i, u in rows[500:] if found[i] == "block")
 
@@ -94,3 +96,17 @@ def test_recall_of_the_production_factor(spark):
     vectors = vptree.usable_vectors(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"))
     queries = vectors.filter("vec_id % 50 = 0")
     assert vptree.recall_of(vptree.nearest(vectors, queries), vptree.nearest(vectors, queries, factor=1.0)) >= 0.97
+
+
+def test_urls_without_labels_of_both_kinds(spark):
+    pages = spark.createDataFrame([(i, f"http://a.org/{i}") for i in range(60)] + [(7, None), (7, None)], "page_id bigint, url string")
+    for bad in (True, False):
+        found = urls.url_verdicts(pages, labels(spark, [(i, bad) for i in range(60)]), rules=())
+        assert found.count() == 62 and found.filter("verdict = 'block'").count() == 0
+
+
+def test_url_rows_with_clashing_columns(spark):
+    rows = [(i, f"http://{'bad' if i % 3 == 0 else 'good'}.org/{i % 3}", "x", 1) for i in range(300)] * 2
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, tokens string, part int")
+    found = urls.url_verdicts(pages, labels(spark, [(i, i % 3 == 0 or i % 50 == 1) for i in range(300)]), rules=())
+    assert found.count() == 600 and {r["page_id"] % 3 for r in found.filter("verdict = 'block'").collect()} == {0}
