@@ -208,6 +208,27 @@ VIEWS = {
         SELECT conv_id AS run_id, turn + 1 AS epoch, CASE WHEN turn < 3 THEN 'head' ELSE 'all' END AS stage, (length(text) % 97)::DOUBLE / 100 AS loss FROM conversations""",
     "blocks": """
         SELECT vec_id, [list_sum(list_transform(embedding[16 * k + 1:16 * k + 16], lambda x: x::DOUBLE)) FOR k IN range(4)] AS z FROM embeddings""",
+    "head_rows": """
+        SELECT vec_id, y, x, validation, CASE WHEN NOT validation THEN count(*) FILTER (NOT validation) OVER () / (4 * count(*) FILTER (NOT validation) OVER (PARTITION BY y)) END AS weight
+        FROM (SELECT vec_id, label % 4 AS y, list_concat([1.0::DOUBLE], embedding::DOUBLE[]) AS x, ('0x' || md5(vec_id::VARCHAR)[1:8])::BIGINT % 5 = 0 AS validation FROM embeddings)""",
+    "head_steps": """
+        SELECT 0 AS i, list_transform(range(4 * max(len(x))), lambda j: 0.0::DOUBLE) AS w, list_transform(range(4 * max(len(x))), lambda j: 0.0::DOUBLE) AS v FROM head_rows
+        UNION ALL
+        SELECT i + 1, list_transform(w, lambda a, k: a - 0.5::DOUBLE * v[k]), v FROM (
+            SELECT i, any_value(w) AS w, list(0.9::DOUBLE * v[1 + j] + (g / (n * 1000000.0::DOUBLE) + CASE WHEN j % width = 0 THEN 0.0::DOUBLE ELSE 0.001::DOUBLE END * w[1 + j]) ORDER BY j) AS v
+            FROM (
+                SELECT i, j, any_value(w) AS w, any_value(v) AS v, any_value(width) AS width, count(*) AS n,
+                    sum(floor((weight * (p[1 + j // width] - CASE WHEN y = j // width THEN 1 ELSE 0 END)) * x[1 + j % width] * 1000000 + 0.5)::HUGEINT)::DOUBLE AS g
+                FROM (
+                    SELECT *, list_transform(e, lambda a: a / list_sum(e)) AS p, unnest(range(4 * width)) AS j FROM (
+                        SELECT *, list_transform(z, lambda a: exp(a - list_max(z))) AS e FROM (
+                            SELECT s.i, s.w, s.v, y, x, weight, len(x) AS width, [list_dot_product(s.w[1 + k * len(x):(k + 1) * len(x)], x) FOR k IN range(4)] AS z
+                            FROM head_steps s, head_rows WHERE s.i < 30 AND NOT validation)))
+                GROUP BY i, j)
+            GROUP BY i)""",
+    "head_pred": """
+        SELECT vec_id, validation, y::BIGINT AS true_idx, list_position(z, list_max(z)) - 1::BIGINT AS pred_idx, 1 / list_sum(list_transform(z, lambda a: exp(a - list_max(z)))) AS confidence
+        FROM (SELECT *, [list_dot_product(w[1 + k * len(x):(k + 1) * len(x)], x) FOR k IN range(4)] AS z FROM head_rows, (SELECT w FROM head_steps WHERE i = 30))""",
     "heldout": """
         SELECT *, image_id AS filename, class_name AS expected_class, CASE WHEN doc_id % 130 = 0 THEN 'no' ELSE 'Yes' END AS excluded,
             CASE WHEN doc_id % 170 = 0 THEN '' ELSE 'yes' END AS frozen FROM hashed WHERE doc_id % 10 = 0""",
@@ -515,6 +536,10 @@ BODIES = {
         FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS z FROM embeddings)""",
     "batch_score": """
         SELECT vec_id, list_position(z, list_max(z)) - 1::BIGINT AS pred_idx, round(1 / list_sum(list_transform(z, lambda x: exp(x - list_max(z)))), 6) AS confidence FROM blocks""",
+    "head_coefficients": """
+        SELECT class_name, (j % (len(w) // 4))::INT AS place, round(w[1 + j], 6) AS coefficient
+        FROM (SELECT w, unnest(range(len(w))) AS j FROM head_steps WHERE i = 30) AS u JOIN classes ON idx = j // (len(w) // 4)""",
+    "head_fit": "SELECT vec_id, validation, true_idx, pred_idx, round(confidence, 3) AS confidence FROM head_pred",
     "class_set_difference": "SELECT 'chip' AS class_name, 'missing' AS side UNION ALL SELECT 'rust', 'unexpected' FROM (SELECT 1 WHERE EXISTS (FROM manifest WHERE class_name = 'rust'))",
     "stream_admission": "SELECT seq, len(errors) = 0 AS admitted, array_to_string(list_sort(errors), ',') AS errors FROM checked",
     "stream_latest_feedback": "SELECT image_sha256, feedback_class FROM latest",
@@ -522,6 +547,8 @@ BODIES = {
     "stream_review_rate": """
         SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS prediction_count, count(*) FILTER (confidence < 0.65) AS review_count, round(avg((confidence < 0.65)::INT), 6) AS review_rate FROM pred GROUP BY 1""",
 }
+VIEWS["head_analysis"] = VIEWS["analysis"].replace("FROM pred ", "FROM head_pred ").replace(" GROUP BY t", " WHERE validation GROUP BY t")
+BODIES["head_threshold"] = BODIES["select_threshold"].replace("FROM analysis", "FROM head_analysis").replace("0.5 DESC", "0.65 DESC")
 BODIES["stream_fingerprint"] = BODIES["feedback_fingerprint"]
 BODIES["stream_graph_upsert"] = BODIES["graph_upsert"]
 BODIES["graph_store"] = BODIES["graph_nodes"]
@@ -584,7 +611,7 @@ def _needed(sql: str, found: list[str], inside: str = "") -> list[str]:
 
 def _with_views(body: str) -> str:
     # row ids are given once, however often the view is read
-    recursive = "RECURSIVE " if "cluster_reach" in (found := _needed(body, [])) else ""
+    recursive = "RECURSIVE " if {"cluster_reach", "head_steps"} & set(found := _needed(body, [])) else ""
     views = [f"{name} AS {'MATERIALIZED ' if 'row_number() OVER ()' in VIEWS[name] else ''}({VIEWS[name].strip()})" for name in found]
     body = body.strip()
     if body.startswith("WITH "):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from curalake import schemas as S
 from curalake.functions import geometry, hashing, text
 from curalake.operators import (
-    annotations, audit, clusters, feedback, graph, hamming, history, identity, images, manifest, metrics, review, sampling, scoring,
+    annotations, audit, clusters, feedback, graph, hamming, heads, history, identity, images, manifest, metrics, review, sampling, scoring,
     serving, thresholds,
 )
 from curalake.operators.violations import count_by_rule
@@ -821,21 +821,26 @@ def batch_score(spark, d):
 def _head(spark, d):
     """Labelled rows, a fifth of them marked for validation by hash, and the head fitted on the rest."""
     rows = V.table(spark, d, "embeddings").selectExpr(
-        "vec_id", "embedding AS features", "cast(label % 4 AS bigint) AS label", "crc32(cast(cast(vec_id AS string) AS binary)) % 5 = 0 AS validation"
+        "vec_id", "embedding AS features", "cast(label % 4 AS bigint) AS label", "cast(conv(substring(md5(cast(vec_id AS string)), 1, 8), 16, 10) AS bigint) % 5 = 0 AS validation"
     )
-    return rows, scoring.head_fit(rows.filter("NOT validation"), C)
+    return rows, heads.head_descent(rows.filter("NOT validation"), C)
+
+
+@query
+def head_coefficients(spark, d):
+    return rounded(heads.head_table(*_head(spark, d)), "coefficient")
 
 
 @query
 def head_fit(spark, d):
-    rows, model = _head(spark, d)
-    return scoring.head_predict(model, rows).select("vec_id", "validation", "true_idx", "pred_idx", F.round("confidence", 3).alias("confidence"))
+    rows, head = _head(spark, d)
+    return heads.head_decisions(head, rows).select("vec_id", "validation", "true_idx", "pred_idx", F.round("confidence", 3).alias("confidence"))
 
 
 @query
 def head_threshold(spark, d):
-    rows, model = _head(spark, d)
-    return _flat(thresholds.select_threshold(scoring.head_predict(model, rows.filter("validation")), C))
+    rows, head = _head(spark, d)
+    return _flat(thresholds.select_threshold(heads.head_decisions(head, rows.filter("validation")), C))
 
 
 @query
