@@ -162,7 +162,7 @@ class Evaluation:
 
 
 def evaluate(
-    df: DataFrame, features: str, load_model: Callable[[], scoring.Model], class_names: Sequence[str], threshold: float
+    df: DataFrame, features: str, load_model: Callable[[], scoring.Model], class_names: Sequence[str], threshold: float = S.DEFAULT_THRESHOLD
 ) -> Evaluation:
     """Score a labelled table once (``true_idx``), write nothing, return every report table."""
     scored = scoring.batch_score(df, features, load_model, len(class_names)).drop(features)
@@ -175,6 +175,26 @@ def evaluate(
     )
 
 
+#: The reports of an evaluation that are written: their columns and their form.
+REPORTS = {
+    "predictions": (S.PREDICTION_COLUMNS, "parquet"), "misclassified": (S.PREDICTION_COLUMNS, "csv"), "per_class": (S.METRIC_COLUMNS, "json"),
+}
+
+
+def write_evaluation(report: Evaluation, folder: str) -> dict[str, str]:
+    """Write the reports to folders of their names in ``folder`` and return these.
+
+    All columns are checked before anything is written. Predictions and misclassified rows are written with exactly the
+    sink's columns; a report written before is replaced.
+    """
+    for name, (columns, _) in REPORTS.items():
+        manifest.missing_columns_error(getattr(report, name), columns)
+    paths = {name: f"{folder}/{name}" for name in REPORTS}
+    for name, (columns, form) in REPORTS.items():
+        tables.write_report(getattr(report, name).select(*columns), paths[name], columns, form)
+    return paths
+
+
 def heldout_check(heldout: DataFrame, development: DataFrame, results: DataFrame, per_class: int = 10, distance: int = 6) -> DataFrame:
     """Held-out rules, leakage and near-duplicates; then the pass rates of untouched predictions."""
     manifest.missing_columns_error(heldout, S.HELDOUT_COLUMNS)

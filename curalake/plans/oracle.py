@@ -577,6 +577,14 @@ BODIES["job_evaluate"] = """
     SELECT 'confusion' AS section, t.class_name || '>' || p.class_name AS name, (SELECT count(*) FROM r WHERE r.t = t.idx AND r.p = p.idx) AS value FROM classes t, classes p
     UNION ALL SELECT 'predictions', 'rows', count(*) FROM r UNION ALL SELECT 'predictions', 'misclassified', count(*) FROM r WHERE t <> p
     UNION ALL SELECT 'predictions', 'manual_review', count(*) FROM r WHERE confidence < 0.65"""
+BODIES["job_write_evaluation"] = """
+    WITH b AS (""" + BODIES["batch_score"].strip() + """),
+    r AS (SELECT vec_id AS sample_index, 'img, ' || vec_id || '.png' AS filename, t.class_name AS true_class, p.class_name AS predicted_class,
+        confidence < 0.6 AS requires_manual_review, t.idx = p.idx AS is_correct, confidence AS value
+        FROM b JOIN embeddings USING (vec_id) JOIN classes t ON t.idx = label % 4 JOIN classes p ON p.idx = pred_idx)
+    SELECT 'predictions' AS report, * FROM r UNION ALL SELECT 'misclassified', * FROM r WHERE NOT is_correct
+    UNION ALL SELECT 'per_class', NULL, NULL, class_name, NULL, NULL, NULL, coalesce(round(avg(is_correct::INT), 6), 0)
+    FROM classes LEFT JOIN r ON true_class = class_name GROUP BY class_name"""
 BODIES["job_feedback_report"] = """
     SELECT 'rows' AS section, CASE WHEN len(errors) = 0 THEN 'accepted' ELSE 'rejected' END AS name, count(*) AS value FROM checked GROUP BY ALL
     UNION ALL SELECT 'errors', e, count(*) FROM (SELECT unnest(errors) AS e FROM checked) AS u GROUP BY e

@@ -904,6 +904,22 @@ def job_evaluate(spark, d):
     )
 
 
+@query
+def job_write_evaluation(spark, d):
+    """The written predictions, misclassified rows and metrics, read again."""
+    rows = V.table(spark, d, "embeddings").selectExpr(
+        "vec_id AS sample_index", "concat('img, ', vec_id, '.png') AS filename", "embedding", "cast(label % 4 AS bigint) AS true_idx"
+    )
+    report = jobs.evaluate(rows, "embedding", _block_model, C)
+    schemas = {name: getattr(report, name).select(*columns).schema for name, (columns, _) in jobs.REPORTS.items()}
+    paths = jobs.write_evaluation(report, scratch_path(spark, "evaluation"))
+    back = {name: tables.scan_report(spark, paths[name], schemas[name], form) for name, (_, form) in jobs.REPORTS.items()}
+    flags = ["sample_index", "filename", "true_class", "predicted_class", "requires_manual_review", "is_correct"]
+    listed = lambda name: back[name].select(F.lit(name).alias("report"), *flags, F.round("confidence", 6).alias("value"))
+    metric = back["per_class"].select(F.lit("per_class").alias("report"), F.col("class_name").alias("true_class"), F.round("recall", 6).alias("value"))
+    return listed("predictions").unionByName(listed("misclassified")).unionByName(metric, allowMissingColumns=True)
+
+
 @query
 def job_heldout_check(spark, d):
     heldout = V.heldout(spark, d)

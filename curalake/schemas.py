@@ -80,7 +80,3 @@ DECISIONS_DDL = (
     "reviewer string, review_protocol string, rules array<string>,"
     "accepted_class_indices map<string,array<int>>"
 )
-FEEDBACK_DDL = (
-    "timestamp timestamp, prediction_id string, image_filename string, image_sha256 string,"
-    "predicted_class string, confidence double, is_correct boolean, corrected_class string, comment string"
-)

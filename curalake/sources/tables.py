@@ -9,6 +9,7 @@ from itertools import islice
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curalake import schemas as S
 from curalake.operators.manifest import missing_columns_error, union_splits, with_destination
@@ -202,6 +203,15 @@ def write_report(df: DataFrame, path: str, required: Sequence[str], form: str =
     {"parquet": writer.parquet, "json": writer.json, "csv": lambda p: writer.option("header", True).csv(p)}[form](path)
 
 
+def scan_report(spark: SparkSession, path: str, schema: T.StructType | str, form: str = "parquet") -> DataFrame:
+    """A report as it was written; a CSV with other columns, or a value of another type, fails the query."""
+    reader = spark.read.schema(schema)
+    if form == "parquet":
+        return reader.parquet(path)
+    strict = reader.option("mode", "FAILFAST")
+    return strict.json(path) if form == "json" else strict.csv(path, header=True, enforceSchema=False)
+
+
 def append_feedback(df: DataFrame, path: str) -> None:
     """Append-only feedback table with a UTC time stamp."""
     stamped = df.withColumn("timestamp", F.coalesce("timestamp", F.current_timestamp())) if "timestamp" in df.columns else df.withColumn("timestamp", F.current_timestamp())

@@ -3,6 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from curalake.operators import heads, scoring
+from curalake.operators.violations import GateError
+from curalake.plans import jobs
+from curalake.sources import tables
 
 NAMES = ["a", "b", "c"]
 
@@ -70,3 +73,27 @@ def test_rows_without_label_or_features_take_no_part(spark):
     more = spark.createDataFrame([(900, None, 1), (901, [1.0, 2.0, 3.0], None)], df.schema)
     assert heads.head_descent(df, NAMES, steps=3) == heads.head_descent(df.union(more), NAMES, steps=3)
     assert heads.head_table(df, heads.head_descent(df, NAMES, steps=1)).count() == 12
+
+
+def evaluated(spark, columns):
+    rows = [(i, f'a "{i}", b.png', [float(i % 3 == k) * (i % 5) for k in range(3)], i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "sample_index bigint, filename string, x array<double>, true_idx bigint").select(*columns)
+    return jobs.evaluate(df, "x", lambda: lambda x: x, NAMES)
+
+
+def test_written_evaluation_reads_back(spark, tmp_path):
+    report = evaluated(spark, ["sample_index", "filename", "x", "true_idx"])
+    for _ in range(2):  # a second run replaces the first
+        paths = jobs.write_evaluation(report, str(tmp_path))
+    for name, (columns, form) in jobs.REPORTS.items():
+        made = getattr(report, name).select(*columns)
+        back = tables.scan_report(spark, paths[name], made.schema, form)
+        assert back.columns == list(columns)
+        assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, made.collect()), key=repr)
+
+
+def test_evaluation_without_a_column_writes_nothing(spark, tmp_path):
+    report = evaluated(spark, ["sample_index", "x", "true_idx"])
+    with pytest.raises(GateError, match="filename"):
+        jobs.write_evaluation(report, str(tmp_path))
+    assert not list(tmp_path.iterdir())
