@@ -5,6 +5,7 @@ from conftest import rows
 
 from curalake.operators import clusters
 from curalake.operators import hamming as H
+from curalake.operators.audit import audit_summary
 from curalake.operators.violations import GateError
 from curalake.plans import jobs
 
@@ -44,6 +45,35 @@ def test_edges_equal_the_pair_loop(spark, data, distance, options):
     assert tuple(H.near_dup_totals(edges).first()) == expected
 
 
+def test_large_buckets_are_compared_as_arrays(spark, monkeypatch):
+    rnd = random.Random(3)
+    hashes = sorted({rnd.getrandbits(9) | rnd.choice((0, 7 << 40, 1 << 63)) for _ in range(900)})
+    df = spark.createDataFrame([(f"i{h}", f"{h:016x}", rnd.choice(SPLITS), "n") for h in hashes], DDL)
+    expected = sum((a ^ b).bit_count() <= 3 for i, a in enumerate(hashes) for b in hashes[i + 1:])
+    for name, value in {"BLOCK": 50, "SMALL": 8, "MATRIX": 512, "CELL_ROWS": 700, "BATCH_PAIRS": 100, "TASK_ROWS": 4000}.items():
+        monkeypatch.setattr(H, name, value)
+    for hot in (4096, 40):
+        edges = H.near_dup_edges(df, 3, hot=hot)
+        assert edges.count() == edges.select("hash_a", "hash_b").distinct().count() == expected
+        plan = edges._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and len(plan) < 100_000  # no join of bucket rows with each other, no tables of masks
+
+
+def test_audit_makes_the_edges_once(spark, data):
+    df = spark.createDataFrame(data, DDL).selectExpr("*", "1 AS orientation", "'x' AS source_object_label", "'s' AS source_dataset", "'g' AS source_group")
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    edges = H.near_dup_edges(df, 6)
+    marked = edges.mapInArrow(counted, edges.schema)
+    summary = audit_summary(df, marked, pairs=True).first()
+    assert runs.value == edges.count() and summary["near_duplicate_pairs"] == len(list(brute(data, 6)))
+
+
 def test_cross_split_counts_and_pivot(spark, data):
     df = spark.createDataFrame(data, DDL)
     expected = sum(a[2] != b[2] for a, b, _ in brute(data, 6))
