@@ -37,8 +37,8 @@ def _read(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFra
 class KeyedTable:
     """One row per key; of several changes the one with the greatest ``order`` wins, then the greatest row.
 
-    ``rows`` is the schema of keys and values. ``buckets`` is fixed for the life of a table: choose it so that a bucket's
-    rows fit a task. ``order`` are columns of the changes, with their types in ``rows`` too if they are values as well.
+    ``rows`` is the schema of keys and values. ``buckets`` is fixed for the life of a table; a bucket
+    may be larger than a task. ``order`` are columns of the changes, with their types in ``rows`` too if they are values as well.
     """
 
     spark: SparkSession
@@ -110,15 +110,14 @@ class KeyedTable:
             touched = sorted(r["bucket"] for r in batch.select("bucket").distinct().collect())  # at most ``buckets`` numbers
             if touched:
                 old = self._content({b: where[b] for b in touched if b in where}).withColumn("bucket", self._bucket())
-                # rows of a bucket are together after one shuffle, so the aggregate needs no other
-                both = old.unionByName(batch).repartition(len(touched), "bucket")
-                self._commit(self._newest(both, "bucket"), touched, where, version)
+                self._commit(self._newest(old.unionByName(batch), "bucket"), touched, where, version)
         finally:
             batch.unpersist()
         return touched
 
     def _commit(self, rows: DataFrame, touched: Sequence[int], where: dict[int, int], version: int) -> None:
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/version={version}")
+        # a large bucket is cut into several tasks and files, small ones share a task
+        rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/version={version}")
         written = self.spark.read.schema(T.StructType.fromDDL("bucket int")).parquet(f"{self.path}/data/version={version}") if version == 0 else None
         filled = {r["bucket"] for r in written.distinct().collect()} if written is not None else set(touched)
         now = where | {b: version for b in touched if b in filled}

@@ -42,6 +42,18 @@ def test_a_second_run_rewrites_only_its_buckets(spark, tmp_path):
     assert table.merge(spark.createDataFrame([("z", 10, 1)], CHANGES), after[0] + 1) and ("z", 10) in rows(table.read())
 
 
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    changes = spark.range(200_000, numPartitions=8).selectExpr("concat('k', id) AS k", "id AS v", "id AS at")
+    table = keyed.KeyedTable.like(changes, str(tmp_path / "t"), ["k"], ["at"], buckets=2)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        assert table.merge(changes, 1) == [0, 1] and table.merge(changes.selectExpr("k", "-v AS v", "at + 1 AS at"), 2) == [0, 1]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert all(len(list((tmp_path / f"t/data/version={v}/bucket={b}").glob("*.parquet"))) > 1 for v in (1, 2) for b in (0, 1))
+    assert table.read().selectExpr("count(*)", "count(DISTINCT k)", "sum(v)").first()[:] == (200_000, 200_000, -sum(range(200_000)))
+
+
 def test_an_empty_table(spark, tmp_path):
     none = spark.createDataFrame([], CHANGES)
     table = keyed.KeyedTable.like(none, str(tmp_path / "t"), ["k"], ["at"])
