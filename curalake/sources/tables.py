@@ -86,26 +86,45 @@ ANNOTATION_DDL = (
 )
 
 
+#: A title or kind that is no text, and a polygon that is not a list of lists without text or further lists.
+_ODD_TEXT = r'"(classTitle|geometryType)"\s*+:\s*+[^"]'
+_ODD_POINTS = r'"exterior"\s*+:\s*+(?!\[(?:[\s,]*+\[[^\[\]"{]*+\])*+\s*+\])'
+
+
 def parse_annotations(documents: DataFrame) -> DataFrame:
-    """``annotation_path, source_kind, document`` -> typed ``size`` and ``objects``, in two tiers.
+    """``annotation_path, source_kind, document`` -> typed ``size`` and ``objects``, in three tiers.
 
-    A document that the typed parser takes whole is done. One it marks as damaged is parsed again with every value cast on its
-    own: sizes may be text or decimals, an entry that is not an object has null fields, and a coordinate that is not a number
-    is null, so that only its own point is lost. An unreadable document has neither size nor objects.
+    A document whose titles are text and whose polygons hold no text is cast as a whole. One that ``parse_json`` does not take,
+    or with other titles or escapes by number, goes to the typed parser, and is done if that takes it whole. Of what is left every value is cast on
+    its own. Sizes may be text or decimals, an entry that is not an object has null fields, and a coordinate that is not a
+    number is null, so that only its own point is lost. An unreadable document has neither size nor objects.
+    The typed parser comes late since it raises an error inside for every value of another type.
     """
     number = "CASE WHEN schema_of_variant(x) RLIKE '^(BIGINT|DOUBLE|DECIMAL|BOOLEAN)' THEN try_variant_get(x, '$', 'double') END"
+    slow = f"""transform(try_variant_get(o, '$.points.exterior', 'array<variant>'), p ->
+        transform(try_variant_get(p, '$', 'array<variant>'), x -> {number}))"""
+    # a polygon is cast at once, one with text but no keys after its text has become null
+    flat = r"""try_parse_json(regexp_replace(to_json(try_variant_get(o, '$.points.exterior', 'variant')), r'"(?:[^"\\]|\\.)*+"', 'null'))"""
+    exterior = f"""CASE WHEN contains(to_json(try_variant_get(o, '$.points.exterior', 'variant')), '{{') THEN {slow}
+        ELSE try_variant_get({flat}, '$', 'array<array<double>>') END"""
     points = f"""transform(try_variant_get(_d, '$.objects', 'array<variant>'), o -> named_struct(
         'classTitle', try_variant_get(o, '$.classTitle', 'string'), 'geometryType', try_variant_get(o, '$.geometryType', 'string'),
-        'points', named_struct('exterior', transform(try_variant_get(o, '$.points.exterior', 'array<variant>'), p ->
-            transform(try_variant_get(p, '$', 'array<variant>'), x -> {number})))))"""
+        'points', named_struct('exterior', {exterior})))"""
     size = "named_struct('width', try_variant_get(_d, '$.size.width', 'int'), 'height', try_variant_get(_d, '$.size.height', 'int'))"
     typed = F.from_json("document", f"{ANNOTATION_DDL}, _damaged string", {"columnNameOfCorruptRecord": "_damaged", "allowNonNumericNumbers": "false"})
-    first = computed(documents, _t=typed)
+    first = computed(documents, _d=F.try_parse_json("document"))
+    second = computed(first, _plain=F.col("_d").isNotNull() & ~F.contains("document", F.lit("\\u")) & ~F.col("document").rlike(_ODD_TEXT))
+    cast = F.try_variant_get("_d", "$", f"struct<{ANNOTATION_DDL.replace('size struct', 'size:struct').replace('objects array', 'objects:array')}>")
+    third = computed(
+        second, _v=F.when(F.col("_plain") & ~F.col("document").rlike(_ODD_POINTS), cast), _t=F.when(~F.coalesce("_plain", F.lit(False)), typed),
+    )
     whole = F.col("_t").isNotNull() & F.col("_t._damaged").isNull() & F.col("document").rlike(r"\A\s*\{")
-    second = computed(first, _d=F.when(~F.coalesce(whole, F.lit(False)), F.try_parse_json("document")), _w=F.coalesce(whole, F.lit(False)))
-    return second.select(
-        "annotation_path", "source_kind", F.when(F.col("_w"), F.struct("_t.size.width", "_t.size.height")).otherwise(F.expr(size)).alias("size"),
-        F.when(F.col("_w"), F.col("_t.objects")).otherwise(F.expr(points)).alias("objects"),
+    fourth = computed(third, _w=F.coalesce(whole, F.lit(False)))
+    return fourth.select(
+        "annotation_path", "source_kind",
+        F.when(F.col("_v").isNotNull(), F.struct("_v.size.width", "_v.size.height")).when(F.col("_w"), F.struct("_t.size.width", "_t.size.height"))
+        .otherwise(F.expr(size)).alias("size"),
+        F.when(F.col("_v").isNotNull(), F.col("_v.objects")).when(F.col("_w"), F.col("_t.objects")).otherwise(F.expr(points)).alias("objects"),
     )
 
 

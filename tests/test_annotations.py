@@ -99,3 +99,26 @@ def test_acquired_candidates_are_large_and_as_many_as_requested(spark):
     assert rows(jobs.acquire_candidates(listing, None, scan, 5), "page_id", "short_side") == [(2, 256), (4, 900)]
     with pytest.raises(GateError, match="5 of 6"):
         jobs.acquire_candidates(listing, None, scan, 6)
+
+
+def test_odd_polygons_keep_their_numbers(spark):
+    def document(exterior, title='"Dent"'):
+        return f'{{"size":{{"width":800,"height":600}},"objects":[{{"classTitle":{title},"geometryType":"polygon","points":{{"exterior":{exterior}}}}}]}}'
+
+    found = parsed(
+        spark, ("damage", document("[[1, 2], [3.5, -4], [5e1, 6]]")), ("damage", document('[["1",2],[3,4],5,[],["a\\\\\\"b",{"k":1}]]')),
+        ("damage", document('[[1,"2"],[3,null],["x]","y"],[true,7]]')), ("damage", document("[[1,2]]", "1.0")), ("damage", document("[[1,2]]").replace("exterior", "\\u0065xterior")),
+        ("damage", document('"[[1,2]]"')),
+    )
+    points = {r["annotation_path"]: r["e"] for r in found.selectExpr("annotation_path", "objects[0].points.exterior AS e").collect()}
+    assert [points[f"s/ann/{i}.jpg.json"] for i in range(6)] == [
+        [[1.0, 2.0], [3.5, -4.0], [50.0, 6.0]], [[None, 2.0], [3.0, 4.0], None, [], [None, None]],
+        [[1.0, None], [3.0, None], [None, None], [1.0, 7.0]], [[1.0, 2.0]], [[1.0, 2.0]], None,
+    ]
+
+
+def test_the_text_of_an_annotation_is_made_once(spark):
+    from curalake.plans import views
+
+    plan = views.annotation_documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("to_json(") + plan.count("StructsToJsonEvaluator") <= 2
