@@ -46,3 +46,21 @@ def test_square_pad_puts_the_odd_pixel_right_and_below():
     assert padded.shape == (5, 5, 3) and tuple(padded[0, 0]) == (124, 116, 104) and padded[1, 0, 0] == 0 and padded[2, 0, 0] == 0 and padded[3, 0, 0] == 124
     same = I.resize(np.arange(27.0).reshape(3, 3, 3), 3, 3)
     assert np.allclose(same, np.arange(27.0).reshape(3, 3, 3))
+
+
+def test_weights_of_long_sides_are_not_kept():
+    for height in range(2000, 2040):
+        assert I.resample_weights(height, 64, 1.0, I.triangle).shape == (64, height)
+    I.resample_weights(10, 9, 3.0, I.lanczos)
+    kept = I._kept_weights.cache_info()
+    assert kept.maxsize * 64 * I.KEPT_SIDE * 8 < 1 << 26 and kept.currsize < 40
+
+
+def test_image_batches_are_bounded(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        I.image_luma_range(spark.createDataFrame([], "doc_id bigint, image struct<height:int,width:int,nChannels:int,data:binary>"))
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
