@@ -109,8 +109,9 @@ def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def common_share(placed: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
-    """``rep, n, common`` of the classes in ``placed``: how many shingles another document of ``sets`` holds too. No pair of them
-    can share more. Classes that cannot reach the threshold with so few are left out."""
+    """``rep, n, common`` of the classes in ``placed``: how many shingles another class in ``placed`` holds too. No pair of them
+    can share more. Classes that cannot reach the threshold with so few are left out. Only the sets of placed classes are moved."""
+    sets = sets.join(placed.select("rep").distinct(), "rep", "left_semi")
     tokens = sets.select("rep", F.explode("s").alias("token"))
     alone = tokens.groupBy("token").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).filter("rep = last")
     single = sets.groupBy("rep").agg(F.count(F.lit(1)).alias("sets")).filter("sets = 1")  # a doc_id with several texts counts as all common
@@ -132,12 +133,10 @@ def across(placed: DataFrame, sets: DataFrame, classes: DataFrame, threshold: Th
     """
     shares = common_share(placed, sets, threshold)
     # what left may leave a key to one component
-    rest = written(mixed(placed.join(shares, ["rep", "n"])), "pair-rest")
-    sizes = rest.groupBy("key", "g").agg(F.count(F.lit(1)).alias("c"))
-    top = sizes.groupBy("key").agg(F.max_by("g", F.struct("c", "g")).alias("top"))
+    sized = mixed(placed.join(shares, ["rep", "n"])).withColumn("c", F.count(F.lit(1)).over(W.partitionBy("key", "g")))
+    rest = written(sized.withColumn("top", F.max(F.struct("c", "g")).over(W.partitionBy("key"))["g"]).drop("c"), "pair-rest")
     cards = rest.groupBy("rep", "n").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST_KEYS).alias("firsts"))  # a class has few keys
     cards = written(cards.join(classes.select("rep", "n", "sketch"), ["rep", "n"]), "pair-cards")
-    rest = rest.join(top, "key")
     side = lambda i: [F.col("rep").alias(i), *[F.col(c).alias(f"{c}{i}") for c in ("n", "g", "common", "sketch", "firsts")]]
     left, right = (rows.join(cards, ["rep", "n"]).select("key", *side(i)) for rows, i in ((rest.filter("g <> top"), "a"), (rest, "b")))
     total = F.col("na") + F.col("nb")

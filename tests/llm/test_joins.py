@@ -145,3 +145,12 @@ def test_line_runs_of_repeated_rows_and_odd_tables(spark):
     assert linedup.drop_repeated_runs(frame(spark, [])).count() == 0
     extra = frame(spark, rows).selectExpr("*", "1 AS did", "2 AS th", "3 AS gone", "4 AS idx")
     assert linedup.drop_repeated_runs(extra).columns == [*extra.columns, "n_removed", "n_lines"]
+
+
+def test_common_shares_count_the_classes_that_are_compared(spark):
+    from curalake.llm import pairs
+
+    sets = spark.createDataFrame([(1, [1, 2, 3, 4]), (2, [1, 2, 3, 5]), (3, [4, 5, 6, 7])], "rep bigint, s array<bigint>")
+    placed = spark.createDataFrame([(9, 1, 4), (9, 2, 4), (8, 1, 4)], "key bigint, rep bigint, n bigint")
+    found = pairs.common_share(placed, sets, pairs.Threshold(75))
+    assert sorted((r["rep"], r["n"], r["common"]) for r in found.collect()) == [(1, 4, 3), (2, 4, 3)]
