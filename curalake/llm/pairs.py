@@ -111,13 +111,16 @@ def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 def common_share(placed: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
     """``rep, n, common`` of the classes in ``placed``: how many shingles another class in ``placed`` holds too. No pair of them
     can share more. Classes that cannot reach the threshold with so few are left out. Only the sets of placed classes are moved."""
-    sets = sets.join(placed.select("rep").distinct(), "rep", "left_semi")
-    tokens = sets.select("rep", F.explode("s").alias("token"))
-    alone = tokens.groupBy("token").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).filter("rep = last")
-    single = sets.groupBy("rep").agg(F.count(F.lit(1)).alias("sets")).filter("sets = 1")  # a doc_id with several texts counts as all common
-    lonely = alone.groupBy("rep").agg(F.count(F.lit(1)).alias("u")).join(single, "rep", "left_semi")
-    shared = placed.select("rep", "n").distinct().join(lonely, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("common"))
-    return written(shared.filter(F.col("common") * threshold.denominator >= F.col("n") * threshold.numerator), "pair-shares")
+    spark = placed.sparkSession
+    asked = written(placed.select("rep", "n").distinct(), "pair-ids")  # of known size, so a short list is broadcast and no set is moved
+    with settings(spark, BLOOM):
+        sets = rows_of(sets, asked, "rep")
+        tokens = sets.select("rep", F.explode("s").alias("token"))
+        alone = tokens.groupBy("token").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).filter("rep = last")
+        single = sets.groupBy("rep").agg(F.count(F.lit(1)).alias("sets")).filter("sets = 1")  # a doc_id with several texts counts as all common
+        lonely = alone.groupBy("rep").agg(F.count(F.lit(1)).alias("u")).join(single, "rep", "left_semi")
+        shared = asked.join(lonely, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("common"))
+        return written(shared.filter(F.col("common") * threshold.denominator >= F.col("n") * threshold.numerator), "pair-shares")
 
 
 def mixed(placed: DataFrame) -> DataFrame:
@@ -131,14 +134,16 @@ def across(placed: DataFrame, sets: DataFrame, classes: DataFrame, threshold: Th
 
     What stays of a key is joined with what is outside its largest component; most repeats of a pair under further keys are left out.
     """
-    shares = common_share(placed, sets, threshold)
+    # a class meets what is known of it once, with its keys as an array: no join has a row per key
+    held = placed.groupBy("rep", "n", "g").agg(F.collect_set("key").alias("keys")).join(common_share(placed, sets, threshold), ["rep", "n"])
     # what left may leave a key to one component
-    sized = mixed(placed.join(shares, ["rep", "n"])).withColumn("c", F.count(F.lit(1)).over(W.partitionBy("key", "g")))
-    rest = written(sized.withColumn("top", F.max(F.struct("c", "g")).over(W.partitionBy("key"))["g"]).drop("c"), "pair-rest")
-    cards = rest.groupBy("rep", "n").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST_KEYS).alias("firsts"))  # a class has few keys
+    sized = mixed(held.select(F.explode("keys").alias("key"), "rep", "n", "g", "common")).withColumn("c", F.count(F.lit(1)).over(W.partitionBy("key", "g")))
+    rest = sized.withColumn("top", F.max(F.struct("c", "g")).over(W.partitionBy("key"))["g"])
+    cards = rest.groupBy("rep", "n", "g", "common").agg(F.sort_array(F.collect_list(F.struct("key", "top"))).alias("keys"))  # a class has few keys
     cards = written(cards.join(classes.select("rep", "n", "sketch"), ["rep", "n"]), "pair-cards")
+    cards = cards.withColumn("firsts", F.slice("keys.key", 1, FIRST_KEYS)).select("*", F.explode("keys").alias("of")).select("*", "of.key", "of.top")
     side = lambda i: [F.col("rep").alias(i), *[F.col(c).alias(f"{c}{i}") for c in ("n", "g", "common", "sketch", "firsts")]]
-    left, right = (rows.join(cards, ["rep", "n"]).select("key", *side(i)) for rows, i in ((rest.filter("g <> top"), "a"), (rest, "b")))
+    left, right = (rows.select("key", *side(i)) for rows, i in ((cards.filter("g <> top"), "a"), (cards, "b")))
     total = F.col("na") + F.col("nb")
     fits = (
         threshold.sizes_fit(F.col("na"), F.col("nb")) & threshold.shared_fits(F.least("commona", "commonb"), total)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from curalake.llm import components, linedup, pairs, shingles
+from curalake.llm import common, components, linedup, pairs, shingles
 from llm import brute
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -154,3 +154,38 @@ def test_common_shares_count_the_classes_that_are_compared(spark):
     placed = spark.createDataFrame([(9, 1, 4), (9, 2, 4), (8, 1, 4)], "key bigint, rep bigint, n bigint")
     found = pairs.common_share(placed, sets, pairs.Threshold(75))
     assert sorted((r["rep"], r["n"], r["common"]) for r in found.collect()) == [(1, 4, 3), (2, 4, 3)]
+
+
+def test_joins_of_large_keys_have_a_row_per_class(spark, monkeypatch):
+    """Many keys in common must not multiply the rows that are joined with what is known of a class."""
+    tokens = {r: np.arange(20) + (r > 8) for r in range(1, 17)}
+    sets = spark.createDataFrame([(r, t.tolist()) for r, t in tokens.items()], "rep bigint, s array<bigint>")
+    classes = spark.createDataFrame([(r, 20, pairs.parity_bits(t.astype(np.uint64)).tolist()) for r, t in tokens.items()], "rep bigint, n bigint, sketch array<bigint>")
+    placed = spark.createDataFrame([(k, r, 20, 1 if r < 14 else r) for k in range(10) for r in tokens], "key bigint, rep bigint, n bigint, g bigint")
+    kept, joined = type(placed).join, []
+
+    def join(self, other, on=None, how=None):
+        out = kept(self, other, on, how)
+        if on == ["rep", "n"]:
+            joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(placed), "join", join)
+    found = {(r["a"], r["b"]) for r in pairs.across(placed, sets, classes, pairs.Threshold(75)).collect()}
+    assert found == {(a, b) for a in tokens for b in (14, 15, 16) if a < b}
+    assert joined and max(joined) <= len(tokens)
+
+
+def test_rounds_of_few_stars_write_one_file(spark, monkeypatch):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "a bigint, b bigint")
+    kept, files = components.written, []
+
+    def written(df, name):
+        out = kept(df, name)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(components, "written", written)
+    with common.settings(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        assert {r["component"] for r in components.components(edges).collect()} == {0}
+    assert len(files) > 2 and set(files[1:]) == {1}
