@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from curalake import schemas as S
 from curalake.operators.manifest import missing_columns_error, union_splits, with_destination
 from curalake.operators.violations import GateError
-from curalake.session import class_table, computed
+from curalake.session import class_table, computed, settings
 
 
 def scan_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None, line_breaks: bool = False) -> DataFrame:
@@ -151,7 +151,10 @@ def refresh_digests(spark: SparkSession, path: str, cache: str, pattern: str = "
     keys = ["path", "length", "modificationTime"]
     ddl = "path string, length bigint, modificationTime timestamp, actual_checksum string, scan bigint"
     source = spark.read.format("binaryFile")
-    listed = source.options(pathGlobFilter=pattern, recursiveFileLookup=True).load(path).select(*keys)
+    # by default Spark lists with a task per folder, and per path of a list
+    listing = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * spark.sparkContext.defaultParallelism)}
+    with settings(spark, listing):
+        listed = source.options(pathGlobFilter=pattern, recursiveFileLookup=True).load(path).select(*keys)
     try:
         known = spark.read.schema(ddl).parquet(cache)
         scan = (known.agg(F.max("scan").alias("s")).first()["s"] or 0) + 1
@@ -160,9 +163,13 @@ def refresh_digests(spark: SparkSession, path: str, cache: str, pattern: str = "
             raise
         known, scan = None, 1
     fresh = listed if known is None else listed.join(known.select(*keys), keys, "left_anti")
-    paths = (re.sub(r"([\[\]{}*?\\])", r"\\\1", r["path"]) for r in fresh.select("path").toLocalIterator())
+    # every partition of a local iterator is a job: rebalanced, the paths lie in a few
+    found = fresh.select("path").hint("rebalance").toLocalIterator()
+    paths = (re.sub(r"([\[\]{}*?\\])", r"\\\1", r["path"]) for r in found)
     while some := list(islice(paths, chunk)):
-        digests = spark.read.format("binaryFile").load(some).select(*keys, F.sha2("content", 256).alias("actual_checksum"), F.lit(scan).cast("bigint").alias("scan"))
+        with settings(spark, listing):
+            content = spark.read.format("binaryFile").load(some)
+        digests = content.select(*keys, F.sha2("content", 256).alias("actual_checksum"), F.lit(scan).cast("bigint").alias("scan"))
         digests.write.mode("append").parquet(cache)
     try:
         known = spark.read.schema(ddl).parquet(cache)

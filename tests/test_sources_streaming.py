@@ -12,7 +12,7 @@ from curalake import schemas as S
 from curalake.operators import feedback as fb
 from curalake.operators import history, metrics, review
 from curalake.operators.violations import GateError
-from curalake.session import shared_folder
+from curalake.session import settings, shared_folder
 from curalake.sources import tables
 from curalake.streaming import flows
 
@@ -132,5 +132,21 @@ def test_a_second_scan_reads_only_changed_files(spark, tmp_path):
     assert tables.refresh_digests(spark, str(empty), str(tmp_path / "none")).count() == 0
 
 
+def test_digests_of_many_files_take_few_jobs(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for k in range(40):
+        (folder / f"f{k}").write_text(str(k))
+    context = spark.sparkContext
+    context.setJobGroup("digests", "a scan")
+    try:
+        with settings(spark, {"spark.sql.files.maxPartitionBytes": "4m"}):  # a partition per file
+            found = tables.refresh_digests(spark, str(folder), str(tmp_path / "cache"))
+        jobs = context.statusTracker().getJobIdsForGroup("digests")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert found.count() == 40 and len(jobs) < 12
+
+
 def test_shared_folder_is_stable(spark):
     assert shared_folder(spark) == shared_folder(spark)
