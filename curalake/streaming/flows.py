@@ -7,16 +7,19 @@ batch writes its own sub-folder with overwrite: replaying it changes nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from curalake.operators import feedback as fb
 from curalake.operators.serving import feedback_override
-from curalake.streaming.keyed import KeyedTable, keep
+from curalake.streaming.keyed import KeyedTable, _read, keep
+
+ROWS_DDL = "prediction_id string, kind int, seq bigint, timestamp timestamp, image_sha256 string"
+TOLD_DDL = "prediction_id string, since timestamp, recorded string"
+BOUND_DDL = "seq bigint, timestamp timestamp, prediction_id string, image_sha256 string, bound_at timestamp"
 
 
 def drain(stream: DataFrame, path: str, mode: str = "append", partition: str | None = None) -> DataFrame:
@@ -64,52 +67,67 @@ def overridden_predictions(stream: DataFrame, latest: DataFrame, threshold: floa
 def fingerprinted_feedback(feedback: DataFrame, predictions: DataFrame, path: str, delay: str = "1 day") -> DataFrame:
     """Feedback with the image hash of its prediction, used by the first feedback only; all feedback is kept.
 
-    One stateful operator over both streams: a prediction's hash is state under its id until it has been used or its
-    event-time timer, ``delay`` after the prediction, has fired, so the state is bounded by time instead of a fixed number
-    of predictions. Feedback within ``delay`` of a known prediction takes its hash once, in event order within a batch;
-    all other feedback keeps its own. Only predictions move the watermark: late ones are dropped, feedback never is.
+    Feedback within ``delay`` of a known prediction takes its hash once, in event order within a batch; all other feedback keeps
+    its own. A prediction is known until ``delay`` after it has passed the watermark, which only predictions move; late ones are
+    dropped, feedback never is. A batch is bound by joins: ``told`` logs the predictions that each batch took up, ``seen`` the
+    newest time in it, and the output the prediction that a row used, so a batch reads the logs of known predictions alone and a
+    replay writes the same again.
     """
-    told = predictions.select(
+    spark = feedback.sparkSession
+    told = predictions.filter("predicted_at IS NOT NULL").select(
         "prediction_id", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("seq"), F.col("predicted_at").alias("timestamp"), "image_sha256",
-        F.col("predicted_at").alias("event_time"),
-    )
-    asked = feedback.select(
-        "prediction_id", F.lit(1).alias("kind"), "seq", "timestamp", "image_sha256", F.lit(None).cast("timestamp").alias("event_time"),
     )
-    room = pd.Timedelta(delay)
-
-    def bind(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["kind", "timestamp", "seq"], kind="stable")
-        recorded, since, used = state.get if state.exists else (None, None, False)
-        hashes = []
-        for kind, at, own in zip(rows["kind"], rows["timestamp"], rows["image_sha256"], strict=True):
-            if kind == 0:
-                if since is None and own is not None:
-                    recorded, since = own, at
-                continue
-            binds = since is not None and not used and since <= at <= since + room
-            hashes.append(recorded if binds else own if own is not None else "")
-            used = used or binds
-        if since is not None:
-            until = int((since + room).timestamp() * 1000)
-            if until > state.getCurrentWatermarkMs():
-                state.update((recorded, since, used))
-                state.setTimeoutTimestamp(until)
-            elif state.exists:
-                state.remove()
-        out = rows[rows["kind"] == 1]
-        if len(out):
-            yield pd.DataFrame({"seq": out["seq"].astype("int64"), "timestamp": out["timestamp"], "prediction_id": key[0], "image_sha256": hashes})
-
-    both = told.unionByName(asked).withWatermark("event_time", delay)
-    bound = both.groupBy("prediction_id").applyInPandasWithState(
-        bind, "seq bigint, timestamp timestamp, prediction_id string, image_sha256 string", "recorded string, since timestamp, used boolean",
-        "append", GroupStateTimeout.EventTimeTimeout,
+    asked = feedback.select("prediction_id", F.lit(1).alias("kind"), "seq", "timestamp", "image_sha256")
+    room = pd.Timedelta(delay) // pd.Timedelta("1us")
+
+    def bind(batch: DataFrame, batch_id: int) -> None:
+        # written once: the stateful plan runs once, and what follows is planned by the caller's session
+        batch.write.mode("overwrite").parquet(f"{path}/batch")
+        rows = spark.read.schema(ROWS_DDL).parquet(f"{path}/batch")
+        news = rows.filter("kind = 0")
+        alive, used = _known(spark, path, batch_id, room)
+        first_told = news.filter("image_sha256 IS NOT NULL").groupBy("prediction_id").agg(F.min(F.struct("timestamp", "image_sha256")).alias("t"))
+        taken = first_told.select("prediction_id", F.col("t.timestamp").alias("since"), F.col("t.image_sha256").alias("recorded"))
+        taken.join(alive, "prediction_id", "left_anti").write.mode("overwrite").parquet(f"{path}/told/batch_id={batch_id}")
+        unused = alive.join(used, ["prediction_id", "since"], "left_anti").select("prediction_id", "since", "recorded")
+        states = unused.unionByName(spark.read.schema(TOLD_DDL).parquet(f"{path}/told/batch_id={batch_id}"))
+
+        own = F.struct("timestamp", "seq", "image_sha256")
+        rows_in = rows.filter("kind = 1").drop("kind")
+        near = (F.unix_micros("timestamp") - F.unix_micros("since")).between(0, room)
+        first = rows_in.join(states, "prediction_id").filter(near).groupBy("prediction_id").agg(
+            F.min(own).alias("first"), F.min("since").alias("since"), F.min("recorded").alias("recorded")
+        )
+        # of rows that are the same in every column one binds; no window holds more than such copies
+        copy = F.row_number().over(Window.partitionBy("prediction_id", "timestamp", "seq", "image_sha256").orderBy("seq"))
+        binds = F.col("first").eqNullSafe(own) & (F.col("copy") == 1)
+        rows_in.withColumn("copy", copy).join(first, "prediction_id", "left").select(
+            "seq", "timestamp", "prediction_id", F.when(binds, F.col("recorded")).otherwise(F.coalesce("image_sha256", F.lit(""))).alias("image_sha256"),
+            F.when(binds, F.col("since")).alias("bound_at"),
+        ).write.mode("overwrite").parquet(f"{path}/data/batch_id={batch_id}")
+        news.agg(F.max(F.unix_millis("timestamp")).alias("latest")).coalesce(1).write.mode("overwrite").parquet(f"{path}/seen/batch_id={batch_id}")
+
+    fresh = told.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["prediction_id", "timestamp", "image_sha256"])
+    started = (
+        fresh.unionByName(asked).writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(availableNow=True).foreachBatch(bind).start()
     )
-    return drain(bound, path).drop("batch_id")
+    started.awaitTermination()
+    return spark.read.schema(f"{BOUND_DDL}, batch_id bigint").parquet(f"{path}/data").drop("bound_at", "batch_id")
+
+
+def _known(spark: SparkSession, path: str, batch_id: int, room: int) -> tuple[DataFrame, DataFrame]:
+    """Predictions (``TOLD_DDL``) that batch ``batch_id`` still knows, and ``prediction_id, since`` of those that were used."""
+    seen = _read(spark, f"{path}/seen", "latest bigint, batch_id bigint")
+    before = seen.filter(F.col("batch_id") < batch_id) if seen is not None else None
+    latest = before.agg(F.max("latest").alias("t")).first()["t"] if before is not None else None
+    if latest is None:
+        return spark.createDataFrame([], TOLD_DDL), spark.createDataFrame([], "prediction_id string, since timestamp")
+    oldest = latest - 2 * (room // 1_000)  # the watermark is one delay behind, and a prediction stays for one more
+    live = sorted(r["batch_id"] for r in before.filter(F.col("latest") >= oldest).select("batch_id").collect())
+    alive = spark.read.schema(TOLD_DDL).parquet(*[f"{path}/told/batch_id={b}" for b in live]).filter(F.unix_millis("since") >= oldest)
+    bound = spark.read.schema(f"{BOUND_DDL}, batch_id bigint").parquet(f"{path}/data").filter(F.col("batch_id").between(live[0], batch_id - 1))
+    return alive, bound.filter(F.unix_millis("bound_at") >= oldest).select("prediction_id", F.col("bound_at").alias("since"))
 
 
 def review_rates(stream: DataFrame, threshold: float, path: str, delay: str = "1 day") -> DataFrame:

@@ -107,3 +107,18 @@ def test_fingerprints_are_used_once_over_batches(spark, tmp_path):
     assert out[8:] == [(9, "p3", "h3"), (10, "p1", "very old"), (11, "old", "own"), (12, "p10", "h10")]
     states = spark.read.format("statestore").load(str(tmp_path / "out/checkpoint"))
     assert {r["key"]["prediction_id"] for r in states.select("key").collect()} <= {"p10", "p11", "p9"}
+
+
+def test_fingerprints_are_bound_without_a_call_per_key(spark, tmp_path):
+    hour = lambda h: datetime(2026, 1, 1) + timedelta(hours=h)
+    told = [("a", hour(2), "second"), ("a", hour(1), "first"), ("b", hour(1), "hb"), ("c", None, "no time"), ("d", hour(1), "hd"), (None, hour(1), "no id")]
+    asked = [
+        (1, hour(3), "a", "own"), (1, hour(3), "a", "own"), (2, hour(25), "b", None), (3, hour(26), "b", None), (4, hour(2), "c", "own"),
+        (5, None, "d", "no time"), (6, hour(25.001), "d", "too late"), (7, hour(2), None, "own"),
+    ]
+    told = folder(spark, tmp_path / "told", told, "prediction_id string, predicted_at timestamp, image_sha256 string")
+    asked = folder(spark, tmp_path / "asked", asked, "seq bigint, timestamp timestamp, prediction_id string, image_sha256 string")
+    out = flows.fingerprinted_feedback(asked, told, str(tmp_path / "out"), "1 day")
+    assert rows(out, "seq", "image_sha256") == [(1, "first"), (1, "own"), (2, "hb"), (3, ""), (4, "own"), (5, "no time"), (6, "too late"), (7, "own")]
+    operators = spark.read.format("state-metadata").load(str(tmp_path / "out/checkpoint")).select("operatorName").collect()
+    assert {r[0] for r in operators} == {"dedupeWithinWatermark"}
